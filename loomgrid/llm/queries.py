@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrid.llm import generated, secrets
+from loomgrid.llm import generated, leakage, mixing, secrets, spans
 from loomgrid.sources.tables import table
 
 
@@ -33,4 +33,45 @@ def p2_kinds(spark, d):
     return generated.found_files(_classified(spark, d)).select("project_id", "path", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds)}
+def _leaks(spark, d, **k):
+    return leakage.leak_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), **k)
+
+
+def p7_found(spark, d):
+    return _leaks(spark, d).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark, d):
+    return leakage.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
+def p7_near(spark, d):
+    """Whole passages with up to a tenth of their words edited."""
+    return _leaks(spark, d, window=None, edit_rate=0.1).select("item_id", "doc_id", "edits")
+
+
+def _mixed(spark, d):
+    return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark, d):
+    return _mixed(spark, d)[0].where("copies > 0").select("doc_id", "source", "tokens", "copies")
+
+
+def p8_shares(spark, d):
+    return mixing.shares(*_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+def _spans(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return spans.span_pairs(_spans(spark, d))
+
+
+def p9_portions(spark, d):
+    return spans.shared_portion(_spans(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
