@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.llm import generated, leakage, mixing, secrets, spans
+from loomgrid.llm import generated, leakage, mixing, neardup, secrets, spans
 from loomgrid.sources.tables import table
+from loomgrid.workspace import Workspace
 
 
 def _secrets(spark, d):
@@ -33,6 +34,19 @@ def p2_kinds(spark, d):
     return generated.found_files(_classified(spark, d)).select("project_id", "path", "kind")
 
 
+def _near(spark, d, ws):
+    return neardup.similar_sets(table(spark, d, "review_issues"), "id", ["title", "body", "file"], ws=ws)
+
+
+def p5_found(spark, d):
+    return neardup.record_pairs(*_near(spark, d, Workspace(spark, "p5"))).select("id_a", "id_b")
+
+
+def p5_classes(spark, d):
+    ws = Workspace(spark, "p5")
+    return neardup.record_classes(*_near(spark, d, ws), ws)
+
+
 def _leaks(spark, d, **k):
     return leakage.leak_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), **k)
 
@@ -74,4 +88,4 @@ def p9_portions(spark, d):
     return spans.shared_portion(_spans(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
