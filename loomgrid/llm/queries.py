@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrid.llm import generated, leakage, mixing, neardup, secrets, spans
+from loomgrid.llm import generated, leakage, mixing, neardup, secrets, spans, truncation
 from loomgrid.sources.tables import table
 from loomgrid.workspace import Workspace
 
@@ -47,6 +47,25 @@ def p5_classes(spark, d):
     return neardup.record_classes(*_near(spark, d, ws), ws)
 
 
+def _values(spark, d):
+    r = table(spark, d, "reviews")
+    providers = r.groupBy("id").agg({"provider": "max"}).toDF("review_id", "provider")
+    i = table(spark, d, "review_issues").select("id", "review_id", "body", "suggested_fix").join(providers, "review_id", "left")
+    a = truncation.text_values(i, "review_issues", "id", ["body", "suggested_fix"], "provider")
+    return a.unionByName(truncation.text_values(r, "reviews", "id", ["summary"], "provider"))
+
+
+def p6_found(spark, d):
+    a = truncation.text_values(table(spark, d, "review_issues"), "review_issues", "id", ["body", "suggested_fix"])
+    b = truncation.text_values(table(spark, d, "reviews"), "reviews", "id", ["summary"])
+    return truncation.cut_values(a.unionByName(b)).select("table_name", "row_id", "field")
+
+
+def p6_rates(spark, d):
+    v = _values(spark, d)
+    return truncation.cut_rates(v, truncation.cut_values(v))
+
+
 def _leaks(spark, d, **k):
     return leakage.leak_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), **k)
 
@@ -88,4 +107,4 @@ def p9_portions(spark, d):
     return spans.shared_portion(_spans(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
