@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import integrity
+from loomgrid.plans import data_queries, finding_queries, graph_queries, integrity, search_queries
 
-MODULES = (integrity,)
+MODULES = (integrity, graph_queries, search_queries, finding_queries, data_queries)
 
 
 def queries() -> dict:
