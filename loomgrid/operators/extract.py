@@ -82,7 +82,7 @@ def symbols(files: DataFrame) -> DataFrame:
     """
     lines = files.select("file", _base_col().alias("_b"), F.posexplode(F.split("content", "\n")).alias("_p", "content"))
     found = [F.when((F.col("_b") == b) & (n := F.regexp_extract("content", p, 1)).isNotNull() & (n != ""), F.struct(F.lit(k).alias("kind"), n.alias("name"), F.lit(i).alias("_o"))) for b, rows in DEFINITIONS.items() for i, (k, p) in enumerate(rows)]
-    any_of = F.col("content").rlike("|".join({"(?:" + re.sub(r"\((?!\?)", "(?:", p) + ")" for rows in DEFINITIONS.values() for _, p in rows}))
+    any_of = F.col("content").rlike("|".join({"(?:" + re.sub(r"(?<!\\)\((?!\?)", "(?:", p) + ")" for rows in DEFINITIONS.values() for _, p in rows}))
     d = lines.where(F.col("_b").isin(list(DEFINITIONS)) & any_of).select("file", (F.col("_p") + 1).alias("line"), "content", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_s"))
     g = d.groupBy("file", "line", F.col("_s.name").alias("name")).agg(F.min_by("_s.kind", "_s._o").alias("kind"), F.first("content").alias("signature"))
     return g.select("file", "line", "kind", "name", F.trim("signature").alias("signature"))

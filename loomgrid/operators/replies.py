@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,14 +130,17 @@ def parse_reply(raw: str | None) -> tuple[list[dict], str, str | None]:
 
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Findings of all replies (reply_id, text); a reply without findings gives one row with its summary or error."""
-    cols = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in SCHEMA.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t in zip(b["reply_id"], b["text"], strict=True):
+            for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, summary, error = parse_reply(t)
-                rows += [{"reply_id": i, **x, "summary": summary, "error": error} for x in found or [{}]]
-            yield pd.DataFrame(rows, columns=cols).astype({"line": "Int32"})
+                for x in found or [{}]:
+                    text = {k: v if v is None or k == "line" else str(v) for k, v in x.items()}
+                    rows.append({"reply_id": i, **text, "summary": summary, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return replies.select(F.col("reply_id").cast("long").alias("reply_id"), "text").mapInPandas(run, SCHEMA)
+    return replies.select(F.col("reply_id").cast("long").alias("reply_id"), "text").mapInArrow(run, SCHEMA)
