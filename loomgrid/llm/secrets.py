@@ -73,7 +73,7 @@ _ESCAPED = re.compile(r"(?:[^\s\"'`]*(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\
 _ESC_ONE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\([0-7]{3})|&#x([0-9A-Fa-f]+);|&#(\d+);")
 _BYTELIST = re.compile(r"[\[({]\s*((?:(?:0x[0-9A-Fa-f]{1,2}|\d{1,3})\s*,\s*){7,}(?:0x[0-9A-Fa-f]{1,2}|\d{1,3}))\s*,?\s*[\])}]")
 _CHRS = re.compile(r"(?:(?:chr|Chr|String\.fromCharCode|fromCharCode|char)\(\s*[\d\s,x0-9a-fA-F]+\)\s*(?:\+|\.|\|\|)?\s*){4,}|(?:fromCharCode)\(\s*(?:\d+\s*,\s*){4,}\d+\s*\)")
-_GATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}|(?i:pass|pwd|secret|token|key|cred|auth|basic|bearer|\bpw\b|\bpin\b)|://|\\[xu]|%[0-9A-Fa-f]{2}|[\"'`]\s*\+|0x|fromCharCode|chr\(")
+_GATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}|(?i:pass|pwd|secret|token|key|cred|auth|basic|bearer|\bpw\b|\bpin\b)|://|\\[xu]|%[0-9A-Fa-f]{2}|[\"'`]\s*\+|0x|fromCharCode|chr\(|(?:\d{1,3}\s*,\s*){7}")
 
 Span = tuple[int, int, str]
 
@@ -352,10 +352,14 @@ def scan(text: str | None, depth: int = 0) -> list[Span]:
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """The text with the spans masked; quotes and everything around stay."""
+    """The text with the spans masked; quotes and everything around stay.
+
+    A list of bytes or character codes becomes a quoted mask, so the code still parses.
+    """
     out, i = [], 0
     for a, b, _ in spans:
-        out += [text[i:a], MASK]
+        bare = text[a] in "[({" or re.match(r"[Cc]hr\b|char\b|String\.|fromCharCode", text[a:b])
+        out += [text[i:a], f'"{MASK}"' if bare else MASK]
         i = b
     return "".join([*out, text[i:]])
 
