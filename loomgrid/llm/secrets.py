@@ -337,11 +337,19 @@ def scan(text: str | None, depth: int = 0) -> list[Span]:
             if kind:
                 found.append((*_literal_around(text, a, b), kind))
         for spans, name, value in _pieces(text):
-            if any(s <= a and b <= e for a, b in spans for s, e, _ in found):
+            if all(any(s <= a and b <= e for s, e, _ in found) for a, b in spans):
                 continue
-            hit = scan(value, depth + 1)
-            if hit or (name and name_is_secret(name) and value_is_secret(value)):
-                found += [(a, b, hit[0][2] if hit else "assigned_secret") for a, b in spans if b > a]
+            # What the pieces give together: only pieces that a hit across a seam touches are masked.
+            ends, at = [], 0
+            for a, b in spans:
+                ends.append((at, at + b - a))
+                at += b - a
+            hs = scan(value, depth + 1)
+            hits = [[i for i, (p, q) in enumerate(ends) if p < e and s < q] for s, e, _ in hs]
+            across = {i: k for touched, (_, _, k) in zip(hits, hs, strict=True) if len(touched) > 1 for i in touched}
+            if not across and name and name_is_secret(name) and value_is_secret(value):
+                across = dict.fromkeys(range(len(spans)), "assigned_secret")
+            found += [(*spans[i], k) for i, k in across.items() if spans[i][1] > spans[i][0]]
     out: list[Span] = []
     for s in sorted(found):
         if out and s[0] < out[-1][1]:

@@ -65,6 +65,13 @@ def test_only_the_value_is_masked():
     assert s.redact(t, s.scan(t)) == f'x = b64decode("{s.MASK}") + y'
 
 
+def test_pieces_are_masked_together_and_neighbours_stay():
+    t = f'x = "{TOKEN[:36]}" + "{TOKEN[36:]}"'
+    assert s.redact(t, s.scan(t)) == f'x = "{s.MASK}" + "{s.MASK}"'
+    t = f'x = ["{TOKEN}", "comma"]'
+    assert s.redact(t, s.scan(t)) == f'x = ["{s.MASK}", "comma"]'
+
+
 def test_containers():
     assert s.key_container(PKCS1) == s.key_container(PKCS8) == "private" and s.key_container(PUBLIC) == "public"
     for bad in (b"", b"\x30", os.urandom(3), b"\x30\x84\xff\xff\xff\xff", PKCS1[:-3], b"\x30\x00"):
