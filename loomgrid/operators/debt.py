@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions.severity import HOURS, SEVERITIES, category, normal
+from loomgrid.operators.ordering import numbered
 
 RETENTION_DAYS = 90
 
@@ -26,16 +26,11 @@ def snapshots(reviews: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def halves(counts: DataFrame, order: list[str]) -> DataFrame:
-    """Add recent: false for the first half of the series, true for the rest; of a single row, it is recent.
-
-    The cut is the position of the middle row, found from the ordered keys alone.
-    """
-    n = counts.count()
-    if n < 2:
-        return counts.withColumn("recent", F.lit(True))
-    mid = max(1, n // 2)
-    cut = counts.select(*order).orderBy(*order).limit(mid + 1).agg(F.max(F.struct(*order)).alias("_cut"))
-    return counts.join(F.broadcast(cut)).withColumn("recent", F.struct(*order) >= F.col("_cut")).drop("_cut")
+    """Add recent: false for the first half of the series, true for the rest; of a single row, it is recent."""
+    d = numbered(counts, order, "_row")
+    n = d.agg(F.count("*").alias("_total"))
+    recent = (F.col("_total") < 2) | (F.col("_row") > F.greatest(F.lit(1), F.floor(F.col("_total") / 2)))
+    return d.join(F.broadcast(n)).withColumn("recent", recent).drop("_row", "_total")
 
 
 def trend(change: Column) -> Column:
@@ -99,7 +94,7 @@ def since(snaps: DataFrame, start: str | None, branch: str | None) -> DataFrame:
 
 def sampled_points(snaps: DataFrame, most: int = 40) -> DataFrame:
     """At most ``most`` points of a series for a graph: every step-th by time, and the last."""
-    n = snaps.count()
-    step = max(1, -(-n // most))
-    r = snaps.withColumn("_r", F.row_number().over(W.orderBy("created_at", "review_id")))
-    return r.where(((F.col("_r") - 1) % step == 0) | (F.col("_r") == n)).drop("_r")
+    d = numbered(snaps, ["created_at", "review_id"], "_row")
+    n = d.agg(F.count("*").alias("_total"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_total") / most))
+    return d.join(F.broadcast(n)).where(((F.col("_row") - 1) % step == 0) | (F.col("_row") == F.col("_total"))).drop("_row", "_total")

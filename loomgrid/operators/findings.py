@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.paths import is_markdown
 from loomgrid.functions.severity import at_least, normal, rank
+from loomgrid.operators.ordering import numbered
 
 #: Order of the sources: an earlier one silences a later one on the same line.
 SOURCES = ["llm", "rules", "secrets", "security", "unused_import", "dead_code", "breaking"]
@@ -152,8 +153,8 @@ def stale_findings(open_findings: DataFrame, current: DataFrame) -> DataFrame:
 
 def resolution_events(stale: DataFrame, first_id: int, at: Column) -> DataFrame:
     """auto_resolved events of stale findings, numbered from first_id by finding."""
-    n = F.row_number().over(W.orderBy("id")) + F.lit(first_id - 1)
-    return stale.select(n.cast("long").alias("id"), F.col("id").alias("finding_id"), F.lit("auto_resolved").alias("event_type"), F.lit(None).cast("string").alias("note"), at.alias("created_at"))
+    d = numbered(stale, ["id"], "_row")
+    return d.select((F.col("_row") + first_id - 1).cast("long").alias("id"), F.col("id").alias("finding_id"), F.lit("auto_resolved").alias("event_type"), F.lit(None).cast("string").alias("note"), at.alias("created_at"))
 
 
 def change_event(findings: DataFrame, finding_id: int, event: str, event_id: int, note: str | None, at: Column) -> DataFrame:

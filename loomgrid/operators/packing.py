@@ -25,17 +25,30 @@ def costs(files: DataFrame, path: str = "path", content: str | None = "content",
     return files.withColumn("cost", (F.coalesce(n, F.lit(0)) + F.octet_length(path) + OVERHEAD).cast("long"))
 
 
+class Folder:
+    """The state of one job's packing: the open bundle and its load.
+
+    ``kind`` lets a change of kind split a bundle of two files or more that is
+    nearly full; ``part`` starts a new bundle whenever it changes.
+    """
+
+    def __init__(self, max_chars: int, max_files: int):
+        self.max_chars, self.max_files = max_chars, max_files
+        self.bundle, self.total, self.n, self.kind, self.part = 0, 0, 0, None, None
+
+    def add(self, cost: int, kind=None, part=None) -> int:
+        full = self.n >= self.max_files or (self.n > 0 and self.total + cost > self.max_chars)
+        turn = kind is not None and self.n >= 2 and kind != self.kind and self.total + cost > int(self.max_chars * SPLIT_AT)
+        if self.n and (full or turn or part != self.part):
+            self.bundle, self.total, self.n = self.bundle + 1, 0, 0
+        self.total, self.n, self.kind, self.part = self.total + cost, self.n + 1, kind, part
+        return self.bundle
+
+
 def fold(cost: list[int], kind: list | None, max_chars: int, max_files: int) -> list[int]:
-    """Bundle number of each file in order; ``kind`` lets a change of kind split a bundle of two files or more that is nearly full."""
-    out, bundle, total, n, last = [], 0, 0, 0, None
-    for i, c in enumerate(cost):
-        full = n >= max_files or (n > 0 and total + c > max_chars)
-        turn = kind is not None and n >= 2 and kind[i] != last and total + c > int(max_chars * SPLIT_AT)
-        if n and (full or turn):
-            bundle, total, n = bundle + 1, 0, 0
-        total, n, last = total + c, n + 1, kind[i] if kind is not None else None
-        out.append(bundle)
-    return out
+    """Bundle number of each file in order."""
+    f = Folder(max_chars, max_files)
+    return [f.add(c, kind[i] if kind is not None else None) for i, c in enumerate(cost)]
 
 
 def pack(files: DataFrame, job: str, strategy: str = "flat", by: str | None = None, order: str = "path", max_chars: int = MAX_CHARS, max_files: int = MAX_FILES) -> DataFrame:
@@ -43,31 +56,31 @@ def pack(files: DataFrame, job: str, strategy: str = "flat", by: str | None = No
 
     flat: in the given order.  smart: by directory, family and path.  ``by``
     'directory' or 'language': separately for each value, numbered by its order.
-    The group that reaches Python has one short row a file.
+    Rows arrive sorted by job and order and are folded as they stream by; a task
+    holds one batch and one open bundle, however many files a job has.
     """
-    d = files.select(job, "path", "cost", F.col(order).alias("_o"), directory("path").alias("_dir"), family("path").alias("_fam"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        fam = {f: i for i, f in enumerate(FAMILY_ORDER)}
-        g = g.assign(_rank=g["_fam"].map(fam))
-        if by:
-            key = "_dir" if by == "directory" else "_fam"
-            g = g.sort_values([key, "_o"], kind="stable")
-            bundle, start = [], 0
-            for _, part in g.groupby(key, sort=True):
-                b = fold(part["cost"].tolist(), None, max_chars, max_files)
-                bundle += [start + x for x in b]
-                start += b[-1] + 1
-        elif strategy == "smart":
-            g = g.sort_values(["_dir", "_rank", "path"], kind="stable")
-            bundle = fold(g["cost"].tolist(), list(zip(g["_dir"], g["_fam"], strict=True)), max_chars, max_files)
-        else:
-            g = g.sort_values("_o", kind="stable")
-            bundle = fold(g["cost"].tolist(), None, max_chars, max_files)
-        return pd.DataFrame({job: g[job], "path": g["path"], "bundle": bundle, "cost": g["cost"]})
-
-    kind = dict(files.dtypes)[job]
-    return d.groupBy(job).applyInPandas(run, f"{job} {kind}, path string, bundle int, cost long")
+    rank = None
+    for i, f in enumerate(FAMILY_ORDER):
+        rank = F.when(F.col("_fam") == f, i) if rank is None else rank.when(F.col("_fam") == f, i)
+    d = files.select(job, "path", "cost", F.col(order).alias("_o"), directory("path").alias("_dir"), family("path").alias("_fam")).withColumn("_rank", rank)
+    kind = F.concat_ws("\u0001", "_dir", "_fam") if strategy == "smart" and not by else F.lit(None).cast("string")
+    part = F.col("_dir") if by == "directory" else F.col("_fam") if by else F.lit("")
+    keys = [part, "_o"] if by else ["_dir", "_rank", "path"] if strategy == "smart" else ["_o"]
+    d = d.select(job, "path", "cost", kind.alias("_kind"), part.alias("_part"), *[F.col(k).alias(f"_s{i}") if isinstance(k, str) else k.alias(f"_s{i}") for i, k in enumerate(keys)])
+    d = d.repartition(job).sortWithinPartitions(job, *[f"_s{i}" for i in range(len(keys))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, f = object(), Folder(max_chars, max_files)
+        for b in batches:
+            out = []
+            for j, c, k, p in zip(b[job], b["cost"], b["_kind"], b["_part"], strict=True):
+                if j != now:
+                    now, f = j, Folder(max_chars, max_files)
+                out.append(f.add(c, k, p))
+            yield pd.DataFrame({job: b[job], "path": b["path"], "bundle": out, "cost": b["cost"]})
+
+    kind_of = dict(files.dtypes)[job]
+    return d.mapInPandas(run, f"{job} {kind_of}, path string, bundle int, cost long")
 
 
 def merge_small(packed: DataFrame, job: str, least: int, max_chars: int = MAX_CHARS, max_files: int = MAX_FILES) -> DataFrame:

@@ -235,3 +235,11 @@ def test_streams(spark, rows, tmp_path):
     assert rows(spark.read.parquet(f"{out}/v1"), "project_id", "fingerprint") == [(1, "z"), (2, "q")]
     e = spark.createDataFrame([(i, datetime(2025, 1, 1, i), i % 2, "click", 1.0) for i in range(10)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
     assert rows(inc.tumbling(e), "n") == [(10,)] and inc.sessions(e, "3 hours").count() == 2
+
+
+def test_row_numbers_over_ranges(spark):
+    from loomgrid.operators.ordering import numbered
+
+    d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(1).alias("x")).repartition(7)
+    assert {(r.k, r.row_no) for r in numbered(d, ["k"]).collect()} == {(i, i + 1) for i in range(1000)}
+    assert numbered(d.where("false"), ["k"]).count() == 0
