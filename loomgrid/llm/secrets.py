@@ -66,6 +66,9 @@ _PATHLIKE = re.compile(r"^(?:[~.]{0,2}/|[A-Za-z]:\\|\w+://|\./)|\.(?:json|ya?ml|
 _REGEXLIKE = re.compile(r"\(\?|\[[^\]]+\][+*{]|\\[dws]|\.[*+]|\{\d+,\d*\}|^\^|\$$")
 _LITERAL = re.compile(r"""(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q)).)*?)(?P=q)""", re.S)
 _JOINERS = re.compile(r"^\s*(?:\+|\.\.?|<>|&|,|\\?\n\s*\+?)?\s*$")
+# A list of literals is one value only where it is joined.
+_JOIN_BEFORE = re.compile(r"(?:join|concat!?|implode|Concat)\s*\(\s*(?:[\"'`]{2}\s*,\s*)?[\[({]?\s*$")
+_JOIN_AFTER = re.compile(r"\s*[\])}]\s*\.\s*(?:join|concat)\s*\(")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])|(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{12,}={0,2}(?![A-Za-z0-9_=-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])")
 _PERCENT = re.compile(r"[^\s\"'`<>]*(?:%[0-9A-Fa-f]{2}[^\s\"'`<>]*)+")
@@ -299,6 +302,9 @@ def _pieces(text: str) -> list[tuple[list[tuple[int, int]], str, str]]:
             run.append(lits[i + 1])
             i += 1
         i += 1
+        listed = any("," in text[a[1] + 1 : b[0] - 1] for a, b in zip(run, run[1:], strict=False))
+        if listed and not (_JOIN_BEFORE.search(text[: run[0][0] - 1]) or _JOIN_AFTER.match(text[run[-1][1] + 1 :])):
+            continue
         if len(run) > 1:
             head = re.search(r"([A-Za-z_$][\w$]*)[\"'`\]]*\s*(?::[^=\"'`]*)?(?:=|:)[^\"'`=;]*$", text[: run[0][0] - 1])
             out.append(([(a, b) for a, b, _ in run], head[1] if head else "", "".join(v for _, _, v in run)))
