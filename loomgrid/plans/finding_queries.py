@@ -27,7 +27,9 @@ def rule_scan(spark, d):
 
 
 def security_scan(spark, d):
-    return rules.scan_security(b.lines(spark, d)).select("rule_id", "file", "line", "severity")
+    """Over the lines of all suggested fixes, numbered within their fix; the issue's id takes part in the file's name."""
+    i = table(spark, d, "review_issues").where("suggested_fix is not null").select(F.concat_ws("/", F.col("id").cast("string"), "file").alias("file"), F.posexplode(F.split("suggested_fix", "\n")).alias("_p", "content"))
+    return rules.scan_security(i.select("file", (F.col("_p") + 1).alias("line"), "content")).select("rule_id", "file", "line", "severity")
 
 
 def secret_scan(spark, d):
@@ -270,3 +272,26 @@ SQL["rule_scan"] = f"with {b.LINES} " + " union ".join(
     + (f" and not {_SQL_FP[r.id]}" if r.id in _SQL_FP else "")
     for r in rules.RULES
 )
+
+_C5 = "(starts_with(trim(content), '//') or starts_with(trim(content), '#') or starts_with(trim(content), '--') or starts_with(trim(content), '/*') or starts_with(trim(content), '*'))"
+_DOC = "(contains(content, chr(34) || chr(34) || chr(34)) or contains(content, chr(39) || chr(39) || chr(39)))"
+
+
+def _any_of(*parts: str) -> str:
+    return "(" + " or ".join(f"contains(lower(content), '{x}')" for x in parts) + ")"
+
+
+_ENV = f"(contains(lower(content), 'env') and {_any_of('getenv', 'environ', 'from_env')})"
+_SECURITY_FP = {
+    "crypto/hardcoded-secret": _SQL_FP["sec-hardcoded-secret"],
+    "injection/sql-concat": f"({_C5} or {_DOC})",
+    "injection/eval": f"({_C5} or {_DOC} or {_any_of('evaluate', 'evaluation', 'ast.literal_eval', 'json.')})",
+    "config/debug-enabled": f"({_C5} or {_any_of('add_argument', 'addoption', 'argument(', '.option(', 'parser.')} or {_ENV})",
+    "crypto/weak-hash": f"({_C5} or {_DOC} or {_any_of('import ', 'use ', 'require(', '#include', 'impl ', 'fn ', 'type ')})",
+    "crypto/ssl-verify-disabled": f"({_C5} or {_DOC} or {_ENV} or {_any_of('process.env', 'interface ', 'schema', 'field(', 'default:')})",
+    "config/cors-wildcard": _any_of("env::var(", "getenv(", "os.environ"),
+}
+SQL["security_scan"] = f"""with f as (select id || '/' || file as file, string_split(suggested_fix, chr(10)) as parts from review_issues where suggested_fix is not null),
+lines as (select file, generate_subscripts(parts, 1) as line, unnest(parts) as content from f), src as (select * from lines where not ({_TEST})) """ + " union all ".join(
+    f"select '{i}' as rule_id, file, line, '{sev}' as severity from src where regexp_matches(content, '{_Q(p)}')" + (f" and not {_SECURITY_FP[i]}" if i in _SECURITY_FP else "") for i, _, sev, p in rules.SECURITY
+)
