@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from loomgrid.llm import generated, leakage, mixing, neardup, secrets, spans, truncation
-from loomgrid.sources.tables import table
+from loomgrid.sources.tables import spread, table
 from loomgrid.workspace import Workspace
 
 
+def _wide(spark, d, name, *cols):
+    return spread(table(spark, d, name).select(*cols))
+
+
 def _secrets(spark, d):
-    a = secrets.find_secrets(table(spark, d, "symbols"), "id", "signature", "symbols")
-    b = secrets.find_secrets(table(spark, d, "review_issues"), "id", "suggested_fix", "review_issues")
+    a = secrets.find_secrets(_wide(spark, d, "symbols", "id", "signature"), "id", "signature", "symbols")
+    b = secrets.find_secrets(_wide(spark, d, "review_issues", "id", "suggested_fix"), "id", "suggested_fix", "review_issues")
     return a.unionByName(b)
 
 
@@ -35,7 +39,7 @@ def p2_kinds(spark, d):
 
 
 def _near(spark, d, ws):
-    return neardup.similar_sets(table(spark, d, "review_issues"), "id", ["title", "body", "file"], ws=ws)
+    return neardup.similar_sets(_wide(spark, d, "review_issues", "id", "title", "body", "file"), "id", ["title", "body", "file"], ws=ws)
 
 
 def p5_found(spark, d):
@@ -56,7 +60,7 @@ def _values(spark, d):
 
 
 def p6_found(spark, d):
-    a = truncation.text_values(table(spark, d, "review_issues"), "review_issues", "id", ["body", "suggested_fix"])
+    a = truncation.text_values(_wide(spark, d, "review_issues", "id", "body", "suggested_fix"), "review_issues", "id", ["body", "suggested_fix"])
     b = truncation.text_values(table(spark, d, "reviews"), "reviews", "id", ["summary"])
     return truncation.cut_values(a.unionByName(b)).select("table_name", "row_id", "field")
 
@@ -67,7 +71,7 @@ def p6_rates(spark, d):
 
 
 def _leaks(spark, d, **k):
-    return leakage.leak_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), **k)
+    return leakage.leak_matches(_wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"), **k)
 
 
 def p7_found(spark, d):
@@ -84,7 +88,7 @@ def p7_near(spark, d):
 
 
 def _mixed(spark, d):
-    return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return mixing.mix(mixing.token_counts(_wide(spark, d, "documents", "doc_id", "source", "text")), table(spark, d, "mix_targets"))
 
 
 def p8_mix(spark, d):
@@ -96,7 +100,7 @@ def p8_shares(spark, d):
 
 
 def _spans(spark, d):
-    return spans.shared_spans(table(spark, d, "documents"))
+    return spans.shared_spans(_wide(spark, d, "documents", "doc_id", "text"))
 
 
 def p9_found(spark, d):
