@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.sources.tables import table
+from loomgrid.sources.tables import spread, table
 
 PROJECT = 1
 
@@ -47,7 +47,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     for k, v in _CODES.items():
         code = F.when(lang == k, v) if code is None else code.when(lang == k, v)
     file = F.concat_ws("/", F.lit("docs"), F.concat(F.col("doc_id").cast("string"), F.lit("."), F.coalesce(code, F.lit("md"))))
-    return table(spark, d, "documents").select("doc_id", file.alias("file"), code.otherwise("md").alias("language"), F.col("text").alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", file.alias("file"), code.otherwise("md").alias("language"), F.col("text").alias("content"))
 
 
 _CASE = " ".join(f"when '{k}' then '{v}'" for k, v in _CODES.items())

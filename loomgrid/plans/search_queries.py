@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.text import code_tokens_udf, dot, embed_udf
 from loomgrid.operators import search as s
 from loomgrid.plans import bindings as b
-from loomgrid.sources.tables import table
+from loomgrid.sources.tables import spread, table
 
 P = b.PROJECT
 DOC_QUERY = "queue consumer retryPolicy"
@@ -16,12 +16,12 @@ CODE_QUERY = "seal profile"
 
 
 def bm25_documents(spark, d):
-    hit = s.bm25(table(spark, d, "documents"), DOC_QUERY, "doc_id", ["text"])
+    hit = s.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), DOC_QUERY, "doc_id", ["text"])
     return hit.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 def symbol_search(spark, d):
-    return s.search(b.symbols(spark, d), "pub fn src", P).select("id", "name", F.round("score", 6).alias("score"))
+    return s.search(spread(b.symbols(spark, d)), "pub fn src", P).select("id", "name", F.round("score", 6).alias("score"))
 
 
 def fts_like_fallback(spark, d):
@@ -55,19 +55,20 @@ def rrf_fusion(spark, d):
 def hybrid_search(spark, d):
     from loomgrid.functions.text import code_tokens, embed
 
-    sym = b.symbols(spark, d).where(F.col("project_id") == P)
+    every = spread(b.symbols(spark, d))
+    sym = every.where(F.col("project_id") == P)
     vec = sym.select("id", embed_udf(F.concat_ws(" ", "name", "signature")).alias("vec"))
     q = embed(code_tokens(CODE_QUERY)).tolist()
-    return s.hybrid(b.symbols(spark, d), b.edges(spark, d), vec, "fn src", q, P, 20).select("id", "name", "kind", "file", "line", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"))
+    return s.hybrid(every, b.edges(spark, d), vec, "fn src", q, P, 20).select("id", "name", "kind", "file", "line", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"))
 
 
 def code_token_counts(spark, d):
-    t = table(spark, d, "review_issues").where("suggested_fix is not null").select("id", F.explode(code_tokens_udf("suggested_fix")).alias("token", "n"))
+    t = spread(table(spark, d, "review_issues").select("id", "suggested_fix")).where("suggested_fix is not null").select("id", F.explode(code_tokens_udf("suggested_fix")).alias("token", "n"))
     return t.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
 
 
 def embedding_norms(spark, d):
-    v = b.symbols(spark, d).select("id", embed_udf(F.concat_ws(" ", "name", "signature")).alias("vec"))
+    v = spread(b.symbols(spark, d).select("id", "name", "signature")).select("id", embed_udf(F.concat_ws(" ", "name", "signature")).alias("vec"))
     return v.select("id", F.size("vec").alias("dims"), F.round(F.sqrt(dot(F.col("vec"), F.col("vec"))), 4).alias("norm"))
 
 
