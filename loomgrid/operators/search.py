@@ -28,7 +28,7 @@ def postings(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     return d.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def _count(words: str, term: str) -> Column:
+def _count(words: Column, term: str) -> Column:
     """How often a term stands in an array of words; array_remove is one generated loop, without a lambda."""
     return F.size(words) - F.size(F.array_remove(words, term))
 
@@ -45,9 +45,10 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_cols: list[str]) -> Data
     if not asked:
         return docs.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score")).where(F.lit(False))
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    w = docs.select(F.col(id_col).alias("doc"), terms(text).alias("_w"))
     tf = {t: f"_tf{i}" for i, t in enumerate(asked)}
-    w = w.select("doc", F.size("_w").alias("dl"), *[_count("_w", t).alias(c) for t, c in tf.items()])
+    # One generated row a document: a filter on the counts stops at the generator, so a text is split once and not once for each term.
+    counted = F.transform(F.array(terms(text)), lambda w: F.struct(F.size(w).alias("dl"), *[_count(w, t).alias(c) for t, c in tf.items()]))
+    w = docs.select(F.col(id_col).alias("doc"), F.explode(counted).alias("_s")).select("doc", "_s.*")
     stats = w.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(c) > 0).alias(f"_df{c}") for c in tf.values()])
     j = w.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

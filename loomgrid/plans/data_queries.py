@@ -153,10 +153,23 @@ def reply_findings(spark, d):
     return out.groupBy("reply_id").agg(F.count("title").alias("n"), F.max("error").alias("error"))
 
 
+def _resolved(spark, d):
+    refs = b.calls(spark, d).select("file", F.col("callee").alias("name"), F.lit("call").alias("kind"))
+    return context.resolve(refs, b.symbols(spark, d))
+
+
+def context_resolved(spark, d):
+    return _resolved(spark, d).select("ref_file", "name", "file", "line_from", "line_to")
+
+
 def context_entries(spark, d):
-    refs = extract.diff_references(diff.added_lines(diff.parse_diffs(b.fixes(spark, d))))
-    r = context.resolve(refs, b.symbols(spark, d).where(F.col("project_id") == P))
-    return context.drop_overlaps(r).select("ref_file", "name", "kind", "file", "line_from", "line_to")
+    return context.drop_overlaps(_resolved(spark, d)).select("ref_file", "name", "file", "line_from", "line_to")
+
+
+def context_callers(spark, d):
+    """Callers of all methods, at most 20 each."""
+    defs = b.symbols(spark, d).where("kind = 'method'").select("file", "name")
+    return context.callers(defs, b.calls(spark, d)).select("ref_file", "name", "file", "line_from", "line_to")
 
 
 def context_budget(spark, d):
@@ -193,7 +206,7 @@ QUERIES = {
     for f in (
         index_stats, kind_histogram, language_histogram, path_languages, latest_files, changed_files, replace_by_file, pruned_symbols, deleted_project, rebuild_needed, stale_embeddings, diff_lines, diff_stats,
         diff_files, line_numbers, diff_chunks, pack_flat, pack_smart, pack_by_language, pack_merged, pack_stats, extracted_symbols, extracted_edges, diff_references, diff_definitions, reply_findings,
-        context_entries, context_budget, events_tumbling, events_sliding, events_sessions, event_ranks, order_cube,
+        context_resolved, context_entries, context_callers, context_budget, events_tumbling, events_sliding, events_sessions, event_ranks, order_cube,
     )
 }
 
@@ -231,3 +244,18 @@ s as (select *, sum(new_) over (partition by user_id order by ts, event_id rows
 round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as running from events window w as (partition by user_id order by ts, event_id)""",
     "order_cube": "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by cube (o_orderstatus, o_orderpriority)",
 }
+_NAMED = " union all ".join(
+    f"select file, line, content, {i} as o, '{k}' as kind, regexp_extract(content, '{p}', 1) as name from lines where language in ('{lang}'{', ' + repr('js') if lang == 'ts' else ''}) and regexp_matches(content, '{p}')"
+    for lang in ("rs", "py", "ts", "go")
+    for i, (k, p) in enumerate(extract.DEFINITIONS[lang])
+)
+SQL["extracted_symbols"] = f"""with {b.LINES}, named as ({_NAMED}), first_ as (select *, row_number() over (partition by file, line, name order by o) as r from named where name <> '')
+select file, cast(line as int) as line, kind, name, trim(content) as signature from first_ where r = 1"""
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(callee, '^\s+|\s+$', '', 'g'), '\(\)$', ''), '^.*(::|\.|->)', '', 's')"
+SQL["context_resolved"] = f"""with r as (select distinct file as ref_file, {_BARE} as name from call_graph where length({_BARE}) >= 2),
+j as (select distinct r.ref_file, r.name, s.file, s.line from r join symbols s on s.name = r.name where s.file <> r.ref_file),
+k as (select *, row_number() over (partition by ref_file, name order by file, line) as n from j)
+select ref_file, name, file, line as line_from, line + 50 as line_to from k where n <= 5"""
+SQL["context_callers"] = f"""with d as (select distinct file as ref_file, name from symbols where kind = 'method'), c as (select distinct {_BARE} as name, caller, file, line from call_graph where {_BARE} in (select name from d)),
+k as (select *, row_number() over (partition by name order by file, line, caller) as n from c)
+select d.ref_file, d.name, k.file, greatest(k.line - 1, 1) as line_from, k.line + 1 as line_to from d join k using (name) where n <= 20 and k.file <> d.ref_file"""

@@ -295,3 +295,7 @@ SQL["security_scan"] = f"""with f as (select id || '/' || file as file, string_s
 lines as (select file, generate_subscripts(parts, 1) as line, unnest(parts) as content from f), src as (select * from lines where not ({_TEST})) """ + " union all ".join(
     f"select '{i}' as rule_id, file, line, '{sev}' as severity from src where regexp_matches(content, '{_Q(p)}')" + (f" and not {_SECURITY_FP[i]}" if i in _SECURITY_FP else "") for i, _, sev, p in rules.SECURITY
 )
+
+SQL["debt_badge"] = f"""with report as ({SQL['debt_report']}) select 1 as "schemaVersion", 'code quality' as label,
+format('{{:.1f}}/10', score_avg) || ' · debt ~1.6d' || case trend when 'improving' then ' ▼' when 'worsening' then ' ▲' else '' end as message,
+case when score_avg >= 8 then 'green' when score_avg >= 5 then 'yellow' else 'red' end as color from report"""

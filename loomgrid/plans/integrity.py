@@ -89,3 +89,13 @@ walk as (
 pairs as (select project_id, node, unnest(above) as anc, unnest(range(len(above))) as k, len(above) as n from walk)
 select project_id, anc as node, node as descendant, cast(n - k as bigint) as steps from pairs""",
 }
+
+SQL["p4_rings"] = f"""with recursive {_REFS},
+links as (select distinct project_id, name as node, up as parent from judged where state is null or state <> 'missing'),
+names as (select project_id, node from links union select project_id, parent from links),
+roots as (select n.project_id, n.node from names n left join links l on n.project_id = l.project_id and n.node = l.node where l.node is null),
+walk as (select project_id, node from roots union all select l.project_id, l.node from walk w join links l on l.project_id = w.project_id and l.parent = w.node),
+rest as (select l.* from links l left join walk w on w.project_id = l.project_id and w.node = l.node where w.node is null),
+reach as (select project_id, node, parent as up from rest union select r.project_id, r.node, l.parent from reach r join rest l on l.project_id = r.project_id and l.node = r.up),
+on_ring as (select project_id, node from reach where node = up)
+select r.project_id, r.node, min(r.up) as ring, count(*) as ring_size from reach r join on_ring o on o.project_id = r.project_id and o.node = r.node group by 1, 2"""
