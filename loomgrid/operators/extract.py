@@ -33,7 +33,7 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "lua": [("function", r"^\s*(?:local\s+)?function\s+(?:[\w.:]+\.)?(\w+)")],
     "zig": [("function", r"^\s*(?:pub\s+)?fn\s+(\w+)"), ("constant", r"^\s*(?:pub\s+)?const\s+(\w+)")],
     "dart": [("class", r"^\s*(?:abstract\s+)?(?:class|mixin)\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("class", r"^\s*extension\s+(?:type\s+)?(\w+)\s+on\s+\w+"), ("class", r"^\s*extension\s+(?:type\s+)?on\s+(\w+)"), ("type_alias", r"^\s*typedef\s+(\w+)"), ("function", r"^\s*(?:[A-Z]\w*\s+)?(?:[a-zA-Z]\w*(?:<[^>]+>)?)\s+get\s+(\w+)"), ("function", r"^\s*(?:static\s+)?(?:external\s+)?(?:late\s+)?(?:final\s+)?(?:const\s+)?(?:void|[a-zA-Z]\w*(?:<[^>]+>)?)\s+(\w+)\s*\(")],
-    "svelte": [("variable", r"^\s*export\s+let\s+(\w+)"), ("variable", r"^\s*let\s+(\w+)\s*=\s*\$state(?:<[^>]*>)?\s*\("), ("variable", r"^\s*let\s+(\w+)\s*=\s*\$derived(?:<[^>]*>)?\s*\("), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("constant", r"^\s*(?:export\s+)?const\s+(\w+)")],
+    "svelte": [("variable", r"^\s*export\s+let\s+(\w+)"), ("variable", r"^\s*let\s+(\w+)\s*=\s*\$state(?:<[^>]*>)?\s*\("), ("variable", r"^\s*let\s+(\w+)\s*=\s*\$derived(?:<[^>]*>)?\s*\("), ("function", r"^\s*(\$effect)\s*\("), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("constant", r"^\s*(?:export\s+)?const\s+(\w+)")],
 }
 ALIASES = {"pyi": "py", "tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "kt": "java", "kts": "java", "cpp": "c", "cc": "c", "cxx": "c", "h": "c", "hpp": "c"}
 # Names that are no calls of the project's own.
@@ -78,14 +78,19 @@ def _base_col():
 def symbols(files: DataFrame) -> DataFrame:
     """(file, line, kind, name, signature) of definitions in files (file, language, content).
 
-    A line gives each name once, under the first kind of its language's table.
+    A line gives each name once, under the first kind of its language's table.  A
+    Svelte file also defines its component, named after the file.
     """
     lines = files.select("file", _base_col().alias("_b"), F.posexplode(F.split("content", "\n")).alias("_p", "content"))
     found = [F.when((F.col("_b") == b) & (n := F.regexp_extract("content", p, 1)).isNotNull() & (n != ""), F.struct(F.lit(k).alias("kind"), n.alias("name"), F.lit(i).alias("_o"))) for b, rows in DEFINITIONS.items() for i, (k, p) in enumerate(rows)]
     any_of = F.col("content").rlike("|".join({"(?:" + re.sub(r"(?<!\\)\((?!\?)", "(?:", p) + ")" for rows in DEFINITIONS.values() for _, p in rows}))
     d = lines.where(F.col("_b").isin(list(DEFINITIONS)) & any_of).select("file", (F.col("_p") + 1).alias("line"), "content", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_s"))
     g = d.groupBy("file", "line", F.col("_s.name").alias("name")).agg(F.min_by("_s.kind", "_s._o").alias("kind"), F.first("content").alias("signature"))
-    return g.select("file", "line", "kind", "name", F.trim("signature").alias("signature"))
+    out = g.select("file", "line", "kind", "name", F.trim("signature").alias("signature"))
+    stem = F.regexp_extract("file", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    name = F.array_join(F.transform(F.split(stem, "[-_]"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
+    own = files.where("language = 'svelte'").select("file", F.lit(1).alias("line"), F.lit("struct").alias("kind"), name.alias("name"))
+    return out.unionByName(own.where("name != ''").withColumn("signature", F.format_string("<!-- %s component -->", "name")))
 
 
 def line_references(line: str, lang: str) -> list[tuple[str, str]]:

@@ -165,6 +165,18 @@ def change_event(findings: DataFrame, finding_id: int, event: str, event_id: int
     return f.select(F.lit(event_id).cast("long").alias("id"), F.col("id").alias("finding_id"), F.lit(event).alias("event_type"), F.lit(note).cast("string").alias("note"), at.alias("created_at"))
 
 
+def save_review(review: DataFrame, issues: DataFrame, review_id: int, first_finding: int, first_event: int, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that a finished review appends: the review, its findings, all open, and an opened event for each.
+
+    ``review`` is one row of attributes; findings are numbered by file, line and title.
+    """
+    r = review.withColumn("id", F.lit(review_id).cast("long")).withColumn("created_at", at)
+    n = numbered(issues, ["file", "line", "title"], "_row")
+    f = n.select((F.col("_row") + first_finding - 1).cast("long").alias("id"), F.lit(review_id).cast("long").alias("review_id"), "file", "line", normal("severity").alias("severity"), "issue_type", "title", "body", F.lit("open").alias("status"), fingerprint().alias("fingerprint"), at.alias("created_at"))
+    e = f.select((F.col("id") - first_finding + first_event).alias("id"), F.col("id").alias("finding_id"), F.lit("opened").alias("event_type"), F.lit(None).cast("string").alias("note"), "created_at")
+    return r, f, e
+
+
 def list_findings(findings: DataFrame, status: str | None = "open", severity: str | None = None, file: str | None = None, limit: int = 50) -> DataFrame:
     from loomgrid.functions.paths import contains_like
 

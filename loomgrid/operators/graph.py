@@ -257,6 +257,24 @@ def breaking_changes(diff_lines: DataFrame, calls: DataFrame, per_name: int = 10
     return gone.join(callers, "name").select("file", "line", "name", "n_callers").orderBy("file", "line", "name")
 
 
+def changed_scan(symbols: DataFrame, calls: DataFrame, edges: DataFrame, diff_lines: DataFrame, cap: int = 10, skip: list[str] | None = None) -> DataFrame:
+    """(rule_id, file, line, severity, name): unused imports of files with added lines, and uncalled symbols of changed files, at most ``cap`` each.
+
+    Deleted files and files that match a skip pattern are left out.
+    """
+    from loomgrid.functions.paths import skip_regex
+
+    live = diff_lines.where(~F.col("is_deleted"))
+    for p in skip or []:
+        live = live.where(~F.col("file").rlike(skip_regex(p)))
+    changed = live.select("file").distinct()
+    added = live.where("line_type = 'add'").select("file").distinct()
+    a = unused_imports(edges, calls).join(added, "file", "left_semi").select(F.lit("index-unused-import").alias("rule_id"), "file", "line", F.lit("minor").alias("severity"), F.col("target").alias("name"))
+    d = _uncalled(symbols.join(changed, "file", "left_semi"), calls).where(_no_tests())
+    b = d.select(F.lit("index-dead-code").alias("rule_id"), "file", "line", F.lit("info").alias("severity"), "name")
+    return a.orderBy("file", "line", "name").limit(cap).unionByName(b.orderBy("file", "line", "name").limit(cap))
+
+
 def index_scan(symbols: DataFrame, calls: DataFrame, edges: DataFrame, cap: int = 50) -> DataFrame:
     """Project-wide findings of the index: unused imports first, then dead code, up to the cap."""
     a = unused_imports(edges, calls).select(F.lit("index-unused-import").alias("rule_id"), "file", "line", F.lit("minor").alias("severity"), F.col("target").alias("name"), F.lit(0).alias("_o"))

@@ -73,6 +73,12 @@ def breaking_changes(spark, d):
     return g.breaking_changes(parse_diffs(b.fixes(spark, d)), b.calls(spark, d))
 
 
+def changed_scan(spark, d):
+    from loomgrid.operators.diff import parse_diffs
+
+    return g.changed_scan(b.symbols(spark, d), b.calls(spark, d), b.edges(spark, d), parse_diffs(b.fixes(spark, d)), 50)
+
+
 def index_scan(spark, d):
     return g.index_scan(b.symbols(spark, d), b.calls(spark, d), b.edges(spark, d), 50)
 
@@ -89,7 +95,7 @@ def dsl_functions(spark, d):
     return dsl.run("* -> *", b.calls(spark, d), b.symbols(spark, d), P)
 
 
-QUERIES = {f.__name__: f for f in (callers, callees, cross_project_callers, impact_depth3, trace_out, trace_in, graph_proximity, arch_overview, edge_kind_counts, dead_code, unused_imports, routes_list, affected_tests, breaking_changes, index_scan, dsl_callers, dsl_callees, dsl_functions)}
+QUERIES = {f.__name__: f for f in (callers, callees, cross_project_callers, impact_depth3, trace_out, trace_in, graph_proximity, arch_overview, edge_kind_counts, dead_code, unused_imports, routes_list, affected_tests, breaking_changes, changed_scan, index_scan, dsl_callers, dsl_callees, dsl_functions)}
 
 _BARE = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\(\)$', ''), '^.*(::|\.|->)', '', 's')"
 _CALLERS = f"select distinct caller, file, line from call_graph where callee ilike '%{NAME}%' and project_id = {P} order by file, line, caller limit 50"
@@ -169,3 +175,9 @@ _GONE = " union all ".join(f"select file, old_line_no as line, regexp_extract(co
 SQL["breaking_changes"] = f"""with {b.FIXES}, gone as (select * from ({_GONE}) where length(name) >= 3),
 cc as (select distinct {_BARE.format('callee')} as name, caller, file, line from call_graph), nc as (select name, least(count(*), 10) as n_callers from cc group by name)
 select g.file, g.line, g.name, n_callers from gone g join nc using (name)"""
+SQL["changed_scan"] = f"""with {b.EDGES}, {_UNUSED}, {b.FIXES}, ch as (select distinct file from diff_lines), ad as (select distinct file from diff_lines where line_type = 'add'),
+dd as (select name, file, line from symbols s where kind in ('function', 'method', 'procedure') and name not in ({_WELL}) and file in (select file from ch)
+ and not exists (select 1 from call_graph c where c.project_id = s.project_id and c.callee = s.name) and name not ilike 'test_%' and name not ilike '%_test'),
+a as (select 'index-unused-import' as rule_id, file, line, 'minor' as severity, target as name from unused where file in (select file from ad) order by file, line, target limit 50),
+z as (select 'index-dead-code' as rule_id, file, line, 'info' as severity, name from dd order by file, line, name limit 50)
+select * from a union all select * from z"""

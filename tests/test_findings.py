@@ -107,6 +107,14 @@ def test_life_cycle(spark, rows):
     assert [r.id for r in fi.list_findings(after.withColumn("severity", F.lit("major")).withColumn("file", F.lit("src/x")), "open", "MAJOR", "SRC").collect()] == [3, 1]
 
 
+def test_saved_review(spark, rows):
+    d = issues(spark, ("b", 2, "Major", "bug", "t", "llm"), ("a", None, "info", None, "u", "llm"))
+    r, f, e = fi.save_review(spark.createDataFrame([("review", 80)], "command string, score int"), d, 5, 100, 900, F.lit("2025-01-01").cast("timestamp"))
+    assert r.first().id == 5 and rows(f, "id", "review_id", "severity", "status", "fingerprint") == [(100, 5, "info", "open", "a:0:u"), (101, 5, "major", "open", "b:2:t")]
+    assert rows(e, "id", "finding_id", "event_type") == [(900, 100, "opened"), (901, 101, "opened")]
+    assert rows(fi.status_of(f, e), "status") == [("open",), ("open",)]
+
+
 def test_debt(spark, rows):
     T = datetime(2025, 1, 1)
     d = spark.createDataFrame([(i, T + timedelta(days=i), n, q) for i, (n, q) in enumerate([(3, 5.0), (2, 6.0), (1, 8.0), (0, 9.0)])], "review_id long, created_at timestamp_ntz, n long, quality_score double")

@@ -120,6 +120,11 @@ def test_symbols(spark, lang, code, want):
     assert {(r.name, r.kind) for r in extract.symbols(df).collect()} == want
 
 
+def test_svelte_component(spark):
+    df = spark.createDataFrame([("ui/side-bar_item.svelte", "svelte", "<script>\n  export let open;\n  let n = $state(0);\n  $effect(() => {});\n  function go() {}\n</script>")], "file string, language string, content string")
+    assert {(r.name, r.kind, r.line) for r in extract.symbols(df).collect()} == {("SideBarItem", "struct", 1), ("open", "variable", 2), ("n", "variable", 3), ("$effect", "function", 4), ("go", "function", 5)}
+
+
 def test_edges_and_routes(spark, rows):
     rs = 'use crate::a::b;\nfn outer() {\n  helper(1);\n  outer();\n  vec(2);\n}\nfn r() { app.route("/x", get(h::show)) }'
     py = "import os\nclass A(B):\n    def m(self):\n        self.go()\n@app.route('/p')\ndef v():\n    helper()"
