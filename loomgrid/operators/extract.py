@@ -205,10 +205,10 @@ _NO_DEFINITION = ["if", "for", "while", "match", "new", "return", "test", "main"
 
 
 def diff_definitions(added: DataFrame) -> DataFrame:
-    """(file, name, kind) of functions and types that added lines define, each once a file."""
+    """(file, name, kind) of functions and types that added lines define, each once a file, by its first line."""
     s = symbols(added.groupBy("file", "language").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("content")))
     kind = F.when(F.col("kind").isin("function", "method"), "function").otherwise("type")
-    return s.where(F.col("kind").isin("function", "method", "class", "struct", "enum", "trait", "interface", "type_alias") & ~F.col("name").isin(_NO_DEFINITION)).select("file", "name", kind.alias("kind")).dropDuplicates(["file", "name"])
+    return s.where(F.col("kind").isin("function", "method", "class", "struct", "enum", "trait", "interface", "type_alias") & ~F.col("name").isin(_NO_DEFINITION)).groupBy("file", "name").agg(F.min_by(kind, F.struct("line", kind)).alias("kind"))
 
 
 def definition_extent(content: str, line: int, most: int = 50) -> tuple[int, int]:

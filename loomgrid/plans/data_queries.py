@@ -141,7 +141,8 @@ def diff_references(spark, d):
 
 
 def diff_definitions(spark, d):
-    return extract.diff_definitions(diff.added_lines(diff.parse_diffs(b.fixes(spark, d))))
+    """All lines of the source documents, as if they had just been added."""
+    return extract.diff_definitions(b.lines(spark, d).where("language != 'md'"))
 
 
 def reply_findings(spark, d):
@@ -259,3 +260,8 @@ select ref_file, name, file, line as line_from, line + 50 as line_to from k wher
 SQL["context_callers"] = f"""with d as (select distinct file as ref_file, name from symbols where kind = 'method'), c as (select distinct {_BARE} as name, caller, file, line from call_graph where {_BARE} in (select name from d)),
 k as (select *, row_number() over (partition by name order by file, line, caller) as n from c)
 select d.ref_file, d.name, k.file, greatest(k.line - 1, 1) as line_from, k.line + 1 as line_to from d join k using (name) where n <= 20 and k.file <> d.ref_file"""
+_TYPES = "('class', 'struct', 'enum', 'trait', 'interface', 'type_alias')"
+SQL["diff_definitions"] = f"""with {b.LINES}, named as ({_NAMED}), first_ as (select *, row_number() over (partition by file, line, name order by o) as r from named where name <> ''),
+k as (select file, name, line, case when kind in ('function', 'method') then 'function' else 'type' end as kind from first_ where r = 1 and (kind in ('function', 'method') or kind in {_TYPES})
+ and name not in ({', '.join(repr(x) for x in extract._NO_DEFINITION)}))
+select file, name, arg_min(kind, struct_pack(l := line, k := kind)) as kind from k group by 1, 2"""
