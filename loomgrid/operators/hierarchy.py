@@ -59,8 +59,8 @@ def _nodes(links: DataFrame, ws: Workspace, seed: int = 0) -> DataFrame:
     a = links.select(nid("node").alias("id"), "project_id", F.col("node").alias("name"), nid("parent").alias("parent"), F.lit(False).alias("inner"))
     b = links.select(nid("parent").alias("id"), "project_id", F.col("parent").alias("name"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("inner"))
     g = a.unionByName(b).groupBy("id").agg(F.min(F.struct("project_id", "name")).alias("k"), F.max(F.struct("project_id", "name")).alias("k2"), F.max("parent").alias("parent"), F.max("inner").alias("inner"))
-    nodes = ws.write(g.select("id", "k.project_id", "k.name", "parent", "inner", (F.col("k") != F.col("k2")).alias("clash")), f"nodes{seed}")
-    if nodes.where("clash").limit(1).count():
+    nodes, clashes = ws.write_measured(g.select("id", "k.project_id", "k.name", "parent", "inner", (F.col("k") != F.col("k2")).alias("clash")), f"nodes{seed}", F.count_if(F.col("clash")))
+    if clashes:
         return _nodes(links, ws, seed + 1)
     return nodes.drop("clash")
 
@@ -72,18 +72,18 @@ def _sizes(inner: DataFrame, ws: Workspace) -> DataFrame:
     is the ancestor 2^k steps above.  Each round resolves at least the next depth,
     so a round without progress proves that what is left never reaches a root.
     """
-    t, k, left = ws.write(inner.withColumn("ptr", F.col("parent")), "sz0"), 0, None
-    while True:
-        now = t.where("ptr is not null").count()
-        if now == 0 or now == left:
-            return t
+    open_ = F.count_if(F.col("ptr").isNotNull())
+    t, now = ws.write_measured(inner.withColumn("ptr", F.col("parent")), "sz0", open_)
+    k, left = 0, None
+    while now and now != left:
         left = now
         add = t.where("ptr is not null").groupBy(F.col("ptr").alias("_v")).agg(F.sum("size").alias("_add"))
         up = t.select(F.col("id").alias("_u"), F.col("ptr").alias("_ptr"))
         n = t.join(add, F.col("id") == F.col("_v"), "left").join(up, F.col("ptr") == F.col("_u"), "left")
         n = n.select("id", "parent", (F.col("size") + F.coalesce("_add", F.lit(0))).alias("size"), F.col("_ptr").alias("ptr"))
-        t = ws.write(n, f"sz{k + 1}", replaces=f"sz{k}")
+        t, now = ws.write_measured(n, f"sz{k + 1}", open_, replaces=f"sz{k}")
         k += 1
+    return t
 
 
 def _chains(tree: DataFrame, ws: Workspace) -> DataFrame:
@@ -92,11 +92,12 @@ def _chains(tree: DataFrame, ws: Workspace) -> DataFrame:
     t = tree.join(heavy.select(F.col("_h.id").alias("_hid")), F.col("id") == F.col("_hid"), "left")
     is_heavy = F.col("_hid").isNotNull()
     t = t.select("id", "parent", "size", F.when(is_heavy, F.col("parent")).otherwise(F.col("id")).alias("chain"), F.when(is_heavy, 1).otherwise(0).cast("long").alias("pos"), (~is_heavy).alias("done"))
-    t, k = ws.write(t, "ch0"), 0
-    while t.where("not done").limit(1).count():
+    left = F.count_if(~F.col("done"))
+    (t, now), k = ws.write_measured(t, "ch0", left), 0
+    while now:
         up = t.select(F.col("id").alias("_u"), F.col("chain").alias("_c"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
         open_ = t.where("not done").join(up, F.col("chain") == F.col("_u")).select("id", "parent", "size", F.col("_c").alias("chain"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_done").alias("done"))
-        t = ws.write(t.where("done").unionByName(open_), f"ch{k + 1}", replaces=f"ch{k}")
+        t, now = ws.write_measured(t.where("done").unionByName(open_), f"ch{k + 1}", left, replaces=f"ch{k}")
         k += 1
     return t.drop("done")
 
@@ -113,8 +114,8 @@ def _segments(chained: DataFrame, names: DataFrame, ws: Workspace) -> DataFrame:
     while True:
         got = rest.join(level.withColumnRenamed("chain", "_c"), F.col("up") == F.col("_c"))
         step = F.array(F.struct(F.col("up").alias("chain"), F.col("up_pos").alias("pos"))).cast(seg)
-        nxt = ws.write(got.select("chain", "root", (F.col("base") + F.col("up_pos") + 1).alias("base"), F.concat("above", step).alias("above")), f"lv{k + 1}")
-        if not nxt.limit(1).count():
+        nxt, n = ws.write_measured(got.select("chain", "root", (F.col("base") + F.col("up_pos") + 1).alias("base"), F.concat("above", step).alias("above")), f"lv{k + 1}", F.count(F.lit(1)))
+        if not n:
             break
         levels.append(nxt)
         level, k = nxt, k + 1

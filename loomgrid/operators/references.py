@@ -69,8 +69,7 @@ def orphan_references(calls: DataFrame, symbols: DataFrame, ws: Workspace | None
     refs = call_references(calls)
     state = fold_deltas(reference_deltas(refs), existence_deltas(symbols))
     bad = state.where((F.col("refs") > 0) & ((F.col("defs") <= 0) | (F.col("first_def") > F.col("first_ref"))))
-    bad = ws.write(bad.select(*KEYS, "refs", F.when(F.col("defs") > 0, F.col("first_def")).alias("first_def")), "state")
-    total = bad.agg(F.sum("refs")).first()[0] or 0
+    bad, total = ws.write_measured(bad.select(*KEYS, "refs", F.when(F.col("defs") > 0, F.col("first_def")).alias("first_def")), "state", F.sum("refs"))
     hit = skew_join(refs, bad, KEYS, "refs", total)
     late = F.col("first_def") > F.col("at")
     return hit.withColumn("state", F.when(F.col("first_def").isNull(), F.lit("missing")).when(late, F.lit("late"))).where("state is not null").drop("first_def")

@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -57,6 +57,11 @@ class Workspace:
         self._live[label] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_measured(self, df: DataFrame, label: str, measure: Column, replaces: str | None = None) -> tuple[DataFrame, int]:
+        """Write df and measure it on the way: the table, and the value of one aggregate over its rows."""
+        seen = Observation()
+        return self.write(df.observe(seen, measure.alias("m")), label, replaces), seen.get["m"] or 0
+
     def drop(self, label: str) -> None:
         if label in self._live:
             self._delete(self._live.pop(label))
