@@ -62,7 +62,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINES = SOURCES + """,
-lines as (select file, language, generate_subscripts(parts, 1) as line, unnest(parts) as content
+lines as (select file, language, cast(generate_subscripts(parts, 1) as int) as line, unnest(parts) as content
   from (select file, language, string_split(content, chr(10)) as parts from sources))"""
 
 
@@ -80,9 +80,9 @@ def _n(sign: str):
 FIXES = r"""fixes as (select id as diff_id, file, coalesce(line, 1) as start, string_split(suggested_fix, chr(10)) as parts
   from review_issues where regexp_matches(suggested_fix, '^[-+][^\n]*(\n[-+][^\n]*)*$')),
 fix_pos as (select diff_id, file, start, generate_subscripts(parts, 1) as pos, unnest(parts) as raw from fixes),
-diff_lines as (select diff_id, file, pos - 1 as line_seq, case when raw[1] = '+' then 'add' else 'remove' end as line_type, substr(raw, 2) as content,
-  case when raw[1] = '-' then start - 1 + sum(case when raw[1] = '-' then 1 else 0 end) over w end as old_line_no,
-  case when raw[1] = '+' then start - 1 + sum(case when raw[1] = '+' then 1 else 0 end) over w end as new_line_no
+diff_lines as (select diff_id, file, cast(pos - 1 as int) as line_seq, case when raw[1] = '+' then 'add' else 'remove' end as line_type, substr(raw, 2) as content,
+  cast(case when raw[1] = '-' then start - 1 + sum(case when raw[1] = '-' then 1 else 0 end) over w end as int) as old_line_no,
+  cast(case when raw[1] = '+' then start - 1 + sum(case when raw[1] = '+' then 1 else 0 end) over w end as int) as new_line_no
   from fix_pos window w as (partition by diff_id order by pos rows unbounded preceding))"""
 
 

@@ -234,7 +234,7 @@ list_has_any(regexp_split_to_array(lower(path), '[/_\\-.]'), {paths.TEST_WORDS!r
     "rebuild_needed": "select id from projects where index_config_hash is distinct from 'a51d9f122542e1e7'",
     "stale_embeddings": "select id, case when coalesce(signature, '') = '' then name else name || ' ' || signature end as text from symbols where id % 2 <> 0",
     "diff_lines": f"with {b.FIXES} select diff_id, file, line_seq, line_type, content, cast(old_line_no as int) as old_line_no, cast(new_line_no as int) as new_line_no from diff_lines",
-    "diff_stats": f"with {b.FIXES} select diff_id, 1 as n_files, count(*) as n_changed from diff_lines group by 1",
+    "diff_stats": f"with {b.FIXES} select diff_id, cast(1 as bigint) as n_files, count(*) as n_changed from diff_lines group by 1",
     "diff_files": f"with {b.FIXES} select diff_id, file from fixes",
     "line_numbers": f"with {b.FIXES} select diff_id, line_seq, cast(old_line_no as int) as old_line_no, cast(new_line_no as int) as new_line_no from diff_lines",
     "events_tumbling": "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

@@ -236,7 +236,7 @@ cast(round(100.0 * count(*) filter (where status = 'resolved') / count(*)) as bi
     "stale_findings": f"""{_ST}, f as (select *, {_FP} as fingerprint from st)
 select id from f where status = 'open' and project_id is not null and not exists (select 1 from f g where g.id % 2 = 0 and g.project_id = f.project_id and g.fingerprint = f.fingerprint)
 union all select id from f where status = 'open' and project_id is null""",
-    "quality_scores": f"{_I} select review_id, round(greatest(0.0, 10.0 - sum({_case(PENALTY_10)})), 6) as score_10, cast(floor(greatest(0.0, 100.0 - sum({_case(PENALTY_100)}))) as bigint) as score_100 from issues group by 1",
+    "quality_scores": f"{_I} select review_id, round(cast(greatest(0.0, 10.0 - sum({_case(PENALTY_10)})) as double), 6) as score_10, cast(floor(greatest(0.0, 100.0 - sum({_case(PENALTY_100)}))) as bigint) as score_100 from issues group by 1",
     "severity_counts": f"{_I} select severity, count(*) as n from issues group by 1",
     "category_counts": f"{_I} select {_CAT} as category, count(*) as n from issues group by 1",
     "debt_report": f"""{_SER}, a as (select count(*) as reviews, sum(n) as total, sum(case when recent then n else -n end) as change, avg(q) as av, avg(q) filter (where recent) as r, avg(q) filter (where not recent) as p from hv)
@@ -245,7 +245,7 @@ select reviews, cast(total as bigint) as total, cast(change as bigint) as change
 g as (select category as name, sum(case when recent then n else 0 end) as n, sum(case when recent then n else -n end) as change from c join hv using (review_id) group by 1)
 """.replace("sum(case when recent then n else 0 end)", "sum(case when recent then c.n else 0 end)").replace("sum(case when recent then n else -n end) as change from c", "sum(case when recent then c.n else -c.n end) as change from c")
     + "select name, cast(n as bigint) as n, cast(change as bigint) as change, case when change < -1 then 'improving' when change > 1 then 'worsening' else 'stable' end as trend from g",
-    "debt_hours": f"""{_I}, h as (select review_id, round(sum({_case(HOURS)}), 6) as hours from issues group by 1)
+    "debt_hours": f"""{_I}, h as (select review_id, round(cast(sum({_case(HOURS)}) as double), 6) as hours from issues group by 1)
 select review_id, hours, case when hours < 1 then format('~{{:.0f}}min', hours * 60) when hours < 8 then format('~{{:.1f}}h', hours) else format('~{{:.1f}}d', hours / 8) end as human from h""",
     "debt_snapshots": f"""{_I}, {_REV} select rv.id as review_id, count(*) filter (where severity = 'major') as major, count(*) filter (where {_CAT} = 'security') as security, round(any_value(rv.score) / 10.0, 6) as quality_score from rv left join issues on issues.review_id = rv.id group by 1""",
     "debt_retained": f"with {_REV} select id from rv where created_at >= timestamp '2025-10-01' - interval 90 days and created_at >= timestamp '2025-08-01' and branch = 'main'",
@@ -292,7 +292,7 @@ _SECURITY_FP = {
     "config/cors-wildcard": _any_of("env::var(", "getenv(", "os.environ"),
 }
 SQL["security_scan"] = f"""with f as (select id || '/' || file as file, string_split(suggested_fix, chr(10)) as parts from review_issues where suggested_fix is not null),
-lines as (select file, generate_subscripts(parts, 1) as line, unnest(parts) as content from f), src as (select * from lines where not ({_TEST})) """ + " union all ".join(
+lines as (select file, cast(generate_subscripts(parts, 1) as int) as line, unnest(parts) as content from f), src as (select * from lines where not ({_TEST})) """ + " union all ".join(
     f"select '{i}' as rule_id, file, line, '{sev}' as severity from src where regexp_matches(content, '{_Q(p)}')" + (f" and not {_SECURITY_FP[i]}" if i in _SECURITY_FP else "") for i, _, sev, p in rules.SECURITY
 )
 

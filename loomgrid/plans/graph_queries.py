@@ -151,7 +151,7 @@ SQL = {
     "graph_proximity": f"""with {b.EDGES}, s0 as (select min(source) as s from edges where project_id = {P}),
 n as (select target as name from edges, s0 where project_id = {P} and source = s union select source from edges, s0 where project_id = {P} and target = s),
 h as (select distinct y.name, y.id from symbols y join n using (name), s0 where y.project_id = {P} and y.name <> s order by y.name, y.id limit 50)
-select id, row_number() over (order by name, id) as rank, 1.0 / (row_number() over (order by name, id) + 1) as weight from h""",
+select id, cast(row_number() over (order by name, id) as int) as rank, 1.0 / (row_number() over (order by name, id) + 1) as weight from h""",
     "arch_overview": f"select split_part(file, '/', 1) as module, count(*) as n_symbols, count(distinct kind) as n_kinds from symbols where project_id = {P} group by 1",
     "edge_kind_counts": f"with {b.EDGES} select kind, count(*) as n from edges group by 1",
     "dead_code": f"with {_DEAD} select * from dead",
