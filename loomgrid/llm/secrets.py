@@ -46,14 +46,14 @@ TOKEN_SHAPES = [
 ]
 _TOKENS = [(k, re.compile(p)) for k, p in TOKEN_SHAPES]
 _TOKEN_ANY = re.compile("|".join(f"(?:{p})" for _, p in TOKEN_SHAPES))
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----((?:\\[nr]|\s|[A-Za-z0-9+/=:,.\- ])*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|$|(?=[\"'`]))")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----((?:\\[nr]|[A-Za-z0-9+/=:,.\-\s])*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|$|(?=[\"'`]))")
 _USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@\"'`?#]*):([^\s/@\"'`]+)@[\w.\[-]")
 _QUERY = re.compile(r"[?&;](?:[\w.-]*(?:api_?key|access_?token|auth_?token|token|secret|password|passwd|pwd|signature|sig|key))=([^\s&#\"'`<>)]+)", re.I)
 _BEARER = re.compile(r"\bBearer[ \t]+([A-Za-z0-9._~+/=-]{12,})", re.I)
 _BASIC = re.compile(r"\bBasic[ \t]+([A-Za-z0-9+/_=-]{6,})", re.I)
 # A name, up to a type note, an assignment sign, and a value that is quoted or bare.
 _ASSIGN = re.compile(
-    r"""(?P<q0>["'`]?)(?P<name>[A-Za-z_$][\w$.-]*)(?P=q0)\]?\s*(?::\s*(?:&?'?\w+\s+)?&?[A-Za-z_][\w<>\[\]|&' ]*?\s*)?(?:=>|:=|=|:)\s*
+    r"""(?P<q0>["'`]?)(?<![\w$])(?P<name>[A-Za-z_$][\w$.-]{0,120})(?P=q0)\]?\s*(?::\s*(?:&?'?\w{1,40}\s+)?&?[A-Za-z_][\w<>\[\]|&' ]{0,120}?\s*)?(?:=>|:=|=|:)\s*
     (?:[rbfuBRU]{0,2}(?P<q>\\?["'`])(?P<val>(?:(?!(?P=q)).)*?)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]<>]+)(?=$|[\s,;)}\]]))""",
     re.X | re.S,
 )
@@ -64,15 +64,16 @@ SECRET_PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private"
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.{3,}|-+|_+|none|null|nil|true|false|undefined|todo|fixme|tbd|n/?a|changeme|change[-_ ]?me|placeholder|example|sample|dummy|redacted|masked|removed|hidden|secret|password|token|test|your[-_ ].*|<.*>|\[.*\]|.*\$\{.*|.*\{\{.*|%\(?\w+\)?s?%?|\$\w+|\$\(.*|env[:.].*|vault[:.].*|.*\*{3,}.*|.*(?:xxxx|example|placeholder|changeme|your[-_]|insert[-_ ]|replace[-_]?me|redacted).*)$")
 _PATHLIKE = re.compile(r"^(?:[~.]{0,2}/|[A-Za-z]:\\|\w+://|\./)|\.(?:json|ya?ml|toml|pem|txt|env|conf|ini|key|crt)$")
 _REGEXLIKE = re.compile(r"\(\?|\[[^\]]+\][+*{]|\\[dws]|\.[*+]|\{\d+,\d*\}|^\^|\$$")
-_LITERAL = re.compile(r"""(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q)).)*?)(?P=q)""", re.S)
+_LITERAL = re.compile(r"""(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q))[^\\])*?)(?P=q)""", re.S)
 _JOINERS = re.compile(r"^\s*(?:\+|\.\.?|<>|&|,|\\?\n\s*\+?)?\s*$")
 # A list of literals is one value only where it is joined.
 _JOIN_BEFORE = re.compile(r"(?:join|concat!?|implode|Concat)\s*\(\s*(?:[\"'`]{2}\s*,\s*)?[\[({]?\s*$")
 _JOIN_AFTER = re.compile(r"\s*[\])}]\s*\.\s*(?:join|concat)\s*\(")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])|(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{12,}={0,2}(?![A-Za-z0-9_=-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])")
-_PERCENT = re.compile(r"[^\s\"'`<>]*(?:%[0-9A-Fa-f]{2}[^\s\"'`<>]*)+")
-_ESCAPED = re.compile(r"(?:[^\s\"'`]*(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\}|\\[0-7]{3}|&#x?[0-9A-Fa-f]+;))+[^\s\"'`]*")
+# Stretches that may hold percent or backslash escapes; each is looked into once, so a long one costs no more than its length.
+_STRETCH = re.compile(r"[^\s\"'`<>]+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESC_ONE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\([0-7]{3})|&#x([0-9A-Fa-f]+);|&#(\d+);")
 _BYTELIST = re.compile(r"[\[({]\s*((?:(?:0x[0-9A-Fa-f]{1,2}|\d{1,3})\s*,\s*){7,}(?:0x[0-9A-Fa-f]{1,2}|\d{1,3}))\s*,?\s*[\])}]")
 _CHRS = re.compile(r"(?:(?:chr|Chr|String\.fromCharCode|fromCharCode|char)\(\s*[\d\s,x0-9a-fA-F]+\)\s*(?:\+|\.|\|\|)?\s*){4,}|(?:fromCharCode)\(\s*(?:\d+\s*,\s*){4,}\d+\s*\)")
@@ -214,12 +215,13 @@ def _layers(text: str) -> Iterator[tuple[int, int, str | bytes]]:
             yield m.start(), m.end(), b
     for m in _HEX.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m[0].removeprefix("0x"))
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            yield m.start(), m.end(), urllib.parse.unquote(m[0], errors="replace")
-    if "\\" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
-            yield m.start(), m.end(), _unescape(m[0])
+    percent, escaped = "%" in text, "\\" in text or "&#" in text
+    if percent or escaped:
+        for m in _STRETCH.finditer(text):
+            if percent and _PERCENT.search(m[0]):
+                yield m.start(), m.end(), urllib.parse.unquote(m[0], errors="replace")
+            if escaped and _ESC_ONE.search(m[0]):
+                yield m.start(), m.end(), _unescape(m[0])
     for m in _BYTELIST.finditer(text):
         n = [int(x, 0) for x in re.split(r"\s*,\s*", m[1].strip(" ,"))]
         if max(n) < 256:

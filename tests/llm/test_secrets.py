@@ -86,6 +86,15 @@ def test_long_texts_and_ties(spark):
     assert s.find_secrets(df.where("false"), "id", "t", "tab").count() == 0
 
 
+@pytest.mark.parametrize("text", ["-----BEGIN PRIVATE KEY-----" + " \n" * 20_000 + "{", 'x = "' + "\\" * 40_001, "token%zz" + "a" * 300_000, "a\\q" * 60_000, "(" * 50_000, "x = [" + "1, " * 60_000, "key: " + "word " * 20_000, "aGVsbG8-" * 30_000])
+def test_no_text_takes_long(text):
+    import time
+
+    t = time.perf_counter()
+    s.scan(text)
+    assert time.perf_counter() - t < 10
+
+
 def test_random_values_round_trip():
     import random
 
