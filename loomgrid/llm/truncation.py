@@ -5,10 +5,11 @@ Three kinds of evidence, in this order:
 1. What stands at the end: a mark left at the cut, an open fence, bracket,
    string or code span, a path without its ending, a sentence without its stop in
    a text whose other sentences have theirs.
-2. Near-copies.  Min-hash bands over five-word shingles bring copies together;
-   each undecided text is aligned with the longest text of each of its bands.
-   Where at least SIMILAR of the shingles agree up to the end of the shorter one
-   and the longer goes on in the middle of a word or line, the shorter was cut.
+2. Near-copies.  The last TAIL characters of each undecided text are looked for
+   at every position of every text, so a copy meets its source wherever it was cut,
+   and is aligned with all texts that go on after them.  Where at least SIMILAR of
+   the five-word shingles agree up to there and the longer goes on in the middle of
+   a word or line, the shorter was cut.
 3. Terminality of the closing word.  Over all lines of all texts it is counted
    how often a word occurs in lines of a kind (list items, comments, statements by
    their first word) and how often it closes them.  An undecided text whose closing
@@ -20,7 +21,9 @@ finished statement are whole.
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.spans import _codes, gram_hashes
 from loomgrid.workspace import Workspace
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 6, 3
+#: Characters at the end of a text that its source must hold; of a text with fewer, the last SHORT are the key.
+TAIL, SHORT = 24, 8
+#: The end in the source lies in one of the length classes that a text's own length allows; a class spans this ratio.
+CLASS_RATIO = 1.25
+#: Bits of the bitmap of the keys that are looked for, at most; beyond, more texts are carried on and none is lost.
+MOST_BITS = 29
+#: Texts of a key that one task aligns with each other; larger groups are cut into cells, and every pair of cells meets.
+CELL = 500
 #: A word that stands in at least this many lines of a kind is no terminal one when it closes less than this share of them.
 CLOSES_SHARE, CLOSES_LEAST = 0.2, 3
 #: A class of closing words (numbers, identifiers) is terminal when it closes this share of the lines of a kind.
@@ -259,21 +271,246 @@ def bands(texts: list[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
 
 
+def _goes_on(rest: str) -> bool:
+    """Whether what follows a cut position continues the word or line."""
+    return bool(rest.strip()) and rest[0] not in "\r\n" and not (re.match(r"[.!?;,)`'\"]", rest) and not rest[1:].strip())
+
+
 def ends_early(short: str, long: str) -> bool:
     """Whether ``short`` is a near-copy of the beginning of ``long`` that stops inside a word or line of it."""
     a, b = short.rstrip(), long.rstrip()
-    tail = a[-24:]
-    at = b.find(tail, max(0, len(a) - 24 - len(a) // 5), len(a) + len(a) // 5 + 24)
-    if at < 0:
-        return False
-    end = at + len(tail)
-    rest = b[end:]
-    if not rest.strip() or rest[0] in "\r\n" or re.match(r"[.!?;,)`'\"]", rest) and not rest[1:].strip():
-        return False
-    if _SENTENCE.search(a):
+    tail, (lo, hi) = a[-TAIL:], _range(len(a))
+    ends, at = [], b.find(tail, max(0, lo - len(tail)), hi)
+    while at >= 0:
+        if _goes_on(b[at + len(tail) :]):
+            ends.append(at + len(tail))
+        at = b.find(tail, at + 1, hi)
+    return Beginnings(b, ends).hold(a, _shingle_set(a)) if ends else False
+
+
+def _range(n: int) -> tuple[int, int]:
+    """Smallest and largest end in the source of a text of n characters."""
+    return n - n // 5, n + n // 5 + TAIL
+
+
+def _shingle_set(text: str) -> set[int]:
+    return set(_shingles(text).tolist())
+
+
+class Beginnings:
+    """A text up to some of its positions, of which one may be the end of a near-copy."""
+
+    def __init__(self, text: str, ends: list[int]):
+        self.text, self.ends = text, sorted(ends)
+        self._words: list[tuple[int, int]] | None = None
+
+    def _prepare(self) -> None:
+        self._words = [m.span() for m in _WORD.finditer(self.text)]
+        self._stops = [e for _, e in self._words]
+        self._shingles = _shingles(self.text).tolist()
+
+    def hold(self, a: str, x: set[int]) -> bool:
+        """Whether ``a`` with shingles ``x`` is a near-copy of the text up to one of the positions."""
+        lo, hi = _range(len(a))
+        ends = [e for e in self.ends[bisect_left(self.ends, lo) : bisect_right(self.ends, hi)] if self.text.endswith(a[-TAIL:], 0, e)]
+        if not ends or not x or _SENTENCE.search(a):
+            return False
+        if self._words is None:
+            self._prepare()
+        # Shingles come in one by one as the end moves on; only that of a word cut by the end is made anew.
+        seen: set[int] = set()
+        both = at = 0
+        for e in ends:
+            w = bisect_right(self._stops, e)
+            while at < w - SHINGLE + 1:
+                s = self._shingles[at]
+                if s not in seen:
+                    seen.add(s)
+                    both += s in x
+                at += 1
+            size, common = len(seen), both
+            if w < len(self._words) and self._words[w][0] < e and w >= SHINGLE - 1:
+                s = int(_shingles(self.text[self._words[w - SHINGLE + 1][0] : e])[-1])
+                if s not in seen:
+                    size += 1
+                    common += s in x
+            if common >= SIMILAR * (len(x) + size - common) and size:
+                return True
         return False
-    x, y = set(_shingles(a).tolist()), set(_shingles(b[:end]).tolist())
-    return bool(x) and len(x & y) >= SIMILAR * len(x | y)
+
+
+def shingle_sets(texts: list[str]) -> list[set[int]]:
+    s, row = _shingle_rows(texts) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    at = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    s = s.tolist()
+    return [set(s[i:j]) for i, j in itertools.pairwise(at)]
+
+
+def _rare(x: set[int]) -> list[int]:
+    """The smallest shingles, of which two sets share one if at least SIMILAR of their shingles agree."""
+    return sorted(x)[: len(x) - int(SIMILAR * len(x)) + 1]
+
+
+class Group:
+    """Beginnings that end in the same characters, found by a shingle that every near-copy must share."""
+
+    def __init__(self):
+        self.by: dict[int, list[tuple[str, set[int]]]] = {}
+        self.long: list[Beginnings] = []
+
+    def add(self, text: str, y: set[int]) -> None:
+        for s in _rare(y):
+            self.by.setdefault(s, []).append((text, y))
+
+    def hold(self, a: str, x: set[int]) -> bool:
+        if not x or _SENTENCE.search(a):
+            return False
+        (lo, hi), tail = _range(len(a)), a[-TAIL:]
+        for s in _rare(x):
+            for b, y in self.by.get(s, ()):
+                if lo <= len(b) <= hi and SIMILAR * len(x) <= len(y) and SIMILAR * len(y) <= len(x) and b.endswith(tail) and len(x & y) >= SIMILAR * len(x | y):
+                    return True
+        return any(g.hold(a, x) for g in self.long)
+
+
+_KEY_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _classes(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS_RATIO)).astype(np.uint64)
+
+
+def _keyed(h: np.ndarray, k: int, cls: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (h ^ (cls + np.uint64(1000 * k))) * _KEY_SALT
+        x ^= x >> np.uint64(32)
+        return x * np.uint64(0x9E3779B97F4A7C15) ^ x
+
+
+def tail_keys(text: str) -> list[int]:
+    """Signed keys of a text's last characters, one for each length class that the end in its source may have."""
+    a = text.rstrip()
+    k = TAIL if len(a) >= TAIL else SHORT
+    if len(a) < k:
+        return []
+    lo, hi = _classes(np.array(_range(len(a)))).tolist()
+    h = gram_hashes(_codes(a[-k:]), k)
+    return _keyed(np.repeat(h, hi - lo + 1), k, np.arange(lo, hi + 1).astype(np.uint64)).view(np.int64).tolist()
+
+
+_PROBES = (0, 17, 35)
+
+
+def _probe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of the keys whose bits are all set."""
+    mask, at = np.uint64(len(bitmap) * 8 - 1), np.arange(len(keys))
+    for shift in _PROBES:
+        bit = keys[at] >> np.uint64(shift) & mask
+        at = at[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str, list[int]]]:
+    """(key, text up to the last position, positions) of the places where a text holds a key of the bitmap and goes on."""
+    out: dict[tuple[int, int], list[int]] = {}
+    texts = [t.rstrip() for t in texts]
+    stop = np.cumsum([len(t) for t in texts])
+    start = stop - [len(t) for t in texts]
+    codes = _codes("".join(texts))
+    for k in (TAIL, SHORT):
+        h = gram_hashes(codes, k)
+        if not len(h):
+            continue
+        first = np.arange(len(h))
+        row = np.searchsorted(stop, first, "right")
+        end = first + k
+        ok = end < stop[row]
+        if k == SHORT:
+            ok &= end - start[row] <= _range(TAIL)[1]
+        nxt = codes[np.minimum(end, len(codes) - 1)]
+        ok &= (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
+        row, end = row[ok], end[ok]
+        keys = _keyed(h[ok], k, _classes(end - start[row]))
+        for i in _probe(bitmap, keys).tolist():
+            out.setdefault((int(keys[i : i + 1].view(np.int64)[0]), int(row[i])), []).append(int(end[i] - start[row[i]]))
+    return [(key, texts[r][: max(e)], e) for (key, r), e in out.items()]
+
+
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits of the keys, built in slices so that no task and no result holds the whole."""
+    bits = 1 << min(MOST_BITS, max(20, (16 * n).bit_length()))
+    size = 1 << 20
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            s, bit = (c.to_numpy() for c in b.columns)
+            for x in np.unique(s).tolist():
+                own.setdefault(x, np.zeros(size, bool))[bit[s == x]] = True
+        for x, v in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    bit = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in _PROBES]))
+    parts = keys.select(bit.alias("b")).distinct().select(F.shiftright("b", 20).alias("slice"), F.col("b").bitwiseAND(F.lit(size - 1)).alias("bit")).repartition("slice")
+    out = np.zeros(bits // 8, np.uint8)
+    for s, v in parts.mapInArrow(slices, "slice long, bits binary").collect():
+        out[s * size // 8 : (s + 1) * size // 8] = np.frombuffer(v, np.uint8)
+    return out
+
+
+def near_copies(asks: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
+    """(th) of the texts of ``asks`` (th, tails, text) that are cut near-copies of beginnings of ``texts`` (text)."""
+    spark = asks.sparkSession
+    keyed = asks.select("th", F.explode("tails").alias("key"))
+    held = spark.sparkContext.broadcast(_bitmap(keyed, keyed.count()))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, size = [], 0
+            for t in [*b.column(0).to_pylist(), None]:
+                if part and (t is None or size > 500_000):
+                    got = beginnings(part, held.value)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*got, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["key", "text", "ends"])
+                    part, size = [], 0
+                if t is not None:
+                    part.append(t)
+                    size += len(t)
+
+    found = texts.select("text").mapInArrow(find, "key long, text string, ends array<int>")
+    found = ws.write(found.withColumn("th", F.xxhash64("text")), "beginnings")
+    # A group larger than CELL is cut into cells on both sides, and every pair of cells meets in one task.
+    long_n = found.groupBy("key").agg(F.count("*").alias("nb"))
+    mine = ws.write(asks.select("th", "text", F.explode("tails").alias("key")).join(long_n, "key").dropDuplicates(["key", "th"]), "tails")
+    both = mine.groupBy("key").agg(F.count("*").alias("na"), F.first("nb").alias("nb"))
+    ca, cb = F.ceil(F.col("na") / CELL).cast("int"), F.ceil(F.col("nb") / CELL).cast("int")
+    a = mine.drop("nb").join(both, "key").select("key", F.pmod("th", ca).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("q"), F.lit(1).alias("side"), "th", "text", F.lit(None).cast("array<int>").alias("ends"))
+    b = found.join(both, "key").select("key", F.explode(F.sequence(F.lit(0), ca - 1)).alias("p"), F.pmod("th", cb).cast("int").alias("q"), F.lit(0).alias("side"), "th", "text", "ends")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, seen = None, Group(), set()
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            parts = [[r[5].rstrip()] if r[3] else [r[5][:e] for e in r[6]] if len(r[6]) <= 8 else [] for r in rows]
+            sets, i, hit = shingle_sets([x for p in parts for x in p]), 0, []
+            for (key, p, q, side, th, text, ends), part in zip(rows, parts, strict=True):
+                if (key, p, q) != now:
+                    now, group, seen = (key, p, q), Group(), set()
+                own, i = sets[i : i + len(part)], i + len(part)
+                if side == 1:
+                    if group.hold(part[0], own[0]):
+                        hit.append(th)
+                elif th not in seen:
+                    seen.add(th)
+                    if part:
+                        for x, y in zip(part, own, strict=True):
+                            group.add(x, y)
+                    else:
+                        group.long.append(Beginnings(text, ends))
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["th"])
+
+    met = a.unionByName(b).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+    return met.mapInArrow(align, "th long").distinct()
 
 
 def text_values(df: DataFrame, table: str, id_col: str, fields: list[str], source: str | None = None) -> DataFrame:
@@ -297,51 +534,37 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats: dict = {}
-        names = ["tag", "table_name", "row_id", "field", "verdict", "reason", "kind", "word", "n", "m", "bands"]
-        types = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names = ["tag", "table_name", "row_id", "field", "verdict", "reason", "kind", "word", "n", "m", "th", "tails", "text"]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
         for b in batches:
-            rows, texts = [], []
-            for tb, i, f, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows = []
+            for tb, i, f, t, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v, r, k, w = judge(t)
                 closings(t, stats)
                 if v == "whole" and r == "empty":
                     continue
-                rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, len(t), 0))
-                texts.append(t)
+                tails = tail_keys(t) if v == "ask" else []
+                rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, t if tails else None))
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[:-1], strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, bands(texts)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
             if len(stats) > 200_000:
                 yield flush(stats, names, types)
         if stats:
             yield flush(stats, names, types)
 
     def flush(stats: dict, names: list[str], types: list) -> pa.RecordBatch:
-        rows = [(1, "", 0, "", "", "", k, w, n, m, None) for (k, w), (n, m) in stats.items()]
+        rows = [(1, "", 0, "", "", "", k, w, n, m, None, None, None) for (k, w), (n, m) in stats.items()]
         stats.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    schema = "tag int, table_name string, row_id long, field string, verdict string, reason string, kind string, word string, n long, m long, bands array<long>"
-    judged = ws.write(cols.mapInArrow(first, schema), "judged")
+    schema = "tag int, table_name string, row_id long, field string, verdict string, reason string, kind string, word string, n long, m long, th long, tails array<long>, text string"
+    judged = ws.write(cols.withColumn("th", F.xxhash64("text")).mapInArrow(first, schema), "judged")
     vals = judged.where("tag = 0")
     sure = vals.where("verdict = 'cut'").select(*keys, "reason")
     ask = vals.where("verdict = 'ask'")
 
-    # Near-copies: the longest text of each band stands for the band, so no group is ever paired.
-    band = vals.select(*keys, "n", F.explode("bands").alias("band"))
-    longest = band.groupBy("band").agg(F.max(F.struct("n", *keys)).alias("b"), F.count("*").alias("c")).where("c > 1").select("band", "b")
-    asked = ask.select(*keys, "n", F.explode("bands").alias("band")).join(longest, "band").where("b.n > n").select(*keys, F.col("b.table_name").alias("t2"), F.col("b.row_id").alias("r2"), F.col("b.field").alias("f2")).distinct()
-    pairs = ws.write(asked, "pairs")
-    one = cols.dropDuplicates(keys)
-    x = pairs.join(one.select(*keys, F.col("text").alias("short")), keys).join(one.select(F.col("table_name").alias("t2"), F.col("row_id").alias("r2"), F.col("field").alias("f2"), F.col("text").alias("long")), ["t2", "r2", "f2"])
-
-    @F.pandas_udf("boolean")
-    def early(a, b):
-        import pandas as pd
-
-        return pd.Series([ends_early(p, q) for p, q in zip(a, b, strict=True)])
-
-    copies = x.where(early("short", "long")).select(*keys, F.lit("copy_goes_on").alias("reason"))
+    asked = vals.where("size(tails) > 0")
+    copies = asked.join(near_copies(asked, cols, ws), "th").select(*keys, F.lit("copy_goes_on").alias("reason"))
 
     # Terminality of the closing words still in question. A word that is seen too seldom to say
     # counts as cut only where it begins a word that is well known in such lines.

@@ -68,3 +68,47 @@ def test_no_text_takes_long(text):
     t.judge(text)
     t.closings(text, {})
     assert time.perf_counter() - s < 10
+
+
+def _noise(seed: int, n: int) -> str:
+    import random
+
+    r = random.Random(seed)
+    return "- " + " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.3, 0.5, 0.9])
+def test_copies_cut_anywhere_meet_their_source(spark, share):
+    full = [_noise(i, 120) for i in range(20)]
+    cut = [x[: int(len(x) * share)] for x in full]
+    cut = [x[:-1] if x[-1] == " " else x for x in cut]
+    asks = [(i, x) for i, x in enumerate(cut) if t.judge(x)[0] == "ask"]
+    got = {r.row_id: r.reason for r in t.cut_values(values(spark, cut + full)).collect()}
+    assert asks and {i for i, _ in asks} <= set(got)
+    assert all(i < len(cut) for i, r in got.items() if r == "copy_goes_on")
+
+
+def test_every_longer_member_of_a_template_is_aligned(spark):
+    """The longest text of the template is another variant; the true source is one of the shorter ones."""
+    head = _noise(1, 60)
+    full = [f"{head} {_noise(100 + i, 10)[2:]}" for i in range(30)]
+    longest = f"{head} {_noise(999, 60)[2:]}"
+    cut = [x[:-4] for x in full]
+    asks = {i for i, x in enumerate(cut) if t.judge(x)[0] == "ask"}
+    got = {r.row_id for r in t.cut_values(values(spark, [*cut, *full, longest])).collect()}
+    assert len(asks) > 20 and asks <= got
+
+
+def test_cells_and_exact_alignment(spark, monkeypatch):
+    """Groups cut in cells find what comparing all pairs finds."""
+    monkeypatch.setattr(t, "CELL", 3)
+    texts = []
+    for i in range(12):
+        w = _noise(7, 60).split(" ")
+        w[10 + i] = f"other{i}"
+        texts += [" ".join(w), " ".join(w)[: 260 + (i % 3)], _noise(50 + i, 20)]
+    ask = {i for i, x in enumerate(texts) if t.judge(x)[0] == "ask"}
+    want = {i for i in ask if any(t.ends_early(texts[i], y) for y in texts)}
+    asks = spark.createDataFrame([(i, t.tail_keys(texts[i]), texts[i]) for i in ask], "th long, tails array<long>, text string")
+    got = {r.th for r in t.near_copies(asks, spark.createDataFrame([(x,) for x in texts], "text string"), t.Workspace(spark, "test")).collect()}
+    assert want and want == got
