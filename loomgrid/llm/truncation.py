@@ -5,8 +5,9 @@ Three kinds of evidence, in this order:
 1. What stands at the end: a mark left at the cut, an open fence, bracket,
    string or code span, a path without its ending, a sentence without its stop in
    a text whose other sentences have theirs.
-2. Near-copies.  The last TAIL characters of each undecided text are looked for
-   at every position of every text, so a copy meets its source wherever it was cut,
+2. Near-copies.  The last TAIL characters of each undecided text, and of each
+   whole one that ends without a hard closing mark, are looked for at
+   every position of every text, so a copy meets its source wherever it was cut,
    and is aligned with all texts that go on after them.  Where at least SIMILAR of
    the five-word shingles agree up to there and the longer goes on in the middle of
    a word or line, the shorter was cut.
@@ -57,6 +58,8 @@ _EXT = "rs|go|py|pyi|ts|tsx|js|jsx|mjs|cjs|c|h|cc|cpp|hpp|cs|java|kt|kts|rb|php|
 _PATH_END = re.compile(rf"(?:^|[\s`(])[\w@.~-]*(?:/[\w@.~-]+)+$|(?:^|\s)[\w-]+\.(?:{_EXT})$")
 _PATH_WHOLE = re.compile(rf"\.(?:{_EXT})(?::\d+)*$")
 _SENTENCE = re.compile(r"[.!?:;][\"'`)\]*_]*$")
+#: Marks that close a text for good; a whole text that ends otherwise may still be the beginning of a longer copy.
+_HARD_CLOSE = re.compile(r"[.!?:;)\]}>\"'`][*_]*$")
 _STOP_INSIDE = re.compile(r"[a-z`)\w][.!?][\"'`)]*(?:\s+[A-Z`\"(]|\n)")
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+(?=\S)")
 _REF = re.compile(r"^(?:[A-Z][\w-]*(?: [a-z]+)?): \S")
@@ -543,7 +546,7 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
                 closings(t, stats)
                 if v == "whole" and r == "empty":
                     continue
-                tails = tail_keys(t) if v == "ask" else []
+                tails = tail_keys(t) if v == "ask" or v == "whole" and not _HARD_CLOSE.search(t.rstrip()) else []
                 rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, t if tails else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

@@ -112,3 +112,13 @@ def test_cells_and_exact_alignment(spark, monkeypatch):
     asks = spark.createDataFrame([(i, t.tail_keys(texts[i]), texts[i]) for i in ask], "th long, tails array<long>, text string")
     got = {r.th for r in t.near_copies(asks, spark.createDataFrame([(x,) for x in texts], "text string"), t.Workspace(spark, "test")).collect()}
     assert want and want == got
+
+
+def test_whole_without_a_hard_closing_mark_is_aligned(spark):
+    """A list item cut after a comma is whole by its end alone; its longer copy shows the cut."""
+    full = "- keep the queue bounded when the remote worker is slow, then drop the oldest entry"
+    cut = full[: full.index(",") + 1]
+    assert t.judge(cut)[0] == "whole"
+    stop = "Keep the queue bounded when the remote worker is slow."
+    got = {r.row_id for r in t.cut_values(values(spark, [cut, full, stop, stop + " Then drop the oldest."])).collect() if r.reason == "copy_goes_on"}
+    assert got == {0}
