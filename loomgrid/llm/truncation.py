@@ -13,8 +13,9 @@ Three kinds of evidence, in this order:
    a word or line, the shorter was cut.
 3. Terminality of the closing word.  Over all lines of all texts it is counted
    how often a word occurs in lines of a kind (list items, comments, statements by
-   their first word) and how often it closes them.  An undecided text whose closing
-   word hardly ever closes such a line was cut.
+   their first word) and how often it closes them; equal texts count once.  An
+   undecided text whose closing word hardly ever closes such a line was cut, and so
+   was one whose closing word only ever closes and begins a much more frequent word.
 
 Texts that end in a full stop, a closed block, a list item, a reference or a
 finished statement are whole.
@@ -49,6 +50,8 @@ MOST_BITS = 29
 CELL = 500
 #: A word that stands in at least this many lines of a kind is no terminal one when it closes less than this share of them.
 CLOSES_SHARE, CLOSES_LEAST = 0.2, 3
+#: A word that only ever closes lines of a kind is a piece of a longer one that is seen there at least 1 / PIECE_SHARE times as often.
+PIECE_SHARE = 2 / 3
 #: A class of closing words (numbers, identifiers) is terminal when it closes this share of the lines of a kind.
 CLASS_SHARE = 0.05
 
@@ -417,19 +420,20 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str, lis
     """(key, text up to the last position, positions) of the places where a text holds a key of the bitmap and goes on."""
     out: dict[tuple[int, int], list[int]] = {}
     texts = [t.rstrip() for t in texts]
-    stop = np.cumsum([len(t) for t in texts])
-    start = stop - [len(t) for t in texts]
-    codes = _codes("".join(texts))
-    for k in (TAIL, SHORT):
+    far = _range(TAIL)[1]
+    for k, parts in ((TAIL, texts), (SHORT, [t[: far + 2] for t in texts])):
+        size = np.array([len(t) for t in parts])
+        stop = np.cumsum(size)
+        start = stop - size
+        codes = _codes("".join(parts))
         h = gram_hashes(codes, k)
         if not len(h):
             continue
-        first = np.arange(len(h))
-        row = np.searchsorted(stop, first, "right")
-        end = first + k
+        row = np.repeat(np.arange(len(parts)), size)[: len(h)]
+        end = np.arange(k, len(h) + k)
         ok = end < stop[row]
         if k == SHORT:
-            ok &= end - start[row] <= _range(TAIL)[1]
+            ok &= end - start[row] <= far
         nxt = codes[np.minimum(end, len(codes) - 1)]
         ok &= (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
         row, end = row[ok], end[ok]
@@ -535,19 +539,28 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
     keys = ["table_name", "row_id", "field"]
     cols = values.select(*keys, "text")
 
+    # Lines of equal texts count once: texts that may be stored again are carried on and made distinct.
+    again = cols.select(F.xxhash64("text").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    repeated = spark.sparkContext.broadcast(_bitmap(again, again.count()))
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats: dict = {}
         names = ["tag", "table_name", "row_id", "field", "verdict", "reason", "kind", "word", "n", "m", "th", "tails", "text"]
         types = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
         for b in batches:
-            rows = []
+            rows, ths = [], b.column(4).to_numpy().view(np.uint64)
+            dup = {x: None for x in ths[_probe(repeated.value, ths)].view(np.int64).tolist()}
             for tb, i, f, t, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v, r, k, w = judge(t)
-                closings(t, stats)
+                if th not in dup:
+                    closings(t, stats)
+                elif dup[th] is None:
+                    dup[th] = t
                 if v == "whole" and r == "empty":
                     continue
                 tails = tail_keys(t) if v == "ask" or v == "whole" and not _HARD_CLOSE.search(t.rstrip()) else []
                 rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, t if tails else None))
+            rows += [(2, "", 0, "", "", "", "", "", 0, 0, th, None, t) for th, t in dup.items() if t is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
             if len(stats) > 200_000:
@@ -569,16 +582,35 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
     asked = vals.where("size(tails) > 0")
     copies = asked.join(near_copies(asked, cols, ws), "th").select(*keys, F.lit("copy_goes_on").alias("reason"))
 
-    # Terminality of the closing words still in question. A word that is seen too seldom to say
-    # counts as cut only where it begins a word that is well known in such lines.
-    st = judged.where("tag = 1").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # Terminality of the closing words still in question. A word that only ever closes says nothing by
+    # its share; it counts as cut where it begins a word that is more frequent in such lines.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats: dict = {}
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                closings(t, stats)
+            if len(stats) > 200_000:
+                yield lines_of(stats)
+        if stats:
+            yield lines_of(stats)
+
+    def lines_of(stats: dict) -> pa.RecordBatch:
+        rows = [(k, w, n, m) for (k, w), (n, m) in stats.items()]
+        stats.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "word", "n", "m"])
+
+    once = judged.where("tag = 2").dropDuplicates(["th"]).select("text").mapInArrow(count, "kind string, word string, n long, m long")
+    st = judged.where("tag = 1").select("kind", "word", "n", "m").unionByName(once).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     lines = st.where("word = ''").select("kind", F.col("n").alias("lines"))
     seen = st.where("word != ''").join(lines, "kind", "left")
     closing = ask.select("kind", "word").where("word != ''").distinct()
     own = closing.join(seen, ["kind", "word"], "left")
     head = F.substring("word", 1, 2)
-    longer = seen.where(F.col("n") >= CLOSES_LEAST).select("kind", head.alias("_head"), F.col("word").alias("_long"))
-    part = own.where(F.coalesce("n", F.lit(0)) < CLOSES_LEAST).withColumn("_head", head).join(longer, ["kind", "_head"]).where(F.col("_long").startswith(F.col("word")) & (F.col("_long") != F.col("word"))).select("kind", "word").distinct()
+    longer = seen.select("kind", head.alias("_head"), F.col("word").alias("_long"), F.col("n").alias("_n"))
+    n = F.coalesce("n", F.lit(0))
+    only = own.where((n < CLOSES_LEAST) | (F.col("m") == F.col("n")))
+    known = (F.col("_n") >= CLOSES_LEAST) & (n <= PIECE_SHARE * F.col("_n"))
+    part = only.withColumn("_head", head).join(longer, ["kind", "_head"]).where(F.col("_long").startswith(F.col("word")) & (F.col("_long") != F.col("word")) & known).select("kind", "word").distinct()
     is_class = F.col("word").startswith("<") | F.col("kind").startswith("ref:")
     seldom = F.when(is_class, F.col("m") < CLASS_SHARE * F.col("lines")).otherwise((F.col("n") >= CLOSES_LEAST) & (F.col("m") < CLOSES_SHARE * F.col("n")))
     open_ = own.where(seldom).select("kind", "word").unionByName(part)

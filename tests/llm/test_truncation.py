@@ -122,3 +122,12 @@ def test_whole_without_a_hard_closing_mark_is_aligned(spark):
     stop = "Keep the queue bounded when the remote worker is slow."
     got = {r.row_id for r in t.cut_values(values(spark, [cut, full, stop, stop + " Then drop the oldest."])).collect() if r.reason == "copy_goes_on"}
     assert got == {0}
+
+
+def test_fragment_met_often_and_delivered_again_stays_cut(spark):
+    """A piece of a word stays one however often it is met or its text is delivered."""
+    known = [f"- see job {i}a before you handle it" for i in range(20)]
+    cut = [f"- the worker {chr(97 + i)}x must go on with the handl" for i in range(4)]
+    for texts in (known + cut, known + cut[:1] * 12, (known + cut) * 3):
+        got = {r.row_id for r in t.cut_values(values(spark, texts)).collect()}
+        assert got == {i for i, x in enumerate(texts) if x in cut}
