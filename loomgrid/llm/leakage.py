@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Simulated copies that measure the recall for a window length, whatever the number of its windows.
+COPIES = 400
 #: Bound on the passages whose windows are broadcast at once.
 ITEM_CHARS = 4_000_000
 MIN_WORDS = 12
@@ -96,12 +98,17 @@ class Index:
     by_len: dict[int, dict]
 
 
-def _reps_for(x: np.ndarray, edits: int, sample: int, recall: float, most: int) -> int:
-    """Repetitions after which simulated copies with ``edits`` random edits share a key with at least the asked recall."""
+def _reps_for(x: np.ndarray, edits: int, sample: int, recall: float, most: int) -> tuple[int, int]:
+    """(repetitions, sampled positions) after which simulated copies with ``edits`` random edits share a key with at least the asked recall.
+
+    A length with few windows has several copies of each.  Where ``most`` repetitions
+    do not reach the recall, keys of fewer positions are taken, which meet more often
+    and leave more to verify; where none reach it, that is an error.
+    """
     if edits == 0:
-        return 1
+        return 1, sample
     rng = np.random.default_rng(5)
-    src = x[rng.choice(len(x), size=min(len(x), 200), replace=False)]
+    src = x[np.resize(rng.permutation(len(x)), COPIES)]
     top = int(x.max()) + 1
     noisy = src.copy()
     for r in noisy:
@@ -115,12 +122,15 @@ def _reps_for(x: np.ndarray, edits: int, sample: int, recall: float, most: int)
             else:
                 r[p + 1 :] = r[p:-1].copy()
                 r[p] = rng.integers(1, top)
-    hit = np.zeros(len(src), bool)
-    for rep in range(most):
-        hit |= window_keys(src, rep, sample) == window_keys(noisy, rep, sample)
-        if hit.mean() >= recall:
-            return rep + 1
-    return most
+    while True:
+        hit = np.zeros(len(src), bool)
+        for rep in range(most):
+            hit |= window_keys(src, rep, sample) == window_keys(noisy, rep, sample)
+            if hit.mean() >= recall:
+                return rep + 1, sample
+        if sample == 1:
+            raise ValueError(f"{most} repetitions find {hit.mean():.2f} of simulated copies of {x.shape[1]} words with {edits} edits; {recall} are asked")
+        sample = max(1, sample * 3 // 4)
 
 
 def build_index(items: list[tuple[int, str]], window: int | None, edit_rate: float, recall: float, most_reps: int = 48) -> Index:
@@ -139,7 +149,7 @@ def build_index(items: list[tuple[int, str]], window: int | None, edit_rate: flo
         x = np.array([v for *_, v in r], np.int64)
         edits = int(n * edit_rate)
         sample = 3 * n if edits == 0 else max(6, (3 * n) // (2 * edits + 2))
-        reps = _reps_for(x, edits, sample, recall, most_reps)
+        reps, sample = _reps_for(x, edits, sample, recall, most_reps)
         keys = []
         for rep in range(reps):
             k = window_keys(x, rep, sample)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from loomgrid.llm import leakage as k
 
@@ -88,3 +89,24 @@ def test_edit_distance():
     assert k.edit_distance([1, 2, 3], [9, 1, 2, 3, 9], 2) == 0
     assert k.edit_distance([1, 2, 3], [1, 3], 2) == 1
     assert k.edit_distance([1, 2, 3], [7, 8], 1) == 2
+
+
+@pytest.mark.parametrize("n", [29, 38])
+def test_a_length_with_one_passage_reaches_the_recall(n):
+    import random
+
+    r = random.Random(n)
+    passage = [f"w{n}x{i}" for i in range(n)]
+    ix = k.build_index([(1, " ".join(passage))], None, 0.1, 0.95)
+    found = 0
+    for _ in range(100):
+        c = list(passage)
+        for p in r.sample(range(n), n // 10):
+            c[p] = passage[(p + 7) % n]
+        found += bool(k.match(ix, " ".join(c)))
+    assert found >= 0.9 * 100
+
+
+def test_recall_out_of_reach_is_an_error():
+    with pytest.raises(ValueError):
+        k.build_index([(1, " ".join(f"w{i}" for i in range(60)))], None, 0.1, 0.95, most_reps=0)
