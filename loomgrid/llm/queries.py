@@ -111,4 +111,8 @@ def p9_portions(spark, d):
     return spans.shared_portion(_spans(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions)}
+def p9_spans(spark, d):
+    return spans.merge_spans(_spans(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}

@@ -218,6 +218,23 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return met.mapInArrow(pairs, "doc_a long, doc_b long, start_a int, start_b int, length int")
 
 
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, start_a, start_b, length): the pieces of ``shared_spans`` united to whole stretches.
+
+    Pieces of one pair that lie on one alignment and overlap or touch are one stretch.
+    """
+    from pyspark.sql import Window as W
+
+    pair = ["doc_a", "doc_b", "shift"]
+    one = spans.withColumn("shift", F.col("start_a") - F.col("start_b")).groupBy(*pair, "start_a").agg(F.max(F.col("start_a") + F.col("length")).alias("end"))
+    by = W.partitionBy(*pair).orderBy("start_a")
+    before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    opens = one.withColumn("opens", F.coalesce((F.col("start_a") > before).cast("int"), F.lit(1)))
+    runs = opens.withColumn("run", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    out = runs.groupBy(*pair, "run").agg(F.min("start_a").alias("start_a"), F.max("end").alias("end"))
+    return out.select("doc_a", "doc_b", "start_a", (F.col("start_a") - F.col("shift")).alias("start_b"), (F.col("end") - F.col("start_a")).alias("length"))
+
+
 def span_pairs(spans: DataFrame) -> DataFrame:
     """(doc_a, doc_b), each pair once."""
     return spans.select("doc_a", "doc_b").distinct()

@@ -81,3 +81,13 @@ def test_portions(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert sp.shared_spans(e).count() == 0 and sp.shared_portion(sp.shared_spans(e), e).count() == 0
+
+
+def test_long_copies_come_out_whole(spark):
+    """A shared stretch has its true start and length, however long; pieces of other alignments stay apart."""
+    r = random.Random(4)
+    x, y, z, u, v = ("".join(r.choices("abcdefghij klmnop", k=n)) for n in (5000, 900, 450, 300, 70))
+    texts = [(1, x), (2, x), (3, u + x[100:4100] + "#" + v), (4, y + z), (5, z + v + y)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {tuple(q) for q in sp.merge_spans(sp.shared_spans(df)).collect()}
+    assert got == {(1, 2, 0, 0, 5000), (1, 3, 100, 300, 4000), (2, 3, 100, 300, 4000), (4, 5, 0, 520, 900), (4, 5, 900, 0, 450)}
