@@ -72,7 +72,7 @@ def compact_windows(h: np.ndarray, w: int) -> list[tuple[int, int, int]]:
 
     The top of the Cartesian tree is built by splitting at the minimum; parts
     shorter than w are never entered.  In a stretch that repeats with a period,
-    equal minima follow each other; of such a run the first and the last are kept,
+    equal minima follow each other; of such a run the first two and the last two are kept,
     which align whatever two texts share of it.
     """
     out: list[tuple[int, int, int]] = []
@@ -90,7 +90,7 @@ def compact_windows(h: np.ndarray, w: int) -> list[tuple[int, int, int]]:
         gap = np.diff(ties)
         for j, t in enumerate(ties.tolist()):
             left = lo if j == 0 else int(ties[j - 1]) + 1
-            inside = 0 < j < len(ties) - 1 and gap[j - 1] == gap[j] and gap[j] <= w
+            inside = 1 < j < len(ties) - 2 and gap[j - 1] == gap[j] and gap[j] <= w
             if not inside and hi - left >= w:
                 out.append((left, t, hi - 1))
             if t - left >= w:

@@ -91,3 +91,17 @@ def test_long_copies_come_out_whole(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {tuple(q) for q in sp.merge_spans(sp.shared_spans(df)).collect()}
     assert got == {(1, 2, 0, 0, 5000), (1, 3, 100, 300, 4000), (2, 3, 100, 300, 4000), (4, 5, 0, 520, 900), (4, 5, 900, 0, 450)}
+
+
+def test_short_run_at_another_phase_meets_the_inside_of_a_long_run(spark):
+    """Only an alignment with an inner repetition of the long run reaches the asked length."""
+    texts = []
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.choice([120, 150, 158])
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        at = r.randrange(n)
+        texts += [(2 * seed, "#" + (line * 20)[r.randrange(n) : 2000] + "!"), (2 * seed + 1, "<" + (line * 6)[at : at + 400 + r.randrange(20)] + ">")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(q.doc_a, q.doc_b) for q in sp.span_pairs(sp.shared_spans(df)).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(60)}
