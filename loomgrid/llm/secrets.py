@@ -1,14 +1,16 @@
 """Credentials embedded in source code: find them, and mask only the secret.
 
 A text is scanned as it stands, then every encoded layer in it (base64, hex,
-percent, backslash escapes, concatenated pieces) is decoded and scanned again,
-down to MAX_DEPTH.  What is found inside a layer is masked by masking the whole
-encoded literal that encloses it, since a part of it cannot be masked without
-breaking the rest.  Decoded bytes that look like a key container are parsed by
-their binary grammar (DER, OpenSSH), so a public key is told from a private one
-by what it holds and not by its looks.
-
-The work is one pass over the rows in Arrow batches, without a shuffle.
+percent, backslash escapes, byte lists, concatenated pieces) is decoded and
+scanned again, until nothing in it decodes further; every layer is shorter than
+the text it came from, so this ends.  What is found inside a layer is masked by
+masking the whole encoded literal that encloses it, since a part of it cannot be
+masked without breaking the rest.  Decoded bytes are parsed by the binary grammars
+of key containers (DER, OpenSSH, OpenPGP packets, Java key stores), so a public
+key is told from a private one by what it holds and not by its looks.
+
+Names, values and layers may have any length; every pattern runs in time linear
+in the text.  The work is one pass over the rows in Arrow batches, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import base64
 import binascii
 import re
 import urllib.parse
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 4
 MASK = "****"
 
 # Shapes of well-known credentials.
@@ -46,38 +48,45 @@ TOKEN_SHAPES = [
 ]
 _TOKENS = [(k, re.compile(p)) for k, p in TOKEN_SHAPES]
 _TOKEN_ANY = re.compile("|".join(f"(?:{p})" for _, p in TOKEN_SHAPES))
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----((?:\\[nr]|[A-Za-z0-9+/=:,.\-\s])*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|$|(?=[\"'`]))")
-_USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@\"'`?#]*):([^\s/@\"'`]+)@[\w.\[-]")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----((?:\\[nr]|[A-Za-z0-9+/=:,.\s]|-(?!----))*+)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z|(?=[\"'`]))")
+_USERINFO = re.compile(r"(?<=[A-Za-z0-9+.-])://([^\s:/@\"'`?#]*):([^\s/@\"'`]+)@[\w.\[-]")
 _QUERY = re.compile(r"[?&;](?:[\w.-]*(?:api_?key|access_?token|auth_?token|token|secret|password|passwd|pwd|signature|sig|key))=([^\s&#\"'`<>)]+)", re.I)
 _BEARER = re.compile(r"\bBearer[ \t]+([A-Za-z0-9._~+/=-]{12,})", re.I)
 _BASIC = re.compile(r"\bBasic[ \t]+([A-Za-z0-9+/_=-]{6,})", re.I)
-# A name, up to a type note, an assignment sign, and a value that is quoted or bare.
-_ASSIGN = re.compile(
-    r"""(?P<q0>["'`]?)(?<![\w$])(?P<name>[A-Za-z_$][\w$.-]{0,120})(?P=q0)\]?\s*(?::\s*(?:&?'?\w{1,40}\s+)?&?[A-Za-z_][\w<>\[\]|&' ]{0,120}?\s*)?(?:=>|:=|=|:)\s*
-    (?:[rbfuBRU]{0,2}(?P<q>\\?["'`])(?P<val>(?:(?!(?P=q)).)*?)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]<>]+)(?=$|[\s,;)}\]]))""",
-    re.X | re.S,
+# A name, a type note, an assignment sign, and the quote of the value; the value itself is read by _assignments.
+_NAMED = re.compile(
+    r"""(?P<q0>["'`]?)(?<![\w$])(?<![\w$][.-])(?P<name>[A-Za-z_$][\w$]*+(?:[.-][\w$]++)*+)(?P=q0)\]?\s*+
+    (?::\s*+(?:&?'?\w++\s++)?&?[A-Za-z_][\w<>\[\]|&' ]*+\s*+)?(?:=>|:=|=|:)\s*+(?P<open>[rbfuBRU]{0,2}(?P<q>\\?["'`]))?""",
+    re.X,
 )
+_RUN = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 _NAME_WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Words that name a credential, alone or as the last words of a name.
 SECRET_LAST = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "secrets", "token", "apikey", "credential", "credentials", "pw", "psw", "pin", "authtoken", "accesstoken", "secretkey", "privatekey", "accesskey"}
-SECRET_PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("encryption", "key"), ("signing", "key"), ("master", "key"), ("auth", "key"), ("service", "key"), ("client", "key"), ("account", "key"), ("shared", "key"), ("session", "key"), ("deploy", "key"), ("root", "key"), ("storage", "key"), ("hmac", "key"), ("license", "key"), ("admin", "key"), ("connection", "string"), ("signing", "salt")}
+SECRET_PAIRS = {("api", "key"), ("access", "key"), ("secret", "key"), ("private", "key"), ("encryption", "key"), ("signing", "key"), ("master", "key"), ("auth", "key"), ("service", "key"), ("client", "key"), ("account", "key"), ("shared", "key"), ("session", "key"), ("cipher", "key"), ("aes", "key"), ("des", "key"), ("crypto", "key"), ("deploy", "key"), ("root", "key"), ("storage", "key"), ("hmac", "key"), ("license", "key"), ("admin", "key"), ("connection", "string"), ("signing", "salt")}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.{3,}|-+|_+|none|null|nil|true|false|undefined|todo|fixme|tbd|n/?a|changeme|change[-_ ]?me|placeholder|example|sample|dummy|redacted|masked|removed|hidden|secret|password|token|test|your[-_ ].*|<.*>|\[.*\]|.*\$\{.*|.*\{\{.*|%\(?\w+\)?s?%?|\$\w+|\$\(.*|env[:.].*|vault[:.].*|.*\*{3,}.*|.*(?:xxxx|example|placeholder|changeme|your[-_]|insert[-_ ]|replace[-_]?me|redacted).*)$")
 _PATHLIKE = re.compile(r"^(?:[~.]{0,2}/|[A-Za-z]:\\|\w+://|\./)|\.(?:json|ya?ml|toml|pem|txt|env|conf|ini|key|crt)$")
-_REGEXLIKE = re.compile(r"\(\?|\[[^\]]+\][+*{]|\\[dws]|\.[*+]|\{\d+,\d*\}|^\^|\$$")
-_LITERAL = re.compile(r"""(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q))[^\\])*?)(?P=q)""", re.S)
-_JOINERS = re.compile(r"^\s*(?:\+|\.\.?|<>|&|,|\\?\n\s*\+?)?\s*$")
+_REGEXLIKE = re.compile(r"\(\?|\[[^\[\]]+\][+*{]|\\[dws]|\.[*+]|\{\d+,\d*\}|^\^|\$$")
+_QUOTE = re.compile(r"\\.|[\"'`]", re.S)
+_JOINERS = re.compile(r"\s*+(?:\+|\.\.?|<>|&|,|\\?\n\s*+\+?)?\s*+")
 # A list of literals is one value only where it is joined.
-_JOIN_BEFORE = re.compile(r"(?:join|concat!?|implode|Concat)\s*\(\s*(?:[\"'`]{2}\s*,\s*)?[\[({]?\s*$")
-_JOIN_AFTER = re.compile(r"\s*[\])}]\s*\.\s*(?:join|concat)\s*\(")
+_JOIN_BEFORE = re.compile(r"(?:join|concat!?|implode|Concat)\s*+\(\s*+(?:[\"'`]{2}\s*+,\s*+)?[\[({]?\s*+$")
+_JOIN_AFTER = re.compile(r"\s*+[\])}]\s*+\.\s*+(?:join|concat)\s*+\(")
+_TYPE_NOTE = re.compile(r"(?<!:):(?!:)[^,()]*$")
+_TAIL_NAME = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*+)(?:\[\w*\])?[\"'`\]]*+\s*+$")
+_NAME_SUM = re.compile(r"(?<![=!<>+*/-])=\s*+([A-Za-z_$][\w$]*+(?:\s*+(?:\+|\.\.|\.)\s*+[A-Za-z_$][\w$]*+)++)")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])|(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{12,}={0,2}(?![A-Za-z0-9_=-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])")
 # Stretches that may hold percent or backslash escapes; each is looked into once, so a long one costs no more than its length.
 _STRETCH = re.compile(r"[^\s\"'`<>]+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESC_ONE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\([0-7]{3})|&#x([0-9A-Fa-f]+);|&#(\d+);")
+# An escape of the sign that opens an escape: several layers at once.
+_PERCENTS, _ESCAPES = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})"), re.compile(r"\\(?:x5[cC])+(?=[xu0-7])")
 _BYTELIST = re.compile(r"[\[({]\s*((?:(?:0x[0-9A-Fa-f]{1,2}|\d{1,3})\s*,\s*){7,}(?:0x[0-9A-Fa-f]{1,2}|\d{1,3}))\s*,?\s*[\])}]")
-_CHRS = re.compile(r"(?:(?:chr|Chr|String\.fromCharCode|fromCharCode|char)\(\s*[\d\s,x0-9a-fA-F]+\)\s*(?:\+|\.|\|\|)?\s*){4,}|(?:fromCharCode)\(\s*(?:\d+\s*,\s*){4,}\d+\s*\)")
-_GATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}|(?i:pass|pwd|secret|token|key|cred|auth|basic|bearer|\bpw\b|\bpin\b)|://|\\[xu]|%[0-9A-Fa-f]{2}|[\"'`]\s*\+|0x|fromCharCode|chr\(|(?:\d{1,3}\s*,\s*){7}")
+_CHRS = re.compile(r"(?:(?:chr|Chr|String\.fromCharCode|fromCharCode|char)\(\s*+[\d\s,x0-9a-fA-F]+\)\s*+(?:\+|\.|\|\|)?+\s*+){4,}|(?:fromCharCode)\(\s*(?:\d+\s*,\s*){4,}\d+\s*\)")
+# What every text with a secret holds: a run that a layer or a token may be, a word of a credential, or a sign of joined or escaped pieces.
+_GATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}|(?i:pass|pwd|secret|token|key|cred|auth|basic|bearer|\bpw\b|\bpsw\b|\bpin\b)|://|\\[xu0-7]|&#|%[0-9A-Fa-f]{2}|[\"'`]\s*+(?:\+|\.|<>|&|,|\\?\n)\s*+[\"'`]|\w\s*+(?:\+|\.\.|\.)\s*+\w|0x|(?i:chr|char)\w*\(|(?:\d{1,3}\s*,\s*){7}")
 
 Span = tuple[int, int, str]
 
@@ -96,7 +105,7 @@ def name_is_secret(name: str) -> bool:
 def value_is_secret(v: str) -> bool:
     """Whether the value of a credential-named variable is a value in the clear rather than a stand-in, lookup, path, pattern or word."""
     v = v.strip()
-    if len(v) < 6 or len(v) > 4096 or re.search(r"\s", v) or _PLACEHOLDER.match(v):
+    if len(v) < 6 or re.search(r"\s", v) or _PLACEHOLDER.match(v):
         return False
     if _PATHLIKE.search(v) and not _USERINFO.search(v):
         return False
@@ -144,16 +153,8 @@ def _children(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def key_container(b: bytes) -> str | None:
-    """'private' or 'public' when the bytes are a key in DER or OpenSSH form, else None.
-
-    DER: PKCS#1, SEC1 and PKCS#8 private keys (plain or encrypted), subject
-    public key infos and PKCS#1 public keys.  OpenSSH: ``openssh-key-v1``.
-    """
-    if b[:15] == b"openssh-key-v1\x00":
-        return "private"
-    if b[:1] == b"\x00" and b[4:8] in (b"ssh-", b"ecds"):
-        return "public"
+def _der_key(b: bytes) -> str | None:
+    """DER: PKCS#1, SEC1, PKCS#8 (plain or encrypted) and PKCS#12 are private; subject public key infos, PKCS#1 public keys and certificates are public."""
     top = _tlv(b, 0)
     if top is None or top[0] != 0x30:
         return None
@@ -161,22 +162,87 @@ def key_container(b: bytes) -> str | None:
     if not kids:
         return None
     tags = [k[0] for k in kids]
-    ints = [int.from_bytes(b[s:e], "big") for t, s, e in kids if t == 0x02]
-    if tags[:1] == [0x02] and ints[0] in (0, 1, 3) and len(kids) >= 9 and set(tags[:9]) == {0x02}:
-        return "private"  # PKCS#1
-    if tags[:2] == [0x02, 0x04] and ints[0] == 1:
-        return "private"  # SEC1
-    if tags[:3] == [0x02, 0x30, 0x04] and ints[0] in (0, 1):
+    first = int.from_bytes(b[kids[0][1] : kids[0][2]], "big") if tags[0] == 0x02 else None
+
+    def names_algorithm(k: tuple[int, int, int]) -> bool:
+        inner = _children(b, k[1], k[2]) if k[0] == 0x30 else None
+        return bool(inner) and inner[0][0] == 0x06
+
+    if first in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {0x02}:
+        return "private"  # PKCS#1: version, n, e, d, p, q and three more
+    if first == 1 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:
+        return "private"  # SEC1: version, key, curve, public part
+    if first in (0, 1) and tags[:3] == [0x02, 0x30, 0x04] and names_algorithm(kids[1]):
         return "private"  # PKCS#8
-    if tags == [0x30, 0x04]:
-        return "private"  # encrypted PKCS#8
-    if tags == [0x02, 0x30, 0x30] or (tags[:2] == [0x02, 0x30] and ints[0] == 3):
+    if tags == [0x30, 0x04] and names_algorithm(kids[0]):
+        return "private"  # PKCS#8, encrypted
+    if first == 3 and tags[:2] == [0x02, 0x30] and names_algorithm(kids[1]):
         return "private"  # PKCS#12
-    if tags == [0x30, 0x03] or tags == [0x02, 0x02]:
+    if tags == [0x30, 0x03] and names_algorithm(kids[0]) or tags == [0x02, 0x02] or tags == [0x30, 0x30, 0x03]:
         return "public"
     return None
 
 
+def _ssh_key(b: bytes) -> str | None:
+    """OpenSSH: a magic, then length-prefixed cipher, key derivation and its options, and a number of keys; public blobs begin with their type."""
+
+    def string(i: int) -> int:
+        n = int.from_bytes(b[i : i + 4], "big")
+        return i + 4 + n if i + 4 + n <= len(b) else len(b) + 1
+
+    if b.startswith(b"openssh-key-v1\x00"):
+        i = string(string(string(15)))
+        return "private" if i + 4 <= len(b) else None
+    if b[:1] == b"\x00" and string(0) < len(b) and re.match(rb"(?:ssh-|ecdsa-|sk-)[\w@.-]+\Z", b[4 : string(0)]):
+        return "public"
+    return None
+
+
+def _pgp_key(b: bytes) -> str | None:
+    """OpenPGP: a run of packets with old or new headers whose first is a secret (5, 7) or public (6, 14) key of version 2 to 6."""
+    i, first = 0, None
+    while i < len(b):
+        h = b[i]
+        if not h & 0x80 or i + 1 >= len(b):
+            return None
+        if h & 0x40:
+            tag, n0 = h & 0x3F, b[i + 1]
+            if n0 < 192:
+                n, i = n0, i + 2
+            elif n0 < 224 and i + 2 < len(b):
+                n, i = ((n0 - 192) << 8) + b[i + 2] + 192, i + 3
+            elif n0 == 255:
+                n, i = int.from_bytes(b[i + 2 : i + 6], "big"), i + 6
+            else:
+                return None
+        else:
+            tag, k = (h >> 2) & 0xF, h & 3
+            if k == 3:
+                return None
+            n, i = int.from_bytes(b[i + 1 : i + 1 + (1 << k)], "big"), i + 1 + (1 << k)
+        if i + n > len(b):
+            return None
+        if first is None:
+            if tag not in (5, 6, 7, 14) or n < 20 or not 2 <= b[i] <= 6:
+                return None
+            first = "private" if tag in (5, 7) else "public"
+        i += n
+    return first
+
+
+def _key_store(b: bytes) -> str | None:
+    """Java key stores: a magic, a version, a count, and entries of which tag 1 (or 3 in JCEKS) holds a private or secret key."""
+    if b[:4] not in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce") or int.from_bytes(b[4:8], "big") not in (1, 2) or len(b) < 16:
+        return None
+    tag = int.from_bytes(b[12:16], "big")
+    return "private" if tag in (1, 3) and int.from_bytes(b[8:12], "big") else "public" if tag == 2 else None
+
+
+def key_container(b: bytes) -> str | None:
+    """'private' or 'public' when the bytes are a key container by one of the grammars, else None."""
+    return _ssh_key(b) or _der_key(b) or _key_store(b) or _pgp_key(b)
+
+
 # --- layers ---------------------------------------------------------------
 
 
@@ -219,9 +285,9 @@ def _layers(text: str) -> Iterator[tuple[int, int, str | bytes]]:
     if percent or escaped:
         for m in _STRETCH.finditer(text):
             if percent and _PERCENT.search(m[0]):
-                yield m.start(), m.end(), urllib.parse.unquote(m[0], errors="replace")
+                yield m.start(), m.end(), urllib.parse.unquote(_PERCENTS.sub("%", m[0]), errors="replace")
             if escaped and _ESC_ONE.search(m[0]):
-                yield m.start(), m.end(), _unescape(m[0])
+                yield m.start(), m.end(), _unescape(_ESCAPES.sub(r"\\", m[0]))
     for m in _BYTELIST.finditer(text):
         n = [int(x, 0) for x in re.split(r"\s*,\s*", m[1].strip(" ,"))]
         if max(n) < 256:
@@ -232,12 +298,29 @@ def _layers(text: str) -> Iterator[tuple[int, int, str | bytes]]:
             yield m.start(), m.end(), bytes(n)
 
 
-def _literal_around(text: str, a: int, b: int) -> tuple[int, int]:
-    """The quoted literal that encloses [a, b), without its quotes; [a, b) itself where there is none on the line."""
-    for m in _LITERAL.finditer(text):
-        if m.start("val") <= a and b <= m.end("val"):
-            return m.start("val"), m.end("val")
-    return a, b
+def _literals(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the contents of the quoted literals, in order; an opening quote that nothing closes opens none."""
+    marks = [(m.start(), m[0]) for m in _QUOTE.finditer(text)]
+    closing, later = [-1] * len(marks), {}
+    for i in range(len(marks) - 1, -1, -1):
+        q = marks[i][1]
+        if len(q) == 1:
+            closing[i] = later.get(q, -1)
+            later[q] = i
+    out, i = [], 0
+    while i < len(marks):
+        if closing[i] < 0:
+            i += 1
+            continue
+        out.append((marks[i][0] + 1, marks[closing[i]][0]))
+        i = closing[i] + 1
+    return out
+
+
+def _around(literals: list[tuple[int, int]], a: int, b: int) -> tuple[int, int]:
+    """The quoted literal that encloses [a, b), without its quotes; [a, b) itself where there is none."""
+    i = bisect_right(literals, (a, 1 << 62)) - 1
+    return literals[i] if i >= 0 and literals[i][0] <= a and b <= literals[i][1] else (a, b)
 
 
 # --- scan -----------------------------------------------------------------
@@ -274,92 +357,155 @@ def _direct(text: str) -> list[Span]:
     return out
 
 
+def _assignments(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, start and end of the value, whether it is quoted) of what looks like an assignment."""
+    at, run, unclosed = 0, (0, 0), set()
+    while m := _NAMED.search(text, at):
+        at = m.end("name")
+        if m["q"]:
+            end = -1 if m["q"] in unclosed else text.find(m["q"], m.end())
+            if end < 0:
+                unclosed.add(m["q"])
+                continue
+            yield m["name"], m.end(), end, True
+            at = end + len(m["q"])
+            continue
+        start = m.end()
+        if not run[0] <= start < run[1]:
+            r = _RUN.match(text, start)
+            if not r:
+                continue
+            run = r.span()
+        if run[1] == len(text) or text[run[1]] in ",;)}]" or text[run[1]].isspace():
+            yield m["name"], start, run[1], False
+            at = run[1]
+
+
 def _assigned(text: str) -> list[Span]:
     out: list[Span] = []
-    for m in _ASSIGN.finditer(text):
-        if not name_is_secret(m["name"]):
+    for name, a, b, quoted in _assignments(text):
+        if not name_is_secret(name):
             continue
-        key = "val" if m["val"] is not None else "bare"
-        v = m[key]
-        if key == "bare":
+        v = text[a:b]
+        if not quoted:
             # A bare value is code unless it looks like nothing but a value: no member access, call or arithmetic.
             if len(v) < 8 or not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v)) or re.search(r"[.&|?!*$]|->|::", v) or re.fullmatch(r"[A-Za-z_]+\d{0,2}", v):
                 continue
         if value_is_secret(v):
-            out.append((m.start(key), m.end(key), "assigned_secret"))
-        elif key == "val" and len(v) >= 8 and not re.search(r"\s", v):
+            out.append((a, b, "assigned_secret"))
+        elif quoted and len(v) >= 8 and not re.search(r"\s", v):
             inner = _printable(_decode_b64(v) or b"")
             if inner and value_is_secret(inner):
-                out.append((m.start(key), m.end(key), "assigned_secret"))
+                out.append((a, b, "assigned_secret"))
+    before = 0
+    for m in _BYTELIST.finditer(text):
+        n = [int(x, 0) for x in re.split(r"\s*,\s*", m[1].strip(" ,"))]
+        name = _target(text[max(before, text.rfind("\n", before, m.start()) + 1) : m.start()])
+        before = m.end()
+        # The bytes of a key as they are: no text, no run of numbers.
+        if max(n) < 256 and len(set(n)) >= 6 and len({y - x for x, y in zip(n, n[1:], strict=False)}) > 2 and name_is_secret(name):
+            out.append((m.start(), m.end(), "key_bytes"))
     return out
 
 
-def _pieces(text: str) -> list[tuple[list[tuple[int, int]], str, str]]:
+def _target(before: str) -> str:
+    """The name that a value gets which stands after ``before``; '' where there is none."""
+    i = before.rfind("=")
+    if i < 0 or ";" in before[i:]:
+        before = before[before.rfind(";") + 1 :]
+        i = before.rfind(":")
+        m = _TAIL_NAME.search(before[:i]) if i >= 0 else None
+    else:
+        left = before[:i].rstrip(" \t:")
+        left = left[max(left.rfind("\n"), left.rfind("=")) + 1 :]
+        m = _TAIL_NAME.search(_TYPE_NOTE.sub("", left))
+    return m[1] if m else ""
+
+
+def _pieces(text: str, lits: list[tuple[int, int]]) -> list[tuple[list[tuple[int, int]], str, str]]:
     """Values put together from literals: (spans of the pieces, name they go to, joined value)."""
-    lits = [(m.start("val"), m.end("val"), m["val"]) for m in _LITERAL.finditer(text)]
     out, i = [], 0
     while i < len(lits):
-        run = [lits[i]]
-        while i + 1 < len(lits) and _JOINERS.match(text[run[-1][1] + 1 : lits[i + 1][0] - 1]):
-            run.append(lits[i + 1])
+        first = i
+        listed = False
+        while i + 1 < len(lits):
+            j = _JOINERS.match(text, lits[i][1] + 1)
+            if j.end() != lits[i + 1][0] - 1:
+                break
+            listed |= "," in j[0]
             i += 1
+        run = lits[first : i + 1]
         i += 1
-        listed = any("," in text[a[1] + 1 : b[0] - 1] for a, b in zip(run, run[1:], strict=False))
-        if listed and not (_JOIN_BEFORE.search(text[: run[0][0] - 1]) or _JOIN_AFTER.match(text[run[-1][1] + 1 :])):
+        if len(run) < 2:
             continue
-        if len(run) > 1:
-            head = re.search(r"([A-Za-z_$][\w$]*)[\"'`\]]*\s*(?::[^=\"'`]*)?(?:=|:)[^\"'`=;]*$", text[: run[0][0] - 1])
-            out.append(([(a, b) for a, b, _ in run], head[1] if head else "", "".join(v for _, _, v in run)))
+        # Only the statement of the run is looked into: back to the literal before the last one.
+        before = text[lits[first - 2][1] + 1 if first > 1 else 0 : run[0][0] - 1]
+        if listed and not (_JOIN_BEFORE.search(before) or _JOIN_AFTER.match(text, run[-1][1] + 1)):
+            continue
+        out.append((run, _target(before), "".join(text[a:b] for a, b in run)))
     # Named pieces put together by name: a = "x"; b = "y"; c = a + b
-    named = {m["name"]: (m.start("val"), m.end("val"), m["val"]) for m in _ASSIGN.finditer(text) if m["val"] is not None}
-    if len(named) > 1:
-        for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*(?::[^=\n]*)?=\s*([A-Za-z_$][\w$]*(?:\s*(?:\+|\.\.|\.)\s*[A-Za-z_$][\w$]*)+)", text):
-            parts = [named.get(x) for x in re.split(r"\s*(?:\+|\.\.|\.)\s*", m[2])]
+    sums = list(_NAME_SUM.finditer(text))
+    if sums:
+        named = {name: (a, b) for name, a, b, quoted in _assignments(text) if quoted}
+        before = 0
+        for m in sums if len(named) > 1 else ():
+            parts = [named.get(x) for x in re.split(r"\s*(?:\+|\.\.|\.)\s*", m[1])]
             if all(parts):
-                out.append(([(p[0], p[1]) for p in parts], m[1], "".join(p[2] for p in parts)))
+                out.append((parts, _target(text[max(before, text.rfind("\n", before, m.start()) + 1) : m.start() + 1]), "".join(text[a:b] for a, b in parts)))
+            before = m.end()
     return out
 
 
-def scan(text: str | None, depth: int = 0) -> list[Span]:
-    """Spans (start, end, kind) of secret values, sorted and merged; none for null and empty texts.
+def _inside(text: str) -> str | None:
+    """The kind of a secret in a decoded text or in any layer further down; None where there is none."""
+    todo, seen = [text], {text}
 
-    The whole text is scanned, however long.  A secret inside an encoded layer
-    yields the span of the enclosing literal; one put together from pieces yields
-    the span of every piece.
-    """
-    if not text or not _GATE.search(text):
-        return []
-    found = _direct(text) + _assigned(text)
-    if depth < MAX_DEPTH:
-        for a, b, inner in _layers(text):
-            if any(s <= a and b <= e for s, e, _ in found) or text[max(0, a - 32) : a].rsplit('"', 1)[-1].startswith("data:image"):
-                continue
-            kind = None
+    def push(s: str | None, source: str) -> None:
+        if s and s not in seen:
+            seen.add(s)
+            todo.append(s)
+            if len(s) >= len(source):  # only a value that repeats its pieces grows; it is looked into, but not taken apart again
+                flat.add(s)
+
+    flat: set[str] = set()
+    while todo:
+        t = todo.pop()
+        if not _GATE.search(t):
+            continue
+        hits = _direct(t) + _assigned(t)
+        if hits:
+            return min(hits)[2]
+        if t in flat:
+            continue
+        for _, _, inner in _layers(t):
             if isinstance(inner, bytes):
                 if len(inner) >= 32 and key_container(inner) == "private":
-                    kind = "private_key"
+                    return "private_key"
                 inner = _printable(inner)
-            if kind is None and inner and inner != text[a:b]:
-                hit = scan(inner, depth + 1)
-                kind = hit[0][2] if hit else None
-            if kind:
-                found.append((*_literal_around(text, a, b), kind))
-        for spans, name, value in _pieces(text):
-            if all(any(s <= a and b <= e for s, e, _ in found) for a, b in spans):
-                continue
-            # What the pieces give together: only pieces that a hit across a seam touches are masked.
-            ends, at = [], 0
-            for a, b in spans:
-                ends.append((at, at + b - a))
-                at += b - a
-            hs = scan(value, depth + 1)
-            hits = [[i for i, (p, q) in enumerate(ends) if p < e and s < q] for s, e, _ in hs]
-            across = {i: k for touched, (_, _, k) in zip(hits, hs, strict=True) if len(touched) > 1 for i in touched}
-            if not across and name and name_is_secret(name) and value_is_secret(value):
-                across = dict.fromkeys(range(len(spans)), "assigned_secret")
-            found += [(*spans[i], k) for i, k in across.items() if spans[i][1] > spans[i][0]]
+            push(inner, t)
+        for _, name, value in _pieces(t, _literals(t)):
+            if name and name_is_secret(name) and value_is_secret(value):
+                return "assigned_secret"
+            push(value, t)
+    return None
+
+
+class _Cover:
+    """Spans, merged, to ask whether one of them holds a stretch."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = merged(spans)
+        self.starts = [s[0] for s in self.spans]
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and b <= self.spans[i][1]
+
+
+def merged(spans: list[Span]) -> list[Span]:
+    """Sorted, overlapping spans as one; the first names the kind."""
     out: list[Span] = []
-    for s in sorted(found):
+    for s in sorted(spans):
         if out and s[0] < out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], s[1]), out[-1][2])
         else:
@@ -367,6 +513,57 @@ def scan(text: str | None, depth: int = 0) -> list[Span]:
     return out
 
 
+def scan(text: str | None) -> list[Span]:
+    """Spans (start, end, kind) of secret values, sorted and merged; none for null and empty texts.
+
+    The whole text is scanned, however long, and every layer, however deep.  A
+    secret inside an encoded layer yields the span of the enclosing literal; one
+    put together from pieces yields the span of every piece.
+    """
+    if not text or not _GATE.search(text):
+        return []
+    found = _direct(text) + _assigned(text)
+    literals = _literals(text)
+    known = _Cover(found)
+    for a, b, inner in _layers(text):
+        if known.holds(a, b):
+            continue
+        kind = None
+        if isinstance(inner, bytes):
+            if len(inner) >= 32 and key_container(inner) == "private":
+                kind = "private_key"
+            inner = _printable(inner)
+        if kind is None and inner and inner != text[a:b]:
+            kind = _inside(inner)
+        if kind:
+            found.append((*_around(literals, a, b), kind))
+    known = _Cover(found)
+    for spans, name, value in _pieces(text, literals):
+        if all(known.holds(a, b) for a, b in spans):
+            continue
+        # What the pieces give together: only pieces that a hit across a seam touches are masked.
+        ends, at = [], 0
+        for a, b in spans:
+            ends.append((at, at + b - a))
+            at += b - a
+        hits = merged(scan(value)) if len(value) < len(text) else merged(_direct(value) + _assigned(value))
+        across: dict[int, str] = {}
+        for s, e, k in hits:
+            first = max(bisect_right(ends, (s, 1 << 62)) - 1, 0)
+            touched = []
+            for i in range(first, len(ends)):
+                if ends[i][0] >= e:
+                    break
+                if s < ends[i][1]:
+                    touched.append(i)
+            if len(touched) > 1:
+                across |= dict.fromkeys(touched, k)
+        if not across and name and name_is_secret(name) and value_is_secret(value):
+            across = dict.fromkeys(range(len(spans)), "assigned_secret")
+        found += [(*spans[i], k) for i, k in across.items() if spans[i][1] > spans[i][0]]
+    return merged(found)
+
+
 def redact(text: str, spans: list[Span]) -> str:
     """The text with the spans masked; quotes and everything around stay.
 
