@@ -38,6 +38,12 @@ def p2_kinds(spark, d):
     return generated.found_files(_classified(spark, d)).select("project_id", "path", "kind")
 
 
+def p2_validation(spark, d):
+    """How far the classifiers find files on held-out projects: as they are, with all signs masked, and for signs that gave no label."""
+    rows = generated.validate(generated.sample(table(spark, d, "files")))
+    return spark.createDataFrame(rows, "mode string, n_files int, n_signed int, n_found int, precision double, recall double")
+
+
 def _near(spark, d, ws):
     return neardup.similar_sets(_wide(spark, d, "review_issues", "id", "title", "body", "file"), "id", ["title", "body", "file"], ws=ws)
 
@@ -115,4 +121,4 @@ def p9_spans(spark, d):
     return spans.merge_spans(_spans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p2_validation, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}
