@@ -13,8 +13,10 @@ windows with an equal key are then verified by their exact edit distance.
 The corpus is read in one pass and never shuffled.  The keys of the items are
 broadcast in blocks of at most ITEM_CHARS characters of passages, one pass over
 the corpus for each block, so the broadcast is bounded whatever the items.
-Windows that hold more words unknown to all items than edits allowed cannot
-match, and are dropped before the walk; this loses nothing.
+Before the walk, windows are dropped that cannot match: of n words with e edits a
+run of (n - e) / (e + 1) stays untouched, so a window without such a run of any
+query window around it is no match, nor is one with more words unknown to all
+items than edits allowed.  This loses nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 #: Simulated copies that measure the recall for a window length, whatever the number of its windows.
 COPIES = 400
 #: Bound on the passages whose windows are broadcast at once.
-ITEM_CHARS = 4_000_000
+ITEM_CHARS = 1_000_000
+#: Corpus windows that walk at once, at most.
+WALK = 50_000
 MIN_WORDS = 12
 _WORD = re.compile(r"\w+")
 
@@ -155,45 +159,79 @@ def build_index(items: list[tuple[int, str]], window: int | None, edit_rate: flo
             k = window_keys(x, rep, sample)
             o = np.argsort(k, kind="stable")
             keys.append((k[o], o))
-        by_len[n] = {"x": x, "item": np.array([v[0] for v in r]), "pos": np.array([v[1] for v in r]), "edits": edits, "sample": sample, "keys": keys}
+        gram = -(-(n - edits) // (edits + 1))
+        grams = np.unique(_run_hashes(x.ravel(), gram)[(np.arange(len(x))[:, None] * n + np.arange(n - gram + 1)).ravel()])
+        by_len[n] = {"x": x, "item": np.array([v[0] for v in r]), "pos": np.array([v[1] for v in r]), "edits": edits, "sample": sample, "keys": keys, "gram": gram, "grams": grams}
     return Index(vocab, by_len)
 
 
+def _run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """One hash for each run of k numbers."""
+    h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+    for j in range(k if len(h) else 0):
+        h = _mix(h ^ ids[j : j + len(h)].astype(np.uint64), j + 3)
+    return h
+
+
 def match_all(ix: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-    """For each text its verified windows (item_id, item_pos, doc_pos, edits); the windows of all texts walk together."""
+    """For each text its verified windows (item_id, item_pos, doc_pos, edits).
+
+    edits is 0 only where the window itself equals that of the item.  All texts
+    lie in one array of word numbers, each followed by as many blanks (0) as edits
+    are allowed, so a copy that lost its last words still fills a window.
+    """
     get = ix.vocab.get
-    ids = [np.array([get(w, 0) for w in words(t)], np.int64) for t in texts]
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    if not ix.by_len:
+        return out
+    pad = max(q["edits"] for q in ix.by_len.values())
+    lists = [[get(w, 0) for w in words(t)] for t in texts]
+    size = np.array([len(a) for a in lists])
+    ids = np.array([v for a in lists for v in (*a, *[0] * pad)], np.int64)
+    start = np.cumsum(size + pad) - size - pad
+    owner = np.repeat(np.arange(len(texts)), size + pad)
+    first, last = start[owner], (start + size)[owner]
+    unknown = np.concatenate([[0], np.cumsum(ids == 0)])
     for n, q in ix.by_len.items():
-        found, owner, start = [], [], []
-        for d, a in enumerate(ids):
-            if len(a) < n:
-                continue
-            unknown = np.concatenate([[0], np.cumsum(a == 0)])
-            at = np.flatnonzero(unknown[n:] - unknown[:-n] <= q["edits"])
-            if len(at):
-                found.append(np.lib.stride_tricks.sliding_window_view(a, n)[at])
-                owner.append(np.full(len(at), d))
-                start.append(at)
-        if not found:
+        e, g = q["edits"], q["gram"]
+        at = np.flatnonzero(np.arange(len(ids)) + n <= last + e)
+        if not len(at) or len(ids) < g:
             continue
-        x, owner, start = np.concatenate(found), np.concatenate(owner), np.concatenate(start)
-        seen, e = set(), q["edits"]
-        for rep, (keys, order) in enumerate(q["keys"]):
-            k = window_keys(x, rep, q["sample"])
-            lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                for j in order[lo[i] : hi[i]].tolist():
-                    if (j, i) in seen:
-                        continue
-                    seen.add((j, i))
-                    s, a = int(start[i]), ids[owner[i]]
-                    d = int((q["x"][j] != x[i]).any()) if e == 0 else edit_distance(q["x"][j].tolist(), a[max(0, s - e) : s + n + e].tolist(), e)
-                    if d <= e:
-                        out[owner[i]].append((int(q["item"][j]), int(q["pos"][j]), s, d))
+        h = _run_hashes(ids, g)
+        i = np.searchsorted(q["grams"], h)
+        known = np.concatenate([[0], np.cumsum(q["grams"][np.minimum(i, len(q["grams"]) - 1)] == h)])
+        lo, hi = np.maximum(at - e, first[at]), np.minimum(np.minimum(at + n + e, last[at]) - g + 1, len(h))
+        at = at[(hi > lo) & (known[np.maximum(hi, lo)] > known[lo]) & (unknown[np.minimum(at + n, last[at])] - unknown[at] + np.maximum(at + n - last[at], 0) <= e)]
+        for part in range(0, len(at), WALK):
+            _walk(q, ids, at[part : part + WALK], owner, start, start + size, out)
     return out
 
 
+def _walk(q: dict, ids: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, out: list) -> None:
+    """Embed the windows at the given places, meet equal keys, and verify."""
+    e, n = q["edits"], q["x"].shape[1]
+    x = np.concatenate([ids, np.zeros(n, np.int64)])[at[:, None] + np.arange(n)]
+    seen = set()
+    for rep, (keys, order) in enumerate(q["keys"]):
+        k = window_keys(x, rep, q["sample"])
+        lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        for i in np.flatnonzero(hi > lo).tolist():
+            for j in order[lo[i] : hi[i]].tolist():
+                if (j, i) in seen:
+                    continue
+                seen.add((j, i))
+                d, s = int(owner[at[i]]), int(at[i])
+                if (q["x"][j] == x[i]).all():
+                    edits = 0
+                elif e == 0:
+                    continue
+                else:
+                    edits = edit_distance(q["x"][j].tolist(), ids[max(start[d], s - e) : min(stop[d], s + n + e)].tolist(), e)
+                    if edits == 0 or edits > e:  # an equal window a step aside comes out itself
+                        continue
+                out[d].append((int(q["item"][j]), int(q["pos"][j]), s - int(start[d]), edits))
+
+
 def match(ix: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     return match_all(ix, [text])[0]
 
@@ -201,11 +239,12 @@ def match(ix: Index, text: str | None) -> list[tuple[int, int, int, int]]:
 def leak_matches(
     docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", window: int | None = MIN_WORDS, edit_rate: float = 0.0, recall: float = 0.95
 ) -> DataFrame:
-    """(item_id, doc_id, n_windows, item_from, item_to, doc_from, edits) for each item and document with a verified window.
+    """(item_id, doc_id, n_windows, n_exact, item_from, item_to, doc_from, edits) for each item and document with a verified window.
 
-    item_from and item_to bound the leaked words of the passage (0 and 0 where it
-    was sought whole), doc_from is the first leaking word of the document, edits
-    the least number of edits.
+    n_exact of the n_windows verified windows are equal word by word.  item_from and
+    item_to bound the leaked words of the passage (0 and 0 where it was sought
+    whole) over equal windows where there are any, else over edited ones; doc_from
+    is the first leaking word of the document, likewise; edits the least number of edits.
     Null and empty texts and passages, and passages shorter than the window,
     match nothing; repeated items and documents come out under each id.
     """
@@ -214,7 +253,7 @@ def leak_matches(
     total = p.agg(F.sum(F.length("passage"))).first()[0] or 0
     blocks = max(1, -(-int(total) // ITEM_CHARS))
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "item_id long, doc_id long, n_windows int, item_from int, item_to int, doc_from int, edits int"
+    schema = "item_id long, doc_id long, n_windows int, n_exact int, item_from int, item_to int, doc_from int, edits int"
 
     def one(ix_b):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +265,11 @@ def leak_matches(
                     for m in all_:
                         got[m[0]].append(m)
                     for item, ms in got.items():
-                        lo, hi = min(m[1] for m in ms), max(m[1] for m in ms)
-                        rows.append((item, i, len(ms), lo, hi + (window or 0), min(m[2] for m in ms), min(m[3] for m in ms)))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                        best = [m for m in ms if m[3] == 0] or ms
+                        lo, hi = min(m[1] for m in best), max(m[1] for m in best)
+                        rows.append((item, i, len(ms), sum(m[3] == 0 for m in ms), lo, hi + (window or 0), min(m[2] for m in best), min(m[3] for m in ms)))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                types = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
         return run
@@ -243,6 +283,42 @@ def leak_matches(
     return out
 
 
+def planted(items: DataFrame, copies: int, edit_rate: float, item_col: str = "item_id", passage_col: str = "passage") -> DataFrame:
+    """(doc_id, item_id, n_words, text): documents that each hold one passage with int(n * edit_rate) random edits between other words.
+
+    doc_id tells item and copy apart; the edits follow from the item's id and the
+    copy's number, so the same items always give the same documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, passage in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words(passage)
+                for c in range(copies if w else 0):
+                    rng = np.random.default_rng([abs(item), c])
+                    v = list(w)
+                    for _ in range(int(len(w) * edit_rate)):
+                        p, kind = int(rng.integers(len(v))), int(rng.integers(3))
+                        v[p : p + (kind != 2)] = [] if kind == 1 else [w[int(rng.integers(len(w)))]]
+                    around = [[w[int(rng.integers(len(w)))] for _ in range(20)] for _ in range(2)]
+                    rows.append((item * copies + c, item, len(w), " ".join([*around[0], *v, *around[1]])))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "item_id", "n_words", "text"])
+
+    src = items.where(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(passage_col).alias("passage")).distinct()
+    return src.mapInArrow(run, "doc_id long, item_id long, n_words int, text string")
+
+
+def recall_of(items: DataFrame, copies: int = 5, edit_rate: float = 0.1, recall: float = 0.95) -> DataFrame:
+    """(n_words, n_planted, n_found, recall) of whole passages sought in documents with edited copies of them, by length."""
+    docs = planted(items, copies, edit_rate)
+    got = leak_matches(docs, items, window=None, edit_rate=edit_rate, recall=recall).select("item_id", "doc_id").distinct().withColumn("_hit", F.lit(1))
+    j = docs.select("item_id", "doc_id", "n_words").join(got, ["item_id", "doc_id"], "left")
+    out = j.groupBy("n_words").agg(F.count("*").alias("n_planted"), F.count("_hit").alias("n_found"))
+    return out.withColumn("recall", F.col("n_found") / F.col("n_planted"))
+
+
 def leaked_items(matches: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, suite, n_docs, leaked_from, leaked_to) of the items that leaked."""
     m = matches.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("item_from").alias("leaked_from"), F.max("item_to").alias("leaked_to"))

@@ -80,12 +80,22 @@ def _leaks(spark, d, **k):
     return leakage.leak_matches(_wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"), **k)
 
 
+def _leaked_windows(spark, d):
+    """Windows of 12 words with up to one edit, of which those without an edit are the asked ones."""
+    return _leaks(spark, d, edit_rate=1 / leakage.MIN_WORDS).where("n_exact > 0")
+
+
 def p7_found(spark, d):
-    return _leaks(spark, d).select("item_id", "doc_id")
+    return _leaked_windows(spark, d).select("item_id", "doc_id")
 
 
 def p7_leaked_items(spark, d):
-    return leakage.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+    return leakage.leaked_items(_leaked_windows(spark, d), table(spark, d, "eval_items"))
+
+
+def p7_recall(spark, d):
+    """Share of planted copies of all items, each with a tenth of its words edited, that are found."""
+    return leakage.recall_of(table(spark, d, "eval_items"))
 
 
 def p7_near(spark, d):
@@ -121,4 +131,4 @@ def p9_spans(spark, d):
     return spans.merge_spans(_spans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p2_validation, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p2_validation, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p7_recall, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}

@@ -110,3 +110,43 @@ def test_a_length_with_one_passage_reaches_the_recall(n):
 def test_recall_out_of_reach_is_an_error():
     with pytest.raises(ValueError):
         k.build_index([(1, " ".join(f"w{i}" for i in range(60)))], None, 0.1, 0.95, most_reps=0)
+
+
+def test_windows_with_an_edit_equal_brute_force():
+    items, docs = corpus(5)
+    ix = k.build_index([(i, p) for i, p in items], 12, 1 / 12, 0.97)
+    want = hit = 0
+    for d, t in docs:
+        w = k.words(t)
+        got = {(m[0], m[1]): m[3] for m in sorted(k.match(ix, t), key=lambda m: -m[3])}
+        for i, p in items:
+            a = k.words(p)
+            for j in range(len(a) - 11):
+                e = k.edit_distance([ix.vocab[x] for x in a[j : j + 12]], [ix.vocab.get(x, 0) for x in w], 1)
+                assert ((i, j) in got) <= (e <= 1)
+                assert (e == 0) == (got.get((i, j)) == 0)
+                want, hit = want + (e == 1), hit + (e == 1 and (i, j) in got)
+    assert want > 20 and hit >= 0.9 * want
+
+
+def test_a_copy_at_the_end_may_lack_its_last_words():
+    items = [(1, " ".join(VOC[:40]))]
+    ix = k.build_index(items, None, 0.1, 0.95)
+    assert [m[0] for m in k.match(ix, " ".join(VOC[100:110] + VOC[:38]))][:1] == [1]
+    assert not k.match(ix, " ".join(VOC[:30]))
+
+
+def test_long_texts_walk_in_parts(monkeypatch):
+    monkeypatch.setattr(k, "WALK", 7)
+    p = [" ".join(VOC[i : i + 30]) for i in range(0, 90, 30)]
+    ix = k.build_index(list(enumerate(p)), 12, 1 / 12, 0.95)
+    got = k.match_all(ix, [" x ".join(p), None, "", " ".join(VOC[5:25])])
+    assert {m[0] for m in got[0]} == {0, 1, 2} and not got[1] and not got[2] and {m[:2] for m in got[3] if m[3] == 0} == {(0, j) for j in range(5, 14)}
+
+
+def test_recall_of_planted_copies(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(VOC) for _ in range(rnd.choice([20, 30, 40])))) for i in range(30)] + [(40, None), (41, ""), (42, "one two")]
+    i = spark.createDataFrame(rows, "item_id long, passage string")
+    got = k.recall_of(i).collect()
+    assert {r.n_words for r in got} == {2, 20, 30, 40} and sum(r.n_found for r in got) >= 0.9 * sum(r.n_planted for r in got)
