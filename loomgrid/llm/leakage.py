@@ -37,6 +37,8 @@ COPIES = 400
 ITEM_CHARS = 1_000_000
 #: Corpus windows that walk at once, at most.
 WALK = 50_000
+#: Characters of texts that are matched together; a longer text is matched alone.
+PART_CHARS = 4_000_000
 MIN_WORDS = 12
 _WORD = re.compile(r"\w+")
 
@@ -77,21 +79,21 @@ def window_keys(x: np.ndarray, rep: int, sample: int) -> np.ndarray:
     return h
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Smallest number of word edits that turn ``a`` into some stretch of ``b``; more than ``most`` counts as most + 1."""
-    prev = np.zeros(len(b) + 1, np.int64)
-    bb = np.array(b)
-    cols = np.arange(len(b) + 1)
-    for i, s in enumerate(a, 1):
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row the smallest number of word edits that turn ``a`` into some stretch of ``b``; negative numbers in ``b`` match nothing."""
+    prev, cols = np.zeros((len(a), b.shape[1] + 1), np.int32), np.arange(b.shape[1] + 1, dtype=np.int32)
+    for i in range(a.shape[1]):
         cur = np.empty_like(prev)
-        cur[0] = i
-        cur[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (bb != s))
+        cur[:, 0] = i + 1
+        np.minimum(prev[:, 1:] + 1, prev[:, :-1] + (b != a[:, i : i + 1]), out=cur[:, 1:])
         # Insertions run along the row: a running minimum of value minus column.
-        cur = np.minimum.accumulate(cur - cols) + cols
-        prev = cur
-        if prev.min() > most:
-            return most + 1
-    return min(int(prev.min()), most + 1)
+        prev = np.minimum.accumulate(cur - cols, axis=1) + cols
+    return prev.min(axis=1)
+
+
+def edit_distance(a: list[int], b: list[int], most: int) -> int:
+    """As ``edit_distances`` for one pair; more than ``most`` counts as most + 1."""
+    return min(int(edit_distances(np.array([a]), np.array([b], np.int64))[0]), most + 1)
 
 
 @dataclass
@@ -211,31 +213,49 @@ def _walk(q: dict, ids: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np
     """Embed the windows at the given places, meet equal keys, and verify."""
     e, n = q["edits"], q["x"].shape[1]
     x = np.concatenate([ids, np.zeros(n, np.int64)])[at[:, None] + np.arange(n)]
-    seen = set()
+    met = [np.empty(0, np.int64)]
     for rep, (keys, order) in enumerate(q["keys"]):
         k = window_keys(x, rep, q["sample"])
         lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-        for i in np.flatnonzero(hi > lo).tolist():
-            for j in order[lo[i] : hi[i]].tolist():
-                if (j, i) in seen:
-                    continue
-                seen.add((j, i))
-                d, s = int(owner[at[i]]), int(at[i])
-                if (q["x"][j] == x[i]).all():
-                    edits = 0
-                elif e == 0:
-                    continue
-                else:
-                    edits = edit_distance(q["x"][j].tolist(), ids[max(start[d], s - e) : min(stop[d], s + n + e)].tolist(), e)
-                    if edits == 0 or edits > e:  # an equal window a step aside comes out itself
-                        continue
-                out[d].append((int(q["item"][j]), int(q["pos"][j]), s - int(start[d]), edits))
+        n_met = hi - lo
+        i = np.repeat(np.arange(len(x)), n_met)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n_met) - n_met, n_met) + np.repeat(lo, n_met)]
+        met.append(i * len(q["x"]) + j)
+    pairs = np.unique(np.concatenate(met))
+    for part in range(0, len(pairs), WALK):
+        i, j = np.divmod(pairs[part : part + WALK], len(q["x"]))
+        equal = (q["x"][j] == x[i]).all(axis=1)
+        edits = np.where(equal, 0, e + 1)
+        near = np.flatnonzero(~equal) if e else np.empty(0, np.int64)
+        if len(near):
+            s = at[i[near]]
+            place = s[:, None] + np.arange(-e, n + e)
+            inside = (place >= start[owner[s]][:, None]) & (place < stop[owner[s]][:, None])
+            b = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], -1)
+            d = edit_distances(q["x"][j[near]], b)
+            edits[near] = np.where(d > 0, d, e + 1)  # an equal window a step aside comes out itself
+        for w in np.flatnonzero(edits <= e).tolist():
+            s, row = int(at[i[w]]), int(j[w])
+            d = int(owner[s])
+            out[d].append((int(q["item"][row]), int(q["pos"][row]), s - int(start[d]), int(edits[w])))
 
 
 def match(ix: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     return match_all(ix, [text])[0]
 
 
+def _in_parts(ix: Index, ids: list, texts: list[str | None]) -> Iterator[tuple]:
+    """(id, matches) of each text, taken together up to PART_CHARS characters."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b] or "") <= PART_CHARS):
+            size += len(texts[b] or "")
+            b += 1
+        yield from zip(ids[a:b], match_all(ix, texts[a:b]), strict=True)
+        a = b
+
+
 def leak_matches(
     docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", window: int | None = MIN_WORDS, edit_rate: float = 0.0, recall: float = 0.95
 ) -> DataFrame:
@@ -260,7 +280,7 @@ def leak_matches(
             ix = ix_b.value
             for b in batches:
                 rows = []
-                for i, all_ in zip(b.column(0).to_pylist(), match_all(ix, b.column(1).to_pylist()), strict=True):
+                for i, all_ in _in_parts(ix, b.column(0).to_pylist(), b.column(1).to_pylist()):
                     got = defaultdict(list)
                     for m in all_:
                         got[m[0]].append(m)
