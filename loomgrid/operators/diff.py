@@ -24,6 +24,12 @@ LINES = "diff_id long, file_seq int, old_path string, new_path string, is_new bo
 _KINDS = {"+": "add", "-": "remove", " ": "context"}
 
 
+def _lines(text: str | None) -> list[str]:
+    """Lines of a text, which end at newlines alone; other separators are content. A carriage return before the newline goes."""
+    lines = (text or "").split("\n")
+    return [x.removesuffix("\r") for x in (lines[:-1] if lines[-1] == "" else lines)]
+
+
 def parse(text: str | None) -> list[dict]:
     """Files of a diff: paths, flags and hunks of (kind, content, old number, new number).
 
@@ -32,7 +38,7 @@ def parse(text: str | None) -> list[dict]:
     """
     files: list[dict] = []
     file = hunk = None
-    for line in (text or "").splitlines():
+    for line in _lines(text):
         left = hunk is not None and (hunk["left_old"] > 0 or hunk["left_new"] > 0)
         if not left and (m := _OLD.match(line)):
             path = m[1].rstrip("\t")
@@ -113,10 +119,10 @@ def fenced_lines(lines: DataFrame, key: list[str], order: str, line: str = "line
 
 def file_blocks(text: str | None) -> list[tuple[str, str]]:
     """(path, raw text) of each file of a diff."""
-    lines = (text or "").splitlines()
+    lines = _lines(text)
     starts = [i for i in range(len(lines) - 1) if lines[i].startswith(("--- a/", "--- /dev/null")) and lines[i + 1].startswith("+++ ")]
     out = []
-    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=False):
         new, old = _NEW.match(lines[a + 1])[1], _OLD.match(lines[a])[1]
         out.append((old if new == "/dev/null" else new, "\n".join(lines[a:b])))
     return out
@@ -141,7 +147,7 @@ def chunk(text: str | None, max_size: int) -> list[tuple[int, int, str, int, str
             size = 0
         groups[-1].append((p, t))
         size += n
-    return [(i, len(groups), label([p.split("/")[0] for p, _ in g]), len(g), "".join(t for _, t in g)) for i, g in enumerate(groups)]
+    return [(i, len(groups), label([p.split("/")[0] for p, _ in g]), len(g), "\n".join(t for _, t in g)) for i, g in enumerate(groups)]
 
 
 def chunk_diffs(diffs: DataFrame, max_size: int) -> DataFrame:

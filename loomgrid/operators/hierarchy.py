@@ -150,19 +150,37 @@ def node_roots(h: Hierarchy) -> DataFrame:
     return j.select("project_id", F.col("name").alias("node"), "root", F.when((F.col("depth") < 0) | F.col("inner"), F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"))
 
 
-def node_paths(h: Hierarchy, sep: str = "/") -> DataFrame:
-    """(project_id, node, path, depth, root) of every node of a tree; path names all nodes from the root down.
+#: Names of a chain that one row holds.
+BLOCK = 1024
 
-    A chain's names are gathered once, in order; each path is then a
-    concatenation of the leading parts of the chains it crosses.
+
+def chain_blocks(h: Hierarchy) -> DataFrame:
+    """(chain, block, names): the names of a chain from its head down, BLOCK a row, so no chain is gathered whole."""
+    names = h.nodes.select("id", "name")
+    block = F.floor(F.col("pos") / BLOCK)
+    g = h.inner.select("id", "chain", "pos").join(names, "id").groupBy("chain", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_n"))
+    return g.select("chain", "block", F.transform("_n", lambda x: x["name"]).alias("names"))
+
+
+def node_paths(h: Hierarchy, sep: str = "/", asked: DataFrame | None = None) -> DataFrame:
+    """(project_id, node, path, depth, root) of every node of a tree, or of the ``asked`` ids; path names all nodes from the root down.
+
+    A path is a concatenation of the leading parts of the chains it crosses.  Spelled
+    out, the paths of a deep chain are quadratic in its length; ``h.inner.segs`` with
+    ``chain_blocks`` says the same in linear space, and ``asked`` spells out some.
     """
-    names = h.nodes.select("id", "project_id", "name")
+    n = h.nodes
+    if asked is not None:
+        n = n.join(asked.select("id").distinct(), "id", "left_semi")
+    n = n.withColumn("_at", F.when(F.col("inner"), F.col("id")).otherwise(F.col("parent")))
     i = h.inner
-    chain_names = i.select("id", "chain", "pos").join(names.select("id", "name"), "id").groupBy(F.col("chain").alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("_names"))
+    if asked is not None:
+        i = i.join(n.select(F.col("_at").alias("id")).distinct(), "id", "left_semi")
     ex = i.select("id", "root", "depth", F.posexplode("segs").alias("_k", "_s"))
-    part = ex.join(chain_names, F.col("_s.chain") == F.col("_c")).select("id", "root", "depth", "_k", F.slice("_names", 1, (F.col("_s.pos") + 1).cast("int")).alias("_part"))
-    p = part.groupBy("id", "root", "depth").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"])).alias("_path"))
-    n = h.nodes.withColumn("_at", F.when(F.col("inner"), F.col("id")).otherwise(F.col("parent")))
+    ex = ex.select("id", "root", "depth", "_k", F.col("_s.chain").alias("chain"), F.col("_s.pos").alias("_pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_s.pos") / BLOCK))).alias("block"))
+    last = F.least(F.col("_pos") - F.col("block") * BLOCK + 1, F.lit(BLOCK)).cast("int")
+    part = ex.join(chain_blocks(h), ["chain", "block"]).select("id", "root", "depth", "_k", "block", F.slice("names", F.lit(1), last).alias("_part"))
+    p = part.groupBy("id", "root", "depth").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "block", "_part"))), lambda x: x["_part"])).alias("_path"))
     j = n.join(p.withColumnRenamed("id", "_i"), F.col("_at") == F.col("_i"))
     leaf = ~F.col("inner")
     full = F.when(leaf, F.concat("_path", F.array("name"))).otherwise(F.col("_path"))
@@ -205,15 +223,13 @@ def ring_members(h: Hierarchy) -> DataFrame:
     names = h.nodes.select("id", "project_id", "name")
     on = h.rings.select("id", "parent").join(t.select(F.col("jump").alias("id")).distinct(), "id", "left_semi").join(names, "id")
     # Smallest name on each ring, by doubling over its own links.
-    m, k, before = ws.write(on.select("id", F.col("parent").alias("ptr"), F.col("name").alias("low")), "rm0"), 0, None
-    while True:
-        n_low = m.select("low").distinct().count()
-        if n_low in (0, before):
-            break
-        before = n_low
+    # Ids tell rings of different projects apart; a round that changes no row proves that every window spans its ring.
+    m, k, changed = ws.write(on.select("id", F.col("parent").alias("ptr"), F.col("name").alias("low")), "rm0"), 0, True
+    while changed:
         up = m.select(F.col("id").alias("_u"), F.col("ptr").alias("_p"), F.col("low").alias("_l"))
-        m = ws.write(m.join(up, F.col("ptr") == F.col("_u")).select("id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low")), f"rm{k + 1}", replaces=f"rm{k}")
-        k += 1
+        nxt = m.join(up, F.col("ptr") == F.col("_u")).select("id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"), (F.col("_l") < F.col("low")).alias("moved"))
+        m, changed = ws.write_measured(nxt, f"rm{k + 1}", F.count_if(F.col("moved")), replaces=f"rm{k}")
+        m, k = m.drop("moved"), k + 1
     out = on.select("id", "project_id", F.col("name").alias("node")).join(m.select("id", F.col("low").alias("ring")), "id")
     size = out.groupBy("project_id", "ring").agg(F.count("*").alias("ring_size"))
     return out.join(size, ["project_id", "ring"]).select("project_id", "node", "ring", "ring_size")

@@ -1,9 +1,10 @@
 """References to records that do not exist.
 
-State is kept as signed counts per key: how often a key is referred to, and
-how many records exist under it.  Both come from change deltas, so a batch of
-inserts and deletes folds into the state by addition alone; keys with positive
-references and no existence are the orphan report of the moment.
+State is kept as signed counts per key and time: how often a key is referred to,
+and how many records exist under it.  Both come from change deltas, so a batch of
+inserts and deletes folds into the state by addition alone, and a deletion takes
+its own time out again; keys with positive references and no existence are the
+orphan report of the moment.
 """
 
 from __future__ import annotations
@@ -27,33 +28,45 @@ def call_references(calls: DataFrame) -> DataFrame:
 
 def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
     """Signed reference deltas; sign -1 retracts references."""
-    return refs.select(*KEYS, F.lit(sign).cast("long").alias("refs"), F.lit(0).cast("long").alias("defs"), F.lit(None).cast("timestamp_ntz").alias("first_def"), F.col("at").alias("first_ref"))
+    return refs.select(*KEYS, F.col("at").cast("timestamp_ntz").alias("at"), F.lit(sign).cast("long").alias("refs"), F.lit(0).cast("long").alias("defs"))
 
 
 def existence_deltas(symbols: DataFrame, sign: int = 1) -> DataFrame:
     """Signed existence deltas of symbols; a symbol without project or name defines nothing."""
-    at = F.col("created_at") if sign > 0 else F.lit(None)
-    return symbols.where(F.col("project_id").isNotNull() & F.col("name").isNotNull()).select(
-        *KEYS, F.lit(0).cast("long").alias("refs"), F.lit(sign).cast("long").alias("defs"), at.cast("timestamp_ntz").alias("first_def"), F.lit(None).cast("timestamp_ntz").alias("first_ref")
-    )
+    s = symbols.where(F.col("project_id").isNotNull() & F.col("name").isNotNull())
+    return s.select(*KEYS, F.col("created_at").cast("timestamp_ntz").alias("at"), F.lit(0).cast("long").alias("refs"), F.lit(sign).cast("long").alias("defs"))
 
 
 def fold_deltas(*deltas: DataFrame) -> DataFrame:
-    """Fold deltas, or an earlier state and deltas, into the state per key.
+    """Fold deltas, or an earlier state and deltas, into the state (project_id, name, at, refs, defs).
 
-    One aggregation with map-side partial sums, so a key that owns a third of
-    all deltas reaches its reducer as one row per map task.  ``first_def`` and
-    ``first_ref`` keep the earliest time seen (a retraction does not move them).
+    One aggregation with map-side partial sums; what adds up to nothing is gone.  A
+    row retracted under the time it was added with leaves no trace of it.
     """
     u = deltas[0]
     for d in deltas[1:]:
         u = u.unionByName(d)
-    return u.groupBy(*KEYS).agg(F.sum("refs").alias("refs"), F.sum("defs").alias("defs"), F.min("first_def").alias("first_def"), F.min("first_ref").alias("first_ref"))
+    return u.groupBy(*KEYS, "at").agg(F.sum("refs").alias("refs"), F.sum("defs").alias("defs")).where("refs != 0 or defs != 0")
+
+
+def key_state(deltas: DataFrame) -> DataFrame:
+    """(project_id, name, refs, defs, first_def, first_ref) of a state, or of deltas that only add.
+
+    One aggregation with map-side partials, so a key that owns a third of all rows
+    reaches its reducer as one row per map task.
+    """
+    at = lambda n: F.min(F.when(F.col(n) > 0, F.col("at")))
+    return deltas.groupBy(*KEYS).agg(F.sum("refs").alias("refs"), F.sum("defs").alias("defs"), at("defs").alias("first_def"), at("refs").alias("first_ref"))
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
-    """Keys with positive references and no existing record."""
-    return state.where((F.col("refs") > 0) & (F.col("defs") <= 0))
+    """Keys of a state, or of deltas that only add, with positive references and no existing record."""
+    return key_state(state).where((F.col("refs") > 0) & (F.col("defs") <= 0))
+
+
+def late_keys(state: DataFrame) -> DataFrame:
+    """Keys whose earliest record came after their earliest reference."""
+    return key_state(state).where((F.col("refs") > 0) & (F.col("defs") > 0) & (F.col("first_def") > F.col("first_ref")))
 
 
 def orphan_references(calls: DataFrame, symbols: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -67,7 +80,7 @@ def orphan_references(calls: DataFrame, symbols: DataFrame, ws: Workspace | None
     """
     ws = ws or Workspace(calls.sparkSession, "references")
     refs = call_references(calls)
-    state = fold_deltas(reference_deltas(refs), existence_deltas(symbols))
+    state = key_state(reference_deltas(refs).unionByName(existence_deltas(symbols)))
     bad = state.where((F.col("refs") > 0) & ((F.col("defs") <= 0) | (F.col("first_def") > F.col("first_ref"))))
     bad, total = ws.write_measured(bad.select(*KEYS, "refs", F.when(F.col("defs") > 0, F.col("first_def")).alias("first_def")), "state", F.sum("refs"))
     hit = skew_join(refs, bad, KEYS, "refs", total)

@@ -117,9 +117,15 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_
     return d.where(norm(v) > 0).select(F.col(id_col).alias("id"), similarity(1.0 - cos).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def upsert_vectors(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """Vectors after an upsert: new rows replace old ones of the same id; of repeated new rows the last by value is kept."""
-    last = new.groupBy(id_col).agg(F.max("vec").alias("vec"))
+def upsert_vectors(old: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """Vectors after an upsert: new rows replace old ones of the same id.
+
+    Of repeated new rows the one written last, by the column ``order``, is kept;
+    without an order, and among ties of it, the largest, so the result never depends
+    on how rows are spread.  A null order comes first.
+    """
+    by = F.struct(F.col(order), F.col("vec")) if order else F.struct("vec")
+    last = new.groupBy(id_col).agg(F.max(by).alias("_w")).select(id_col, F.col("_w.vec").alias("vec"))
     return old.join(last, id_col, "left_anti").select(id_col, "vec").unionByName(last)
 
 

@@ -33,7 +33,7 @@ def security_scan(spark, d):
 
 
 def secret_scan(spark, d):
-    i = table(spark, d, "review_issues").where("suggested_fix is not null").select("file", F.lit("unknown").alias("language"), F.col("id").cast("int").alias("line"), F.col("suggested_fix").alias("content"))
+    i = table(spark, d, "review_issues").where("suggested_fix is not null").select("file", F.lit("unknown").alias("language"), F.col("id").cast("long").alias("line"), F.col("suggested_fix").alias("content"))
     return rules.scan_secrets(i)
 
 
@@ -256,7 +256,7 @@ select review_id, created_at, score from o where (r - 1) % greatest(1, cast(ceil
     "sarif_rules": f"{_I} select coalesce(issue_type, 'general') as rule_id, min(title) as name from issues group by 1",
 }
 _SECRET = " union all ".join(f"select {k} as o, '{i}' as rule_id, '{s}' as severity, '{p}' as p" for k, (i, s, p) in enumerate(rules.SECRETS))
-SQL["secret_scan"] = f"""with r as ({_SECRET}), f as (select file, cast(id as int) as line, suggested_fix as content from review_issues where suggested_fix is not null and not ({_TEST})),
+SQL["secret_scan"] = f"""with r as ({_SECRET}), f as (select file, cast(id as bigint) as line, suggested_fix as content from review_issues where suggested_fix is not null and not ({_TEST})),
 h as (select file, line, content, o, rule_id, severity, p, row_number() over (partition by line order by o) as k from f, r where regexp_matches(content, p))
 select rule_id, file, line, severity, substr(regexp_extract(content, p, 0), 1, 4) || '****' || right(regexp_extract(content, p, 0), 4) as masked from h where k = 1"""
 

@@ -25,7 +25,7 @@ def p3_orphan_periods(spark, d):
 
 def p3_orphan_keys(spark, d):
     refs = rf.call_references(_calls(spark, d))
-    state = rf.fold_deltas(rf.reference_deltas(refs), rf.existence_deltas(_symbols(spark, d)))
+    state = rf.reference_deltas(refs).unionByName(rf.existence_deltas(_symbols(spark, d)))
     return rf.orphan_keys(state).select("project_id", "name", "refs", "first_ref")
 
 

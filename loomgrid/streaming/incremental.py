@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgrid.operators.references import KEYS, fold_deltas
 
@@ -14,34 +15,87 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return d.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
-def versioned_writer(base: str, key: list[str], order: str):
-    """A foreachBatch function that keeps a table at ``base`` replaced by key: each batch writes a new version from the last one.
+#: Buckets of a table kept by a stream, by the hash of its key; one bucket should fit a task.
+BUCKETS = 64
+
+
+def _parts(spark: SparkSession, base: str, batch_id: int) -> dict[int, int]:
+    """The version that holds each bucket after a batch; at most BUCKETS entries."""
+    if batch_id < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{base}/parts-{batch_id}").collect()}
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
 
-    A repeated batch id rewrites its own version from the same predecessor, so a
-    batch that is retried after a failure changes nothing twice.
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def read_kept(spark: SparkSession, base: str, batch_id: int, schema) -> DataFrame:
+    """The table at ``base`` as it was after a batch."""
+    parts = _parts(spark, base, batch_id)
+    paths = [f"{base}/v{v}/bucket={b}" for b, v in sorted(parts.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _keep(batch: DataFrame, batch_id: int, base: str, key: list[str], merge) -> None:
+    """Merge a batch into the table at ``base``, rewriting only the buckets that hold keys of it.
+
+    A batch that is retried starts from its predecessor's buckets and overwrites its
+    own version, so it changes nothing twice; what no batch can start from any more
+    is deleted, so cost and disk go with the change and not with the history.
     """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    before = _parts(spark, base, batch_id - 1)
+    touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+    paths = [f"{base}/v{before[b]}/bucket={b}" for b in touched if b in before]
+    after = dict(before)
+    if touched:
+        old = spark.read.schema(batch.schema).parquet(*paths) if paths else None
+        new = merge(old, batch).select(*batch.columns).withColumn("bucket", bucket)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{batch_id}")
+        for b in touched:
+            after.pop(b, None)
+        after |= {r[0]: batch_id for r in spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{base}/v{batch_id}").select("bucket").distinct().collect()}
+    spark.createDataFrame(list(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{base}/parts-{batch_id}")
+    if batch_id > 1 and _exists(spark, f"{base}/parts-{batch_id - 2}"):
+        for b, v in _parts(spark, base, batch_id - 2).items():
+            if before.get(b) != v:
+                _delete(spark, f"{base}/v{v}/bucket={b}")
+        _delete(spark, f"{base}/parts-{batch_id - 2}")
+
+
+def versioned_writer(base: str, key: list[str], order: str):
+    """A foreachBatch function that keeps a table at ``base`` replaced by key; of repeated keys the last by ``order`` stays, null keys are keys."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("_r")).select(*key, "_r.*").select(*batch.columns)
-        if batch_id > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{base}/v{batch_id - 1}")
-            new = old.join(new.select(*key), key, "left_anti").select(*batch.columns).unionByName(new)
-        new.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        u = batch.withColumn("_new", F.lit(1))
+        if old is not None:
+            u = u.unionByName(old.withColumn("_new", F.lit(0)))
+        rest = [c for c in batch.columns if c not in key]
+        return u.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", order, F.xxhash64(*rest))).alias("_r")).select(*key, "_r.*")
 
-    return write
+    return lambda batch, batch_id: _keep(batch, batch_id, base, key, merge)
 
 
 def orphan_state_writer(base: str):
-    """A foreachBatch function that folds reference and existence deltas into the counts per key at ``base``."""
+    """A foreachBatch function that folds reference and existence deltas into the state at ``base``, see ``references.fold_deltas``."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        state = fold_deltas(batch)
-        if batch_id > 0:
-            state = fold_deltas(state, batch.sparkSession.read.schema(state.schema).parquet(f"{base}/v{batch_id - 1}"))
-        state.select(*KEYS, "refs", "defs", "first_def", "first_ref").write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return fold_deltas(batch) if old is None else fold_deltas(batch, old)
 
-    return write
+    return lambda batch, batch_id: _keep(batch, batch_id, base, KEYS, merge)
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:

@@ -251,3 +251,36 @@ def test_row_numbers_over_ranges(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(1).alias("x")).repartition(7)
     assert {(r.k, r.row_no) for r in numbered(d, ["k"]).collect()} == {(i, i + 1) for i in range(1000)}
     assert numbered(d.where("false"), ["k"]).count() == 0
+
+
+def test_kept_tables_rewrite_touched_buckets_only(spark, rows, tmp_path):
+    out, schema = str(tmp_path / "t"), "k long, v string, at int"
+    write = inc.versioned_writer(out, ["k"], "at")
+    batches = [[(i, "a", 1) for i in range(200)], [(3, "b", 2), (3, "c", 3), (500, "n", None), (None, "null", 1)], [], [(3, "d", 0)]]
+    for n, b in enumerate(batches):
+        for _ in range(2):  # a retried batch changes nothing twice
+            write(spark.createDataFrame(b, schema), n)
+    got = dict(rows(inc.read_kept(spark, out, 3, schema), "k", "v"))
+    assert got == {i: "a" for i in range(200)} | {3: "d", 500: "n", None: "null"}
+    assert dict(rows(inc.read_kept(spark, out, 2, schema), "k", "v"))[3] == "c"
+    import os
+
+    assert len([x for x in os.listdir(f"{out}/v1") if x.startswith("bucket=")]) <= 3 and not os.path.exists(f"{out}/parts-0")
+    assert len([x for x in os.listdir(f"{out}/v0") if x.startswith("bucket=")]) < inc.BUCKETS
+
+
+def test_orphan_counts_kept_by_a_stream(spark, rows, tmp_path):
+    from datetime import timedelta
+
+    from loomgrid.operators import references as rf
+
+    out, schema = str(tmp_path / "o"), "project_id long, name string, at timestamp_ntz, refs long, defs long"
+    t = datetime(2025, 1, 1)
+    write = inc.orphan_state_writer(out)
+    write(spark.createDataFrame([(1, "a", t, 1, 0), (1, "b", t, 1, 0), (1, "a", t, 0, 1)], schema), 0)
+    assert rows(rf.orphan_keys(inc.read_kept(spark, out, 0, schema)), "name") == [("b",)]
+    write(spark.createDataFrame([(1, "b", t + timedelta(days=1), 0, 1), (1, "a", t, 0, -1)], schema), 1)
+    state = inc.read_kept(spark, out, 1, schema)
+    assert rows(rf.orphan_keys(state), "name") == [("a",)] and rows(rf.late_keys(state), "name") == [("b",)]
+    write(spark.createDataFrame([(1, "a", t, -1, 0), (1, "b", t, -1, 0), (1, "b", t + timedelta(days=1), 0, -1)], schema), 2)
+    assert inc.read_kept(spark, out, 2, schema).count() == 0

@@ -127,6 +127,39 @@ def test_hierarchy_against_brute_force(spark, shape):
     assert on == expect
 
 
+def test_rings_of_several_projects_and_long_rings(spark):
+    """Names that repeat across projects, and a ring whose smallest names lie far apart."""
+    links = [(1, "a", "c"), (1, "c", "b"), (1, "b", "a"), (2, "b", "b"), (2, "c", "c"), *[(3, f"n{i:02d}", f"n{(i + 1) % 40:02d}") for i in range(40)], *[(4, f"n{i * 17 % 40:02d}", f"n{(i + 1) * 17 % 40:02d}") for i in range(40)]]
+    h = hi.build_hierarchy(spark.createDataFrame(links, "project_id long, node string, parent string"))
+    got = {(r.project_id, r.node): (r.ring, r.ring_size) for r in hi.ring_members(h).collect()}
+    assert got == {(1, x): ("a", 3) for x in "abc"} | {(2, x): (x, 1) for x in "bc"} | {(p, f"n{i:02d}"): ("n00", 40) for p in (3, 4) for i in range(40)}
+
+
+def test_paths_by_blocks_and_of_asked_nodes(spark, rows, monkeypatch):
+    monkeypatch.setattr(hi, "BLOCK", 4)
+    links = shapes()["chain"] + shapes()["tree"] + [("x", "c7"), ("y", "x"), ("y2", "x")]
+    h = hi.build_hierarchy(spark.createDataFrame([(1, n, p) for n, p in links], "project_id long, node string, parent string"))
+    parent = dict(links)
+
+    def spell(n):
+        return spell(parent[n]) + "/" + n if n in parent else n
+
+    assert {r.node: r.path for r in hi.node_paths(h).collect()} == {n: spell(n) for e in links for n in e}
+    asked = h.nodes.where("name in ('y', 'c31')").select("id")
+    assert rows(hi.node_paths(h, asked=asked), "node", "path") == [("c31", spell("c31")), ("y", spell("y"))]
+
+
+def test_a_deletion_takes_its_time_out_again(spark, rows):
+    c = rf.call_references(calls(spark, [(1, "m", "a", 5)]))
+    s = symbols(spark, [(1, "a", 3), (1, "a", 7)])
+    state = rf.fold_deltas(rf.reference_deltas(c), rf.existence_deltas(s))
+    assert rf.late_keys(state).count() == 0
+    later = rf.fold_deltas(state, rf.existence_deltas(s.where("id = 0"), -1))
+    assert rows(rf.late_keys(later), "name") == [("a",)]
+    none = rf.fold_deltas(later, rf.existence_deltas(s.where("id = 1"), -1), rf.reference_deltas(c, -1))
+    assert none.count() == 0
+
+
 def test_call_links_need_a_known_callee_and_a_project(spark, rows):
     c = calls(spark, [(1, "m::a", "b()", 0), (1, "a", "b", 0), (1, "a", "nowhere", 0), (None, "a", "b", 0), (2, "x", "b", 0), (1, None, "b", 0)])
     links = hi.call_links(c, symbols(spark, [(1, "b", 5)]))

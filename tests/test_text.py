@@ -207,3 +207,30 @@ def test_refs_vocabulary_and_settings(spark):
     with pytest.raises(ValueError):
         config.resolve_profile("c", pr)
     assert config.backend("auto", False) == "hashing" and config.backend(None, True) == "pretrained"
+
+
+def test_the_last_write_of_a_vector_wins(spark, rows):
+    old = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, vec array<float>")
+    new = spark.createDataFrame([(1, [9.0], 1), (1, [5.0], 2), (3, [3.0], None), (3, [1.0], 0)], "id long, vec array<float>, seq int")
+    assert rows(search.upsert_vectors(old, new, order="seq"), "id", "vec") == [(1, [5.0]), (2, [2.0]), (3, [1.0])]
+
+
+def test_lines_of_a_diff_end_at_newlines_only():
+    from loomgrid.operators import diff
+
+    text = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-s = 'p'\r\n+s = 'p\u2028q\x0cr\x85'\n t\n"
+    lines = diff.parse(text)[0]["hunks"][0]["lines"]
+    assert [x[:2] for x in lines] == [("remove", "s = 'p'"), ("add", "s = 'p\u2028q\x0cr\x85'"), ("context", "t")] and diff.parse(None) == diff.parse("") == []
+
+
+def test_chunks_can_be_parsed_again(spark):
+    from loomgrid.operators import diff
+
+    one = lambda f, n: f"--- a/{f}\n+++ b/{f}\n@@ -1,0 +1,{n} @@\n" + "+b\n" * n
+    text = one("src/x.py", 2) + one("src/y.py", 1) + one("lib/z.py", 300)
+    for size in (10, 200, 100_000):
+        parts = diff.chunk(text, size)
+        again = [f for *_, t in parts for f in diff.parse(t)]
+        assert again == diff.parse(text) and sum(n for _, _, _, n, _ in parts) == 3
+    assert [(a, b, c, d) for a, b, c, d, _ in diff.chunk(text, 200)] == [(0, 2, "src/*", 2), (1, 2, "lib/*", 1)]
+    assert diff.chunk("no diff", 5) == [(0, 1, "empty", 0, "no diff")] and diff.chunk(None, 5) == [(0, 1, "empty", 0, "")]
