@@ -65,10 +65,23 @@ def _values(spark, d):
     return a.unionByName(truncation.text_values(r, "reviews", "id", ["summary"], "provider"))
 
 
-def p6_found(spark, d):
+def _texts(spark, d):
     a = truncation.text_values(_wide(spark, d, "review_issues", "id", "body", "suggested_fix"), "review_issues", "id", ["body", "suggested_fix"])
-    b = truncation.text_values(table(spark, d, "reviews"), "reviews", "id", ["summary"])
-    return truncation.cut_values(a.unionByName(b)).select("table_name", "row_id", "field")
+    return a.unionByName(truncation.text_values(table(spark, d, "reviews"), "reviews", "id", ["summary"]))
+
+
+def p6_found(spark, d):
+    return truncation.cut_values(_texts(spark, d)).select("table_name", "row_id", "field")
+
+
+def p6_reasons(spark, d):
+    """How many values were found by which evidence."""
+    return truncation.cut_values(_texts(spark, d)).groupBy("reason").count()
+
+
+def p6_recall(spark, d):
+    """Share of planted cut copies of all values that the alignment finds, by how much of the text is left."""
+    return truncation.copy_recall(_texts(spark, d))
 
 
 def p6_rates(spark, d):
@@ -131,4 +144,4 @@ def p9_spans(spark, d):
     return spans.merge_spans(_spans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p2_validation, p5_found, p5_classes, p6_found, p6_rates, p7_found, p7_leaked_items, p7_near, p7_recall, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p2_validation, p5_found, p5_classes, p6_found, p6_reasons, p6_rates, p6_recall, p7_found, p7_leaked_items, p7_near, p7_recall, p8_mix, p8_shares, p9_found, p9_portions, p9_spans)}

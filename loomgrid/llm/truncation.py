@@ -2,28 +2,29 @@
 
 Three kinds of evidence, in this order:
 
-1. What stands at the end: a mark left at the cut, an open fence, bracket,
-   string or code span, a path without its ending, a sentence without its stop in
-   a text whose other sentences have theirs.
-2. Near-copies.  The last TAIL characters of each undecided text, and of each
-   whole one that ends without a hard closing mark, are looked for at
-   every position of every text, so a copy meets its source wherever it was cut,
-   and is aligned with all texts that go on after them.  Where at least SIMILAR of
-   the five-word shingles agree up to there and the longer goes on in the middle of
-   a word or line, the shorter was cut.
-3. Terminality of the closing word.  Over all lines of all texts it is counted
-   how often a word occurs in lines of a kind (list items, comments, statements by
-   their first word) and how often it closes them; equal texts count once.  An
-   undecided text whose closing word hardly ever closes such a line was cut, and so
-   was one whose closing word only ever closes and begins a much more frequent word.
-
-Texts that end in a full stop, a closed block, a list item, a reference or a
-finished statement are whole.
+1. Near-copies.  A cut copy is near to a beginning of its source.  The last TAIL
+   characters of each value that is not closed for good (of one with a mark at the
+   cut: before the mark) are looked for at every position of every text; what stands
+   before such a position is a beginning.  Values and beginnings meet where they
+   share a min-hash band of their five-word shingles, and met pairs are aligned:
+   where at least SIMILAR of the shingles agree up to there and the longer goes on in
+   the middle of a word or line, the shorter was cut.
+2. The kind of ending of what found no copy: a mark left at the cut is evidence by
+   itself; any other kind (open fence, bracket, string or code span, a path without
+   its ending, a sentence without its stop, ...) is scored by how much more often it
+   occurs where texts are cut at random than where they end, over all texts.
+3. Terminality of the closing word, where the kind of ending tells nothing.  Over all
+   lines of all texts it is counted how often a word occurs in lines of a kind (list
+   items, comments, statements by their first word) and how often it closes them;
+   equal texts count once.  A text whose closing word hardly ever closes such a line
+   was cut, and so was one whose closing word only ever closes and begins a much more
+   frequent word.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -52,6 +53,10 @@ CELL = 500
 CLOSES_SHARE, CLOSES_LEAST = 0.2, 3
 #: A word that only ever closes lines of a kind is a piece of a longer one that is seen there at least 1 / PIECE_SHARE times as often.
 PIECE_SHARE = 2 / 3
+#: Weight of what ``judge`` says about a kind of ending against what is counted, in texts.
+PRIOR = 50
+#: Log odds from which a kind of ending is cut, and from which one that ``judge`` leaves open is.
+CUT_ODDS, ASK_ODDS = 1.0, 3.0
 #: A class of closing words (numbers, identifiers) is terminal when it closes this share of the lines of a kind.
 CLASS_SHARE = 0.05
 
@@ -219,6 +224,34 @@ def closings(text: str, out: dict) -> None:
             add(kind, w, w == close)
 
 
+def learn(text: str, th: int, reason: str, out: dict) -> None:
+    """Count a text for the statistics: its closing words, its kind of ending, and that of the same text cut at a place chosen by its hash."""
+    closings(text, out)
+    n = len(text)
+    p = n // 5 + (th & 0x7FFFFFFF) % max(1, n - n // 5)
+    for kind, r in (("~end", reason), *((("~cut", judge(text[:p])[1]),) if n >= 20 else ())):
+        out.setdefault((kind, r), [0, 0])[0] += 1
+
+
+def ending_odds(counts: dict[tuple[str, str], int], verdicts: dict[str, str]) -> dict[str, float]:
+    """Log odds of each kind of ending being a cut one, from its counts at cuts and at ends; PRIOR texts say what ``judge`` says."""
+    prior = {"cut": (0.1, 0.01), "whole": (0.01, 0.1), "ask": (0.03, 0.03)}
+    total = {k: sum(n for (kind, _), n in counts.items() if kind == k) for k in ("~cut", "~end")}
+
+    def rate(kind: str, reason: str, q: float) -> float:
+        return (counts.get((kind, reason), 0) + PRIOR * q) / (total[kind] + PRIOR)
+
+    return {r: math.log(rate("~cut", r, prior[v][0]) / rate("~end", r, prior[v][1])) for r, v in verdicts.items()}
+
+
+#: Every kind of ending that ``judge`` tells apart, with its own verdict.
+ENDINGS = {
+    **dict.fromkeys(("mark", "open_fence", "open_code", "open_statement", "open_block", "open_span", "open_bracket", "open_path", "open_sentence"), "cut"),
+    **dict.fromkeys(("closed_fence", "setting", "patch", "code", "reference", "stop", "list", "other"), "whole"),
+    **dict.fromkeys(("patch_word", "code_word", "list_word", "ref_word", "word"), "ask"),
+}
+
+
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -362,7 +395,6 @@ class Group:
 
     def __init__(self):
         self.by: dict[int, list[tuple[str, set[int]]]] = {}
-        self.long: list[Beginnings] = []
 
     def add(self, text: str, y: set[int]) -> None:
         for s in _rare(y):
@@ -376,7 +408,7 @@ class Group:
             for b, y in self.by.get(s, ()):
                 if lo <= len(b) <= hi and SIMILAR * len(x) <= len(y) and SIMILAR * len(y) <= len(x) and b.endswith(tail) and len(x & y) >= SIMILAR * len(x | y):
                     return True
-        return any(g.hold(a, x) for g in self.long)
+        return False
 
 
 _KEY_SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -416,9 +448,24 @@ def _probe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str, list[int]]]:
-    """(key, text up to the last position, positions) of the places where a text holds a key of the bitmap and goes on."""
-    out: dict[tuple[int, int], list[int]] = {}
+def band_keys(tails: np.ndarray, bands_: np.ndarray) -> np.ndarray:
+    """Signed keys under which a value and a beginning meet: the same last characters and length class, and the same min-hash band."""
+    with np.errstate(over="ignore"):
+        x = (tails[..., None].view(np.uint64) * _KEY_SALT) ^ bands_.view(np.uint64)
+        x ^= x >> np.uint64(31)
+        return (x * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _band_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the texts that have shingles, their bands)"""
+    lists = bands(texts)
+    n = np.diff(lists.offsets.to_numpy())
+    return np.flatnonzero(n), lists.values.to_numpy().reshape(-1, BANDS)
+
+
+def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
+    """(key, text up to the place) of each place where a text holds a key of the bitmap and goes on."""
+    out: list[tuple[int, str]] = []
     texts = [t.rstrip() for t in texts]
     far = _range(TAIL)[1]
     for k, parts in ((TAIL, texts), (SHORT, [t[: far + 2] for t in texts])):
@@ -439,8 +486,8 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str, lis
         row, end = row[ok], end[ok]
         keys = _keyed(h[ok], k, _classes(end - start[row]))
         for i in _probe(bitmap, keys).tolist():
-            out.setdefault((int(keys[i : i + 1].view(np.int64)[0]), int(row[i])), []).append(int(end[i] - start[row[i]]))
-    return [(key, texts[r][: max(e)], e) for (key, r), e in out.items()]
+            out.append((int(keys[i : i + 1].view(np.int64)[0]), texts[row[i]][: int(end[i] - start[row[i]])]))
+    return out
 
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -466,57 +513,68 @@ def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
 
 
 def near_copies(asks: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
-    """(th) of the texts of ``asks`` (th, tails, text) that are cut near-copies of beginnings of ``texts`` (text)."""
+    """(th) of the texts of ``asks`` (th, tails, text) that are cut near-copies of beginnings of ``texts`` (text).
+
+    Keys alone are shuffled first; only values and beginnings under a key that both
+    have carry their texts on.
+    """
     spark = asks.sparkSession
     keyed = asks.select("th", F.explode("tails").alias("key"))
     held = spark.sparkContext.broadcast(_bitmap(keyed, keyed.count()))
 
+    def rows(keys: list[np.ndarray], cols: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.int64), *keys])
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part, size = [], 0
             for t in [*b.column(0).to_pylist(), None]:
                 if part and (t is None or size > 500_000):
                     got = beginnings(part, held.value)
-                    if got:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*got, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["key", "text", "ends"])
+                    at, m = _band_matrix([x for _, x in got]) if got else ((), None)
+                    if len(at):
+                        keys = band_keys(np.array([got[i][0] for i in at.tolist()], np.int64), m)
+                        yield rows(list(keys), [pa.array([got[i][1] for i in at.tolist()], pa.string())], ["text", "keys"])
                     part, size = [], 0
                 if t is not None:
                     part.append(t)
                     size += len(t)
 
-    found = texts.select("text").mapInArrow(find, "key long, text string, ends array<int>")
-    found = ws.write(found.withColumn("th", F.xxhash64("text")), "beginnings")
+    def keyed_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th, tails, text = (c.to_pylist() for c in b.columns)
+            at, m = _band_matrix([x.rstrip() for x in text]) if text else ((), None)
+            keys = [np.concatenate([band_keys(np.array([k], np.int64), m[j : j + 1]).ravel() for k in tails[i]] or [np.empty(0, np.int64)]) for j, i in enumerate(at)]
+            yield rows(keys, [pa.array([th[i] for i in at], pa.int64())], ["th", "keys"])
+
+    found = ws.write(texts.select("text").mapInArrow(find, "text string, keys array<long>").select(F.xxhash64("text").alias("th"), "text", "keys"), "beginnings")
+    a = ws.write(asks.select("th", "tails", "text").mapInArrow(keyed_asks, "th long, keys array<long>").select("th", F.explode("keys").alias("key")).distinct(), "value_keys")
+    b = ws.write(found.select("th", F.explode("keys").alias("key")).distinct(), "beginning_keys")
+    both = ws.write(a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key"), "met")
     # A group larger than CELL is cut into cells on both sides, and every pair of cells meets in one task.
-    long_n = found.groupBy("key").agg(F.count("*").alias("nb"))
-    mine = ws.write(asks.select("th", "text", F.explode("tails").alias("key")).join(long_n, "key").dropDuplicates(["key", "th"]), "tails")
-    both = mine.groupBy("key").agg(F.count("*").alias("na"), F.first("nb").alias("nb"))
     ca, cb = F.ceil(F.col("na") / CELL).cast("int"), F.ceil(F.col("nb") / CELL).cast("int")
-    a = mine.drop("nb").join(both, "key").select("key", F.pmod("th", ca).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("q"), F.lit(1).alias("side"), "th", "text", F.lit(None).cast("array<int>").alias("ends"))
-    b = found.join(both, "key").select("key", F.explode(F.sequence(F.lit(0), ca - 1)).alias("p"), F.pmod("th", cb).cast("int").alias("q"), F.lit(0).alias("side"), "th", "text", "ends")
+    a, b = a.join(both, "key"), b.join(both, "key")
+    only = lambda texts_, keys: texts_.select("th", "text").join(keys.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    left = a.join(only(asks, a), "th").select("key", F.pmod("th", ca).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("q"), F.lit(1).alias("side"), "th", "text")
+    right = b.join(only(found, b), "th").select("key", F.explode(F.sequence(F.lit(0), ca - 1)).alias("p"), F.pmod("th", cb).cast("int").alias("q"), F.lit(0).alias("side"), "th", "text")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, seen = None, Group(), set()
+        now, group = None, Group()
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            parts = [[r[5].rstrip()] if r[3] else [r[5][:e] for e in r[6]] if len(r[6]) <= 8 else [] for r in rows]
-            sets, i, hit = shingle_sets([x for p in parts for x in p]), 0, []
-            for (key, p, q, side, th, text, ends), part in zip(rows, parts, strict=True):
-                if (key, p, q) != now:
-                    now, group, seen = (key, p, q), Group(), set()
-                own, i = sets[i : i + len(part)], i + len(part)
-                if side == 1:
-                    if group.hold(part[0], own[0]):
-                        hit.append(th)
-                elif th not in seen:
-                    seen.add(th)
-                    if part:
-                        for x, y in zip(part, own, strict=True):
-                            group.add(x, y)
-                    else:
-                        group.long.append(Beginnings(text, ends))
+            key, p, q, side, th, text = (c.to_pylist() for c in batch.columns)
+            text, hit = [t.rstrip() if s else t for t, s in zip(text, side, strict=True)], []
+            for *at, s, h, t, x in zip(key, p, q, side, th, text, shingle_sets(text), strict=True):
+                if at != now:
+                    now, group = at, Group()
+                if s == 0:
+                    group.add(t, x)
+                elif group.hold(t, x):
+                    hit.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["th"])
 
-    met = a.unionByName(b).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+    met = left.unionByName(right).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
     return met.mapInArrow(align, "th long").distinct()
 
 
@@ -553,13 +611,14 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
             for tb, i, f, t, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v, r, k, w = judge(t)
                 if th not in dup:
-                    closings(t, stats)
+                    learn(t, th, r, stats)
                 elif dup[th] is None:
                     dup[th] = t
                 if v == "whole" and r == "empty":
                     continue
-                tails = tail_keys(t) if v == "ask" or v == "whole" and not _HARD_CLOSE.search(t.rstrip()) else []
-                rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, t if tails else None))
+                open_ = _MARK.sub("", t.rstrip()) if r == "mark" else t
+                tails = tail_keys(open_) if v != "whole" or not _HARD_CLOSE.search(t.rstrip()) else []
+                rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, open_ if tails else None))
             rows += [(2, "", 0, "", "", "", "", "", 0, 0, th, None, t) for th, t in dup.items() if t is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -576,19 +635,17 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
     schema = "tag int, table_name string, row_id long, field string, verdict string, reason string, kind string, word string, n long, m long, th long, tails array<long>, text string"
     judged = ws.write(cols.withColumn("th", F.xxhash64("text")).mapInArrow(first, schema), "judged")
     vals = judged.where("tag = 0")
-    sure = vals.where("verdict = 'cut'").select(*keys, "reason")
-    ask = vals.where("verdict = 'ask'")
 
     asked = vals.where("size(tails) > 0")
-    copies = asked.join(near_copies(asked, cols, ws), "th").select(*keys, F.lit("copy_goes_on").alias("reason"))
+    copies = asked.join(near_copies(asked, cols, ws), "th").select(*keys, F.lit(0).alias("rank"), F.lit("copy_goes_on").alias("reason"))
 
     # Terminality of the closing words still in question. A word that only ever closes says nothing by
     # its share; it counts as cut where it begins a word that is more frequent in such lines.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats: dict = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                closings(t, stats)
+            for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                learn(t, th, judge(t)[1], stats)
             if len(stats) > 200_000:
                 yield lines_of(stats)
         if stats:
@@ -599,8 +656,17 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
         stats.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "word", "n", "m"])
 
-    once = judged.where("tag = 2").dropDuplicates(["th"]).select("text").mapInArrow(count, "kind string, word string, n long, m long")
+    once = judged.where("tag = 2").dropDuplicates(["th"]).select("th", "text").mapInArrow(count, "kind string, word string, n long, m long")
     st = judged.where("tag = 1").select("kind", "word", "n", "m").unionByName(once).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    st = ws.write(st, "words")
+
+    # Kinds of ending by their odds; their number is fixed, see ENDINGS.
+    counts = {(r.kind, r.word): r.n for r in st.where("kind in ('~end', '~cut')").select("kind", "word", "n").collect()}
+    odds = ending_odds(counts, ENDINGS)
+    cut = ["mark", *(r for r, v in ENDINGS.items() if odds[r] > (ASK_ODDS if v == "ask" else CUT_ODDS) and r != "mark")]
+    sure = vals.where(F.col("reason").isin(cut)).select(*keys, F.lit(1).alias("rank"), "reason")
+    ask = vals.where((F.col("verdict") == "ask") & ~F.col("reason").isin(cut))
+
     lines = st.where("word = ''").select("kind", F.col("n").alias("lines"))
     seen = st.where("word != ''").join(lines, "kind", "left")
     closing = ask.select("kind", "word").where("word != ''").distinct()
@@ -614,8 +680,48 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
     is_class = F.col("word").startswith("<") | F.col("kind").startswith("ref:")
     seldom = F.when(is_class, F.col("m") < CLASS_SHARE * F.col("lines")).otherwise((F.col("n") >= CLOSES_LEAST) & (F.col("m") < CLOSES_SHARE * F.col("n")))
     open_ = own.where(seldom).select("kind", "word").unionByName(part)
-    words = ask.join(open_, ["kind", "word"]).select(*keys, F.lit("closing_word").alias("reason"))
-    return sure.unionByName(copies).unionByName(words).groupBy(*keys).agg(F.min("reason").alias("reason"))
+    words = ask.join(open_, ["kind", "word"]).select(*keys, F.lit(2).alias("rank"), F.lit("closing_word").alias("reason"))
+    return sure.unionByName(copies).unionByName(words).groupBy(*keys).agg(F.min(F.struct("rank", "reason")).alias("_r")).select(*keys, "_r.reason")
+
+
+def planted_copies(values: DataFrame) -> DataFrame:
+    """(th, tails, text, tenth): for each different text a copy cut at a place chosen by its hash, every other one with a word replaced where that leaves it a near-copy.
+
+    Only cuts inside a line after at least a fifth of the text count, as a copy that
+    closes with a sentence is another version and no cut one.  tenth is the share of
+    the text that is left, in tenths.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = t.rstrip()
+                n = len(t)
+                p = n // 5 + (th & 0x7FFFFFFF) % max(1, n - n // 5)
+                a = t[:p]
+                w = [m.span() for m in _WORD.finditer(a)]
+                if not a or a[-1].isspace() or not _goes_on(t[p:]) or _SENTENCE.search(a) or len(w) < SHINGLE:
+                    continue
+                if th & 1 and len(w) > 15 * SHINGLE:
+                    x, y = w[(th >> 8) % (len(w) // 2)]
+                    a = a[:x] + "replaced" + a[y:]
+                if tails := tail_keys(a):
+                    out.append((th, tails, a, 10 * p // n))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int32()), strict=True)], names=["th", "tails", "text", "tenth"])
+
+    once = values.select(F.xxhash64("text").alias("th"), "text").dropDuplicates(["th"])
+    return once.mapInArrow(run, "th long, tails array<long>, text string, tenth int")
+
+
+def copy_recall(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """(tenth, n_planted, n_found, recall): how many planted cut copies of the values are found by their source."""
+    ws = ws or Workspace(values.sparkSession, "truncation")
+    planted = ws.write(planted_copies(values), "planted")
+    hit = near_copies(planted, values, ws).withColumn("_hit", F.lit(1))
+    out = planted.join(hit, "th", "left").groupBy("tenth").agg(F.count("*").alias("n_planted"), F.count("_hit").alias("n_found"))
+    return out.withColumn("recall", F.col("n_found") / F.col("n_planted"))
 
 
 def cut_rates(values: DataFrame, cut: DataFrame) -> DataFrame:
