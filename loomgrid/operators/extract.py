@@ -42,9 +42,10 @@ Option String str Vec HashMap HashSet dbg todo unimplemented unreachable panic a
 insert remove get set new default clone into from iter collect map filter fold next unwrap expect as_ref as_mut as_str to_string
 to_owned to_vec drop copy send sync main debugPrint throw rethrow late required covariant show hide Future Stream Completer List
 Map Set int double num bool dynamic Object Null Never""".split())
+# Where a line opens a function body, by language.
 _ENTRY = {
-    "rs": r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*[(<]", "go": r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", "c": r"[\w:*]+\s+(\w+)\s*\([^;]*\)\s*\{",
-    "java": r"\b(\w+)\s*\([^)]*\)\s*\{", "dart": r"\b(\w+)\s*\([^)]*\)\s*\{", "py": r"def\s+(\w+)",
+    "rs": r"\bfn\s+(\w+)\s*[<(]", "go": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", "c": r"\b(\w+)\s*\([^;{}]*\)\s*\{", "py": r"\bdef\s+(\w+)",
+    **dict.fromkeys(("java", "dart"), r"\b(\w+)\s*\([^;{}]*\)\s*\{"),
 }
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_][\w]*(?:(?:::|\.)[A-Za-z_]\w*)*)\s*\(")
 _KEYWORDS = set("if while for loop match return break switch new instanceof require import range defer go print len catch elif and or not in fn func def function".split())

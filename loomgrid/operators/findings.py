@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from loomgrid.functions.paths import is_markdown
 from loomgrid.functions.severity import at_least, normal, rank
 from loomgrid.operators.ordering import numbered
+from loomgrid.operators.rules import RULES
 
 #: Order of the sources: an earlier one silences a later one on the same line.
 SOURCES = ["llm", "rules", "secrets", "security", "unused_import", "dead_code", "breaking"]
 # What a title about a written-out credential says.
 SECRET_TITLES = ["hardcoded password", "hardcoded secret", "hardcoded credential", "hardcoded token", "hardcoded api key", "hardcoded api_key"]
-SECRET_LITERAL = r'(?i)(?:password|api_?key|token|secret)\s*=\s*"[^"]+"'
+#: A written-out credential, as the rule for it sees one.
+SECRET_LITERAL = next(r.pattern for r in RULES if r.id == "sec-hardcoded-secret")
 
 
 def source_rank(c: Column | str) -> Column:

@@ -261,39 +261,21 @@ h as (select file, line, content, o, rule_id, severity, p, row_number() over (pa
 select rule_id, file, line, severity, substr(regexp_extract(content, p, 0), 1, 4) || '****' || right(regexp_extract(content, p, 0), 4) as masked from h where k = 1"""
 
 _Q = lambda p: p.replace("'", "''")
-_COMMENT = "(starts_with(trim(content), '//') or starts_with(trim(content), '#') or starts_with(trim(content), '<!--') or starts_with(trim(content), '*'))"
-_SQL_FP = {
-    "sec-hardcoded-secret": r"""(contains(lower(content), '= ''') or contains(lower(content), '= ""') or contains(lower(content), '$state(') or contains(lower(content), 'bind:') or regexp_matches(trim(regexp_extract(content, '^[^:]*:(.*)$', 1)), '^[\p{L}_$]'))""".replace("\\'", "''"),
-    "sec-hardcoded-url": rf"""({_COMMENT} or contains(content, '\"\"\"') or contains(content, chr(39) || chr(39) || chr(39)) or contains(lower(content), 'xmlns=') or contains(lower(content), 'xlink:href=') or regexp_matches(lower(content), 'http://(localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])') or regexp_matches(content, '(?i)http://[a-z][\w-]*:\d+'))""".replace('\\"', '"'),
-}
+
+
+def _loud(rule_id: str) -> str:
+    return "".join(f" and not regexp_matches(content, '{_Q(rules.QUIET[n])}')" for n in rules.SILENCED_BY.get(rule_id, ()))
+
+
 SQL["rule_scan"] = f"with {b.LINES} " + " union ".join(
     f"select '{r.id}' as rule_id, file, line, '{r.severity}' as severity from lines where regexp_matches(content, '{_Q(r.pattern)}')"
     + ("" if "all" in r.languages else f" and language in ({', '.join(repr(x) for x in r.languages)})")
-    + (f" and not {_SQL_FP[r.id]}" if r.id in _SQL_FP else "")
+    + _loud(r.id)
     for r in rules.RULES
 )
-
-_C5 = "(starts_with(trim(content), '//') or starts_with(trim(content), '#') or starts_with(trim(content), '--') or starts_with(trim(content), '/*') or starts_with(trim(content), '*'))"
-_DOC = "(contains(content, chr(34) || chr(34) || chr(34)) or contains(content, chr(39) || chr(39) || chr(39)))"
-
-
-def _any_of(*parts: str) -> str:
-    return "(" + " or ".join(f"contains(lower(content), '{x}')" for x in parts) + ")"
-
-
-_ENV = f"(contains(lower(content), 'env') and {_any_of('getenv', 'environ', 'from_env')})"
-_SECURITY_FP = {
-    "crypto/hardcoded-secret": _SQL_FP["sec-hardcoded-secret"],
-    "injection/sql-concat": f"({_C5} or {_DOC})",
-    "injection/eval": f"({_C5} or {_DOC} or {_any_of('evaluate', 'evaluation', 'ast.literal_eval', 'json.')})",
-    "config/debug-enabled": f"({_C5} or {_any_of('add_argument', 'addoption', 'argument(', '.option(', 'parser.')} or {_ENV})",
-    "crypto/weak-hash": f"({_C5} or {_DOC} or {_any_of('import ', 'use ', 'require(', '#include', 'impl ', 'fn ', 'type ')})",
-    "crypto/ssl-verify-disabled": f"({_C5} or {_DOC} or {_ENV} or {_any_of('process.env', 'interface ', 'schema', 'field(', 'default:')})",
-    "config/cors-wildcard": _any_of("env::var(", "getenv(", "os.environ"),
-}
 SQL["security_scan"] = f"""with f as (select id || '/' || file as file, string_split(suggested_fix, chr(10)) as parts from review_issues where suggested_fix is not null),
 lines as (select file, cast(generate_subscripts(parts, 1) as int) as line, unnest(parts) as content from f), src as (select * from lines where not ({_TEST})) """ + " union all ".join(
-    f"select '{i}' as rule_id, file, line, '{sev}' as severity from src where regexp_matches(content, '{_Q(p)}')" + (f" and not {_SECURITY_FP[i]}" if i in _SECURITY_FP else "") for i, _, sev, p in rules.SECURITY
+    f"select '{i}' as rule_id, file, line, '{sev}' as severity from src where regexp_matches(content, '{_Q(p)}'){_loud(i)}" for i, _, sev, p in rules.SECURITY
 )
 
 SQL["debt_badge"] = f"""with report as ({SQL['debt_report']}) select 1 as "schemaVersion", 'code quality' as label,
