@@ -2,8 +2,8 @@
 
 Three kinds of evidence, in this order:
 
-1. Near-copies.  A cut copy is near to a beginning of its source.  The last TAIL
-   characters of each value that is not closed for good (of one with a mark at the
+1. Near-copies.  A cut copy is near to a beginning of its source.  The last
+   characters (TAILS) of each value that is not closed for good (of one with a mark at the
    cut: before the mark) are looked for at every position of every text; what stands
    before such a position is a beginning.  Values and beginnings meet where they
    share a min-hash band of their five-word shingles, and met pairs are aligned:
@@ -41,8 +41,11 @@ from loomgrid.workspace import Workspace
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 6, 3
-#: Characters at the end of a text that its source must hold; of a text with fewer, the last SHORT are the key.
-TAIL, SHORT = 24, 8
+#: (characters at the end of a value that its source must hold, least length of such values), the longest first.
+#: A longer tail says more, and an edit within it hides the source; phrases that many texts share are shorter than the first.
+TAILS = ((64, 128), (24, 24), (8, 8))
+#: Slack of the place where a value may end in its source.
+TAIL = 24
 #: The end in the source lies in one of the length classes that a text's own length allows; a class spans this ratio.
 CLASS_RATIO = 1.25
 #: Bits of the bitmap of the keys that are looked for, at most; beyond, more texts are carried on and none is lost.
@@ -74,7 +77,7 @@ _REF = re.compile(r"^(?:[A-Z][\w-]*(?: [a-z]+)?): \S")
 _COMMENT = re.compile(r"^\s*(?://|#(?!!)|--|/\*|\*\s|;;)")
 _PATCH = re.compile(r"^(?:[-+](?![-+]\s*$)|@@|diff |index |--- |\+\+\+ | )")
 _CODE_START = re.compile(
-    r"^\s*(?:def |async |class |fn |func |pub |export |import |from \S+ import|return\b|let |const |var |if \(?.*[:{]|if [^.]*$|for .*[:{(]|for |while |match |assert |self\.|this\.|@\w|else|elif |try|except|raise |throw |use |package |struct |enum |interface |type |\}|\{|</?\w|set [A-Z_]+=|[A-Z_]{3,}=|[\w.]+\[[^\]]*\] = |[\w, ]+ :?= |[\w.]+(?:: [\w\[\]<>, ]+)? = |[\w.:]+\(.*)"
+    r"^\s*(?:def |async |class |fn |func |function |pub |export |import |from \S+ import|return\b|let |const |var |if \(?.*[:{]|if [^.]*$|for .*[:{(]|for |while |match |assert |self\.|this\.|@\w|else|elif |try|except|raise |throw |use |package |struct |enum |interface |type |\}|\{|</?\w|set [A-Z_]+=|[A-Z_]{3,}=|[\w.]+\[[^\]]*\] = |[\w, ]+ :?= |[\w.]+(?:: [\w\[\]<>, ]+)? = |[\w.:]+\(.*)"
 )
 _BT = re.compile(r"`")
 _WORD = re.compile(r"\w+")
@@ -428,8 +431,8 @@ def _keyed(h: np.ndarray, k: int, cls: np.ndarray) -> np.ndarray:
 def tail_keys(text: str) -> list[int]:
     """Signed keys of a text's last characters, one for each length class that the end in its source may have."""
     a = text.rstrip()
-    k = TAIL if len(a) >= TAIL else SHORT
-    if len(a) < k:
+    k = next((k for k, least in TAILS if len(a) >= least), 0)
+    if not k:
         return []
     lo, hi = _classes(np.array(_range(len(a)))).tolist()
     h = gram_hashes(_codes(a[-k:]), k)
@@ -467,8 +470,11 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
     """(key, text up to the place) of each place where a text holds a key of the bitmap and goes on."""
     out: list[tuple[int, str]] = []
     texts = [t.rstrip() for t in texts]
-    far = _range(TAIL)[1]
-    for k, parts in ((TAIL, texts), (SHORT, [t[: far + 2] for t in texts])):
+    longest = math.inf
+    for k, least in TAILS:
+        # Values of this level are shorter than those of the one before, and so end early in their source.
+        far, longest = (_range(longest)[1] if longest < math.inf else 0), least
+        parts = [t[: far + 2] for t in texts] if far else texts
         size = np.array([len(t) for t in parts])
         stop = np.cumsum(size)
         start = stop - size
@@ -479,7 +485,7 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
         row = np.repeat(np.arange(len(parts)), size)[: len(h)]
         end = np.arange(k, len(h) + k)
         ok = end < stop[row]
-        if k == SHORT:
+        if far:
             ok &= end - start[row] <= far
         nxt = codes[np.minimum(end, len(codes) - 1)]
         ok &= (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
