@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.functions.names import bare_name
 from loomgrid.sources.tables import spread, table
 
 PROJECT = 1
@@ -24,35 +25,37 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Every third call as a typed edge, its kind by id; routes carry a method."""
-    c = calls(spark, d).where("id % 3 = 0 and callee is not null")
-    k = F.expr("cast(floor(id / 3) as bigint) % 4")
+    """Every call as a typed edge, its kind by id; imports name the bare symbol, routes carry a method."""
+    c = calls(spark, d).where("callee is not null")
+    k = F.pmod("id", F.lit(4))
     kind = F.when(k == 0, "IMPORTS").when(k == 1, "IMPLEMENTS").when(k == 2, "INHERITS").otherwise("ROUTE")
-    target = F.when(k == 3, F.concat(F.lit("GET /"), F.col("callee"))).otherwise(F.col("callee"))
+    target = F.when(k == 0, bare_name("callee")).when(k == 3, F.concat(F.lit("GET /"), F.col("callee"))).otherwise(F.col("callee"))
     return c.select("id", F.col("caller").alias("source"), kind.alias("kind"), target.alias("target"), "file", "line", "project_id")
 
 
-EDGES = """edges as (select id, caller as source,
-  case (id // 3) % 4 when 0 then 'IMPORTS' when 1 then 'IMPLEMENTS' when 2 then 'INHERITS' else 'ROUTE' end as kind,
-  case when (id // 3) % 4 = 3 then 'GET /' || callee else callee end as target, file, line, project_id
-  from call_graph where id % 3 = 0 and callee is not null)"""
+BARE = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\(\)$', ''), '^.*(::|\.|->)', '', 's')"
+EDGES = f"""edges as (select id, caller as source,
+  case id % 4 when 0 then 'IMPORTS' when 1 then 'IMPLEMENTS' when 2 then 'INHERITS' else 'ROUTE' end as kind,
+  case id % 4 when 0 then {BARE.format('callee')} when 3 then 'GET /' || callee else callee end as target, file, line, project_id
+  from call_graph where callee is not null)"""
 
 _CODES = {"rust": "rs", "python": "py", "typescript": "ts", "javascript": "js", "go": "go"}
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as source files: (file, language, content)."""
-    lang = F.lower("lang")
+    """Documents as source files: (file, language, content); the language by ``lang`` in any spelling, where it is missing by the ending of ``path``."""
+    lang, end = F.lower(F.trim("lang")), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     code = None
     for k, v in _CODES.items():
-        code = F.when(lang == k, v) if code is None else code.when(lang == k, v)
-    file = F.concat_ws("/", F.lit("docs"), F.concat(F.col("doc_id").cast("string"), F.lit("."), F.coalesce(code, F.lit("md"))))
-    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", file.alias("file"), code.otherwise("md").alias("language"), F.col("text").alias("content"))
+        hit = (lang == k) | (lang == v) | (F.col("lang").isNull() & (end == v))
+        code = F.when(hit, v) if code is None else code.when(hit, v)
+    code = code.otherwise("md")
+    file = F.concat_ws("/", F.lit("docs"), F.concat(F.col("doc_id").cast("string"), F.lit("."), code))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "path", "text")).select("doc_id", file.alias("file"), code.alias("language"), F.col("text").alias("content"))
 
 
-_CASE = " ".join(f"when '{k}' then '{v}'" for k, v in _CODES.items())
-SOURCES = f"""sources as (select doc_id, 'docs/' || doc_id || '.' || (case lower(lang) {_CASE} else 'md' end) as file,
-  case lower(lang) {_CASE} else 'md' end as language, text as content from documents)"""
+_CASE = " ".join(f"when lower(trim(lang)) in ('{k}', '{v}') or lang is null and lower(regexp_extract(path, '\\.(\\w+)$', 1)) = '{v}' then '{v}'" for k, v in _CODES.items())
+SOURCES = f"""sources as (select doc_id, 'docs/' || doc_id || '.' || language as file, language, text as content from (select *, case {_CASE} else 'md' end as language from documents))"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -99,10 +102,22 @@ ISSUES = """issues as (select i.id, i.review_id, r.project_id, i.file, i.line, l
   from review_issues i left join (select id, min(project_id) as project_id from reviews group by id) r on r.id = i.review_id)"""
 
 
+_EVENTS = ("auto_resolved", "dismissed", "reopened", "opened")
+
+
 def events_log(spark: SparkSession, d: str) -> DataFrame:
-    """An event for every third finding: resolved, dismissed or reopened by id."""
-    e = F.element_at(F.array(F.lit("auto_resolved"), F.lit("dismissed"), F.lit("reopened")), (F.expr("cast(floor(id / 3) as bigint) % 3") + 1).cast("int"))
-    return table(spark, d, "review_issues").where("id % 3 = 0").select("id", F.col("id").alias("finding_id"), e.alias("event_type"), "created_at")
+    """An event for every finding: resolved, dismissed, reopened or opened by id."""
+    e = F.element_at(F.array(*[F.lit(x) for x in _EVENTS]), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    return table(spark, d, "review_issues").select("id", F.col("id").alias("finding_id"), e.alias("event_type"), "created_at")
+
+
+EVENTS = f"log as (select id, id as finding_id, ({list(_EVENTS)!r})[cast(id % 4 + 1 as int)] as event_type, created_at from review_issues)"
+
+
+def latest_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """(review_id) of the last review of each project, the largest id of equal times."""
+    r = table(spark, d, "reviews").groupBy("project_id").agg(F.max(F.struct("created_at", "id")).alias("_l"))
+    return r.select(F.col("_l.id").alias("review_id"))
 
 
-EVENTS = "log as (select id, id as finding_id, (['auto_resolved', 'dismissed', 'reopened'])[cast((id // 3) % 3 + 1 as int)] as event_type, created_at from review_issues where id % 3 = 0)"
+LATEST = "latest as (select max(struct_pack(a := created_at, b := id)).b as review_id from reviews group by project_id)"

@@ -67,8 +67,10 @@ def rebuild_needed(spark, d):
 
 
 def stale_embeddings(spark, d):
+    """Symbols to embed after those recorded before June were."""
     s = b.symbols(spark, d)
-    done = store.stale_embeddings(s, s.select("id", F.lit(0).cast("long").alias("text_hash"))).where("id % 2 = 0")
+    before = s.where("created_at < timestamp_ntz'2025-06-01'")
+    done = store.stale_embeddings(before, before.select("id", F.lit(0).cast("long").alias("text_hash")))
     return store.stale_embeddings(s, done).select("id", "text")
 
 
@@ -232,7 +234,7 @@ list_has_any(regexp_split_to_array(lower(path), '[/_\\-.]'), {paths.TEST_WORDS!r
     "pruned_symbols": "select id from symbols s where not (project_id = 1 and exists (select 1 from files f where f.project_id = 1 and f.path = s.file) and s.file not like 'src/%')",
     "deleted_project": "select project_id, count(*) as n from symbols where project_id <> 1 group by 1",
     "rebuild_needed": "select id from projects where index_config_hash is distinct from 'a51d9f122542e1e7'",
-    "stale_embeddings": "select id, case when coalesce(signature, '') = '' then name else name || ' ' || signature end as text from symbols where id % 2 <> 0",
+    "stale_embeddings": "select id, case when coalesce(signature, '') = '' then name else name || ' ' || signature end as text from symbols where created_at >= timestamp '2025-06-01'",
     "diff_lines": f"with {b.FIXES} select diff_id, file, line_seq, line_type, content, cast(old_line_no as int) as old_line_no, cast(new_line_no as int) as new_line_no from diff_lines",
     "diff_stats": f"with {b.FIXES} select diff_id, cast(1 as bigint) as n_files, count(*) as n_changed from diff_lines group by 1",
     "diff_files": f"with {b.FIXES} select diff_id, file from fixes",

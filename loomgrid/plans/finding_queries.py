@@ -112,8 +112,9 @@ def open_findings(spark, d):
 
 
 def stale_findings(spark, d):
+    """Open findings that the last review of their project does not report again."""
     f = _status(spark, d).withColumn("fingerprint", fi.fingerprint())
-    return fi.stale_findings(f, f.where("id % 2 = 0")).select("id")
+    return fi.stale_findings(f, f.join(b.latest_reviews(spark, d), "review_id", "left_semi")).select("id")
 
 
 def quality_scores(spark, d):
@@ -233,8 +234,8 @@ select i.id from issues i left join a on a.file = i.file and a.line = i.line whe
     "finding_stats": f"""{_ST} select count(*) as total, count(*) filter (where status = 'open') as n_open, count(*) filter (where status = 'resolved') as n_resolved, count(*) filter (where status = 'dismissed') as n_dismissed,
 cast(round(100.0 * count(*) filter (where status = 'resolved') / count(*)) as bigint) as resolution_rate from st""",
     "open_findings": f"{_ST} select id, severity, file from st where status = 'open' and severity = 'major' and file ilike '%src/%' order by id desc limit 50",
-    "stale_findings": f"""{_ST}, f as (select *, {_FP} as fingerprint from st)
-select id from f where status = 'open' and project_id is not null and not exists (select 1 from f g where g.id % 2 = 0 and g.project_id = f.project_id and g.fingerprint = f.fingerprint)
+    "stale_findings": f"""{_ST}, {b.LATEST}, f as (select *, {_FP} as fingerprint from st), g0 as (select * from f where review_id in (select review_id from latest))
+select id from f where status = 'open' and project_id is not null and not exists (select 1 from g0 g where g.project_id = f.project_id and g.fingerprint = f.fingerprint)
 union all select id from f where status = 'open' and project_id is null""",
     "quality_scores": f"{_I} select review_id, round(cast(greatest(0.0, 10.0 - sum({_case(PENALTY_10)})) as double), 6) as score_10, cast(floor(greatest(0.0, 100.0 - sum({_case(PENALTY_100)}))) as bigint) as score_100 from issues group by 1",
     "severity_counts": f"{_I} select severity, count(*) as n from issues group by 1",

@@ -97,7 +97,7 @@ def dsl_functions(spark, d):
 
 QUERIES = {f.__name__: f for f in (callers, callees, cross_project_callers, impact_depth3, trace_out, trace_in, graph_proximity, arch_overview, edge_kind_counts, dead_code, unused_imports, routes_list, affected_tests, breaking_changes, changed_scan, index_scan, dsl_callers, dsl_callees, dsl_functions)}
 
-_BARE = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\(\)$', ''), '^.*(::|\.|->)', '', 's')"
+_BARE = b.BARE
 _CALLERS = f"select distinct caller, file, line from call_graph where callee ilike '%{NAME}%' and project_id = {P} order by file, line, caller limit 50"
 _CALLEES = f"select distinct callee, file, line from call_graph where caller ilike '%{NAME}%' and project_id = {P} order by file, line, callee limit 50"
 _WELL = ", ".join(f"'{x}'" for x in g.WELL_KNOWN)
