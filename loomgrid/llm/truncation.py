@@ -49,7 +49,7 @@ TAIL = 24
 #: The end in the source lies in one of the length classes that a text's own length allows; a class spans this ratio.
 CLASS_RATIO = 1.25
 #: Bits of the bitmap of the keys that are looked for, at most; beyond, more texts are carried on and none is lost.
-MOST_BITS = 29
+MOST_BITS = 30
 #: Texts of a key that one task aligns with each other; larger groups are cut into cells, and every pair of cells meets.
 CELL = 500
 #: A word that stands in at least this many lines of a kind is no terminal one when it closes less than this share of them.
@@ -68,9 +68,15 @@ _MARK = re.compile(r"(?i)(?:…|\.\.\.|[\[(<{]\s*(?:\.\.\.|…)?\s*(?:truncated|
 _EXT = "rs|go|py|pyi|ts|tsx|js|jsx|mjs|cjs|c|h|cc|cpp|hpp|cs|java|kt|kts|rb|php|swift|scala|lua|zig|dart|sh|sql|md|rst|txt|json|yaml|yml|toml|lock|cfg|ini|xml|html|css|scss|proto|svelte|vue|gradle|mod|sum|ipynb|csv"
 _PATH_END = re.compile(rf"(?:^|[\s`(])[\w@.~-]*(?:/[\w@.~-]+)+$|(?:^|\s)[\w-]+\.(?:{_EXT})$")
 _PATH_WHOLE = re.compile(rf"\.(?:{_EXT})(?::\d+)*$")
-_SENTENCE = re.compile(r"[.!?:;][\"'`)\]*_]*$")
-#: Marks that close a text for good; a whole text that ends otherwise may still be the beginning of a longer copy.
-_HARD_CLOSE = re.compile(r"[.!?:;)\]}>\"'`][*_]*$")
+#: Words after the label of a reference line, at most; more are a sentence.
+REF_WORDS = 6
+#: Characters at the end of a text in which a mark lies.
+MARK_CHARS = 200
+_FENCE = re.compile(r"(?m)^\s*```")
+_NEW_SENTENCE = re.compile(r"[a-z]\. [A-Z`]")
+_PATCH_CODE = re.compile(r"[-+]\s*(?:\w+\s*[=:({]|const |let |var |export |fn |def |if |func |pub |return )")
+_OPEN_END = re.compile(r"(?:[+*/|&<,(\[{\\.-]|->|=>|\b(?:and|or|not|in|is|return await))$")
+_BLOCK_HEAD = re.compile(r"\s*(?:def|class|if|for|while|else|elif|try|except|with)\b")
 _STOP_INSIDE = re.compile(r"[a-z`)\w][.!?][\"'`)]*(?:\s+[A-Z`\"(]|\n)")
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+(?=\S)")
 _REF = re.compile(r"^(?:[A-Z][\w-]*(?: [a-z]+)?): \S")
@@ -79,7 +85,6 @@ _PATCH = re.compile(r"^(?:[-+](?![-+]\s*$)|@@|diff |index |--- |\+\+\+ | )")
 _CODE_START = re.compile(
     r"^\s*(?:def |async |class |fn |func |function |pub |export |import |from \S+ import|return\b|let |const |var |if \(?.*[:{]|if [^.]*$|for .*[:{(]|for |while |match |assert |self\.|this\.|@\w|else|elif |try|except|raise |throw |use |package |struct |enum |interface |type |\}|\{|</?\w|set [A-Z_]+=|[A-Z_]{3,}=|[\w.]+\[[^\]]*\] = |[\w, ]+ :?= |[\w.]+(?:: [\w\[\]<>, ]+)? = |[\w.:]+\(.*)"
 )
-_BT = re.compile(r"`")
 _WORD = re.compile(r"\w+")
 #: A finished setting: a name and one bare value or number.
 _SETTING = re.compile(r"^[-+\s]*(?:export |set |let |var |const )?[\w.-]+\s*[:=]\s*(?:[\w./+@%-]*\d[\w./+@%-]*)?$")
@@ -136,62 +141,87 @@ def last_word(line: str) -> str:
     return s[i:]
 
 
+def closes_sentence(line: str) -> bool:
+    """Whether a line ends in a stop, whatever quotes and brackets close after it."""
+    s = line.rstrip("\"'`)]*_")
+    return bool(s) and s[-1] in ".!?:;"
+
+
+def closes_for_good(text: str) -> bool:
+    """Whether a text ends in a mark that closes it; one that ends otherwise may still be the beginning of a longer copy."""
+    s = text.rstrip().rstrip("*_")
+    return bool(s) and s[-1] in ".!?:;)]}>\"'`"
+
+
+def is_reference(line: str) -> bool:
+    """Whether a line is a label and a few words, such as an issue number or a name."""
+    return bool(_REF.match(line)) and line.count(" ") <= REF_WORDS
+
+
+def _ends_in_word(s: str) -> bool:
+    return s[-1:].isalnum() or s[-1:] == "_"
+
+
 def judge(text: str) -> tuple[str, str, str, str]:
     """(verdict, reason, kind of the last line, closing word); verdict is cut, whole or ask."""
     t = text.rstrip()
     if not t:
         return "whole", "empty", "", ""
-    if _MARK.search(t):
+    if _MARK.search(t[-MARK_CHARS:]):
         return "cut", "mark", "", ""
-    fences = len(re.findall(r"(?m)^\s*```", t))
+    fences = len(_FENCE.findall(t)) if "```" in t else 0
     lines = t.split("\n")
     last = lines[-1]
     if fences % 2:
         return "cut", "open_fence", "", ""
-    if re.match(r"^\s*```\s*$", last):
+    if fences and last.strip() == "```":
         return "whole", "closed_fence", "", ""
     body = lines
     if fences:
-        end = max(i for i, x in enumerate(lines) if re.match(r"^\s*```", x))
+        end = max(i for i, x in enumerate(lines) if x.lstrip().startswith("```"))
         body = lines[end + 1 :]
     first = next((x for x in body if x.strip()), "")
-    patch = len(lines) > 1 and all(_PATCH.match(x) for x in lines) and any(x.startswith("+") for x in lines) or bool(re.match(r"^[-+]\s*(?:\w+\s*[=:({]|const |let |var |export |fn |def |if |func |pub |return )", first))
-    if not fences and len(last) < 400 and _SETTING.match(last):
+    patch = len(lines) > 1 and all(_PATCH.match(x) for x in lines) and any(x.startswith("+") for x in lines) or bool(first[:1] in ("-", "+") and _PATCH_CODE.match(first))
+    if not fences and _SETTING.match(last):
         return "whole", "setting", "", ""
     if patch:
         stack, quote = _brackets(last[1:])
         if quote or stack.strip("{"):
             return "cut", "open_code", "", ""
-        return ("ask", "patch_word", line_kind(last[1:]), last_word(last)) if re.search(r"\w$", last) else ("whole", "patch", "", "")
-    code = bool(_CODE_START.match(last) or _COMMENT.match(last)) and not re.search(r"[a-z]\. [A-Z`]", last) or bool(re.match(r"^\s{2,}\S", last) and _CODE_START.match(first)) or bool(_CODE_START.match(first) and not fences and len(lines) > 1 and not re.search(r"[a-z]\. [A-Z`]", first))
+        return ("ask", "patch_word", line_kind(last[1:]), last_word(last)) if _ends_in_word(last) else ("whole", "patch", "", "")
+    code_last, code_first, comment = bool(_CODE_START.match(last)), bool(_CODE_START.match(first)), bool(_COMMENT.match(last))
+    sentences = bool(_NEW_SENTENCE.search(last))
+    code = (code_last or comment) and not sentences or bool(code_first and last[:2].isspace() and last[:2].strip() == "" and len(last) > 2 and last.startswith(("  ", "\t"))) or code_first and not fences and len(lines) > 1 and not sentences
     if code and not _LIST.match(last):
         stack, quote = _brackets("\n".join(body))
         if quote or stack:
             return "cut", "open_code", "", ""
-        if re.search(r"(?:[+*/|&<,(\[{\\.-]|->|=>|\b(?:and|or|not|in|is|return await))$", last) and not _COMMENT.match(last):
+        if not comment and _OPEN_END.search(last[-20:]):
             return "cut", "open_statement", "", ""
-        if last.endswith(":") and re.match(r"^\s*(?:def|class|if|for|while|else|elif|try|except|with)\b", last):
+        if last.endswith(":") and _BLOCK_HEAD.match(last):
             return "cut", "open_block", "", ""
-        return ("ask", "code_word", line_kind(last), last_word(last)) if re.search(r"\w$", last) else ("whole", "code", "", "")
-    if len(_BT.findall(last)) % 2:
+        return ("ask", "code_word", line_kind(last), last_word(last)) if _ends_in_word(last) else ("whole", "code", "", "")
+    if last.count("`") % 2:
         return "cut", "open_span", "", ""
-    if _PATH_WHOLE.search(last) and _PATH_END.search(last):
+    token = last.split()[-1]
+    path = bool(_PATH_END.search(token))
+    if path and _PATH_WHOLE.search(token):
         return "whole", "reference", "", ""
-    if _SENTENCE.search(last):
+    if closes_sentence(last):
         return "whole", "stop", "", ""
     if last.count("(") > last.count(")") or last.count('"') % 2:
         return "cut", "open_bracket", "", ""
-    if _PATH_END.search(last) and len(last.split()) > 1:
+    if path and token != last.strip():
         return "cut", "open_path", "", ""
     if _LIST.match(last):
-        return ("ask", "list_word", "list", last_word(last)) if re.search(r"\w$", last) else ("whole", "list", "", "")
-    if _REF.match(last) and len(last) < 60:
+        return ("ask", "list_word", "list", last_word(last)) if _ends_in_word(last) else ("whole", "list", "", "")
+    if is_reference(last):
         v = last.split(": ", 1)[1]
         shape = re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+", "a", v))
         return "ask", "ref_word", "ref:" + last.split(":")[0], shape
-    if _STOP_INSIDE.search(t) or len(last.split()) > 12:
+    if len(last.split()) > 12 or _STOP_INSIDE.search(t):
         return "cut", "open_sentence", "", ""
-    return ("ask", "word", "prose", last_word(last)) if re.search(r"\w$", last) else ("whole", "other", "", "")
+    return ("ask", "word", "prose", last_word(last)) if _ends_in_word(last) else ("whole", "other", "", "")
 
 
 def closings(text: str, out: dict) -> None:
@@ -211,7 +241,7 @@ def closings(text: str, out: dict) -> None:
     for line in text.rstrip().split("\n"):
         if not line or line.isspace() or line.lstrip().startswith("```"):
             continue
-        if len(line) < 60 and _REF.match(line):
+        if is_reference(line):
             k, v = line.split(":")[0], line.split(": ", 1)[1]
             add("ref:" + k, re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+", "a", v)), True)
             add("ref:" + k, "", False)
@@ -355,7 +385,7 @@ class Beginnings:
         """Whether ``a`` with shingles ``x`` is a near-copy of the text up to one of the positions."""
         lo, hi = _range(len(a))
         ends = [e for e in self.ends[bisect_left(self.ends, lo) : bisect_right(self.ends, hi)] if self.text.endswith(a[-TAIL:], 0, e)]
-        if not ends or not x or _SENTENCE.search(a):
+        if not ends or not x or closes_sentence(a):
             return False
         if self._words is None:
             self._prepare()
@@ -404,7 +434,7 @@ class Group:
             self.by.setdefault(s, []).append((text, y))
 
     def hold(self, a: str, x: set[int]) -> bool:
-        if not x or _SENTENCE.search(a):
+        if not x or closes_sentence(a):
             return False
         (lo, hi), tail = _range(len(a)), a[-TAIL:]
         for s in _rare(x):
@@ -439,14 +469,18 @@ def tail_keys(text: str) -> list[int]:
     return _keyed(np.repeat(h, hi - lo + 1), k, np.arange(lo, hi + 1).astype(np.uint64)).view(np.int64).tolist()
 
 
-_PROBES = (0, 17, 35)
+def _bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three positions of each key among ``bits`` (a power of two), independent of each other."""
+    mask = np.uint64(bits - 1)
+    with np.errstate(over="ignore"):
+        return [keys & mask, keys * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(31) & mask, keys * np.uint64(0x94D049BB133111EB) >> np.uint64(29) & mask]
 
 
 def _probe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Positions of the keys whose bits are all set."""
-    mask, at = np.uint64(len(bitmap) * 8 - 1), np.arange(len(keys))
-    for shift in _PROBES:
-        bit = keys[at] >> np.uint64(shift) & mask
+    at = np.arange(len(keys))
+    for k in range(3):
+        bit = _bits(keys[at], len(bitmap) * 8)[k]
         at = at[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     return at
 
@@ -498,9 +532,14 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
     """Bits of the keys, built in slices so that no task and no result holds the whole."""
-    bits = 1 << min(MOST_BITS, max(20, (16 * n).bit_length()))
+    bits = 1 << min(MOST_BITS, max(20, (64 * n).bit_length()))
     size = 1 << 20
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.unique(np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), bits)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x >> 20), pa.array(x & (size - 1))], names=["slice", "bit"])
+
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:
@@ -510,8 +549,7 @@ def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
         for x, v in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
 
-    bit = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in _PROBES]))
-    parts = keys.select(bit.alias("b")).distinct().select(F.shiftright("b", 20).alias("slice"), F.col("b").bitwiseAND(F.lit(size - 1)).alias("bit")).repartition("slice")
+    parts = keys.select("key").mapInArrow(places, "slice long, bit long").distinct().repartition("slice")
     out = np.zeros(bits // 8, np.uint8)
     for s, v in parts.mapInArrow(slices, "slice long, bits binary").collect():
         out[s * size // 8 : (s + 1) * size // 8] = np.frombuffer(v, np.uint8)
@@ -623,7 +661,7 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
                 if v == "whole" and r == "empty":
                     continue
                 open_ = _MARK.sub("", t.rstrip()) if r == "mark" else t
-                tails = tail_keys(open_) if v != "whole" or not _HARD_CLOSE.search(t.rstrip()) else []
+                tails = tail_keys(open_) if v != "whole" or not closes_for_good(t) else []
                 rows.append((0, tb, i, f, v, r, k, word_class(w) if not k.startswith("ref:") else w, 0, 0, th, tails, open_ if tails else None))
             rows += [(2, "", 0, "", "", "", "", "", 0, 0, th, None, t) for th, t in dup.items() if t is not None]
             if rows:
@@ -707,7 +745,7 @@ def planted_copies(values: DataFrame) -> DataFrame:
                 p = n // 5 + (th & 0x7FFFFFFF) % max(1, n - n // 5)
                 a = t[:p]
                 w = [m.span() for m in _WORD.finditer(a)]
-                if not a or a[-1].isspace() or not _goes_on(t[p:]) or _SENTENCE.search(a) or len(w) < SHINGLE:
+                if not a or a[-1].isspace() or not _goes_on(t[p:]) or closes_sentence(a) or len(w) < SHINGLE:
                     continue
                 if th & 1 and len(w) > 15 * SHINGLE:
                     x, y = w[(th >> 8) % (len(w) // 2)]
