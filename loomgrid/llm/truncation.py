@@ -87,7 +87,7 @@ _CODE_START = re.compile(
 )
 _WORD = re.compile(r"\w+")
 #: A finished setting: a name and one bare value or number.
-_SETTING = re.compile(r"^[-+\s]*(?:export |set |let |var |const )?[\w.-]+\s*[:=]\s*(?:[\w./+@%-]*\d[\w./+@%-]*)?$")
+_SETTING = re.compile(r"^[-+\s]*+(?:export |set |let |var |const )?[\w.-]++\s*+[:=]\s*+(?:(?=\D*\d)[\w./+@%-]++)?$")
 
 
 _OPAQUE = re.compile(r"""//[^\n]*|(?:(?<=\s)|^)\#[^\n]*|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'""", re.M)
