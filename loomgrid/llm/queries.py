@@ -137,7 +137,8 @@ def p9_found(spark, d):
 
 
 def p9_portions(spark, d):
-    return spans.shared_portion(_spans(spark, d), table(spark, d, "documents"))
+    docs = _wide(spark, d, "documents", "doc_id", "text")
+    return spans.shared_portion(spans.shared_extents(docs), docs)
 
 
 def p9_spans(spark, d):

@@ -34,6 +34,5 @@ cast(max(p) + 12 as int) as leaked_to from leaks group by 1, 2""",
 
 SQL["p9_portions"] = f"""with {_SPANS}, kp as (select doc_id, p, sha256(substr(text, cast(p as int) + 1, 400)) as k from g),
 many as (select k from k group by k having count(distinct doc_id) > 1), hit as (select distinct doc_id, p from kp where k in (select k from many)),
-iv as (select doc_id, least(400, coalesce(lead(p) over (partition by doc_id order by p) - p, 400)) as n from hit), cov as (select doc_id, sum(n) as shared_chars from iv group by 1),
-other as (select a.doc_id, count(distinct b.doc_id) as n_partners from k a join k b on a.k = b.k and a.doc_id <> b.doc_id group by 1)
-select doc_id, n_partners, cast(shared_chars as bigint) as shared_chars, cast(length(text) as bigint) as n_chars, shared_chars / length(text) as portion from cov join other using (doc_id) join documents using (doc_id)"""
+iv as (select doc_id, least(400, coalesce(lead(p) over (partition by doc_id order by p) - p, 400)) as n from hit), cov as (select doc_id, sum(n) as shared_chars from iv group by 1)
+select doc_id, cast(shared_chars as bigint) as shared_chars, cast(length(text) as bigint) as n_chars, shared_chars / length(text) as portion from cov join documents using (doc_id)"""

@@ -54,7 +54,7 @@ def test_every_stretch_lies_in_the_window_of_its_smallest_hash():
     rnd = np.random.default_rng(1)
     for _ in range(50):
         h = rnd.integers(0, 1 << 60, 80).astype(np.uint64)
-        win = {(lo, c, r) for lo, c, r in sp.compact_windows(h, 10)}
+        win = {(lo, c, r) for lo, c, r, _ in sp.compact_windows(h, 10)}
         for a in range(80):
             for b in range(a + 10, 81):
                 c = a + int(h[a:b].argmin())
@@ -73,14 +73,14 @@ def test_portions(spark):
     x, y = "".join(chr(97 + i % 26 + (i // 26) % 3) for i in range(120)), "q" * 10 + "".join(chr(65 + (i * i) % 57) for i in range(100))
     docs = [(1, x + y), (2, x), (3, y), (4, "alone" * 30)]
     df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in docs], SCHEMA)
-    got = {r.doc_id: r for r in sp.shared_portion(sp.shared_spans(df, min_chars=60, k=40), df).collect()}
-    assert set(got) == {1, 2, 3} and got[1].n_partners == 2 and got[2].n_partners == 1
+    got = {r.doc_id: r for r in sp.shared_portion(sp.shared_extents(df, min_chars=60, k=40), df).collect()}
+    assert set(got) == {1, 2, 3} 
     assert 0.9 < got[2].portion <= 1 and 0.9 < got[1].portion <= 1
 
 
 def test_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
-    assert sp.shared_spans(e).count() == 0 and sp.shared_portion(sp.shared_spans(e), e).count() == 0
+    assert sp.shared_spans(e).count() == 0 and sp.shared_portion(sp.shared_extents(e), e).count() == 0
 
 
 def test_long_copies_come_out_whole(spark):
@@ -105,3 +105,28 @@ def test_short_run_at_another_phase_meets_the_inside_of_a_long_run(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(q.doc_a, q.doc_b) for q in sp.span_pairs(sp.shared_spans(df)).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def _covered(rows):
+    out = {}
+    for d, s, e in rows:
+        out.setdefault(d, set()).update(range(s, e))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_extents_cover_what_the_pairs_cover(spark, monkeypatch, block):
+    """In cells and whole groups: headers shared by many, copies within one document, and stretches next to each other."""
+    monkeypatch.setattr(sp, "BLOCK", block)
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    head, other = word(90), word(70)
+    docs = [(i, word(rnd.randrange(40)) + head[: rnd.choice([60, 75, 90])] + word(30) + (other if i % 3 == 0 else "") + (head if i == 5 else "")) for i in range(14)] + [(50, word(100) * 3), (51, None), (52, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs = sp.shared_spans(df, min_chars=60, k=40).collect()
+    want = _covered([(r.doc_a, r.start_a, r.start_a + r.length) for r in pairs] + [(r.doc_b, r.start_b, r.start_b + r.length) for r in pairs])
+    got = _covered([(r.doc, r.s, r.e) for r in sp.shared_extents(df, min_chars=60, k=40).collect()])
+    assert got == want and len(want) >= 10
+    text = dict(docs)
+    brute = {(i, j) for i, a in docs for j, b in docs if i < j and a and b and any(a[x : x + 60] in b for x in range(len(a) - 59))}
+    assert {(r.doc_a, r.doc_b) for r in pairs} == brute and all(text[r.doc_a][r.start_a : r.start_a + r.length] == text[r.doc_b][r.start_b : r.start_b + r.length] for r in pairs)
