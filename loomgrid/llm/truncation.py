@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgrid.llm.spans import _codes, gram_hashes
@@ -56,6 +56,8 @@ CELL = 500
 CLOSES_SHARE, CLOSES_LEAST = 0.2, 3
 #: A word that only ever closes lines of a kind is a piece of a longer one that is seen there at least 1 / PIECE_SHARE times as often.
 PIECE_SHARE = 2 / 3
+#: Texts, about, that are cut at random to fit the odds of the kinds of ending; chosen by their hash. All texts count as they end.
+FIT_ROWS = 20_000
 #: Weight of what ``judge`` says about a kind of ending against what is counted, in texts.
 PRIOR = 50
 #: Log odds from which a kind of ending is cut, and from which one that ``judge`` leaves open is.
@@ -257,13 +259,14 @@ def closings(text: str, out: dict) -> None:
             add(kind, w, w == close)
 
 
-def learn(text: str, th: int, reason: str, out: dict) -> None:
-    """Count a text for the statistics: its closing words, its kind of ending, and that of the same text cut at a place chosen by its hash."""
+def learn(text: str, th: int, reason: str, share: float, out: dict) -> None:
+    """Count a text for the statistics: its closing words, its kind of ending, and for a share of the texts that of the same text cut at a place chosen by its hash."""
     closings(text, out)
+    out.setdefault(("~end", reason), [0, 0])[0] += 1
     n = len(text)
-    p = n // 5 + (th & 0x7FFFFFFF) % max(1, n - n // 5)
-    for kind, r in (("~end", reason), *((("~cut", judge(text[:p])[1]),) if n >= 20 else ())):
-        out.setdefault((kind, r), [0, 0])[0] += 1
+    if n >= 20 and (th >> 33 & 0x3FFFFFFF) < share * (1 << 30):
+        p = n // 5 + (th & 0x7FFFFFFF) % (n - n // 5)
+        out.setdefault(("~cut", judge(text[:p])[1]), [0, 0])[0] += 1
 
 
 def ending_odds(counts: dict[tuple[str, str], int], verdicts: dict[str, str]) -> dict[str, float]:
@@ -504,6 +507,7 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
     """(key, text up to the place) of each place where a text holds a key of the bitmap and goes on."""
     out: list[tuple[int, str]] = []
     texts = [t.rstrip() for t in texts]
+    class_of = _classes(np.arange(max(map(len, texts), default=0) + 1))
     longest = math.inf
     for k, least in TAILS:
         # Values of this level are shorter than those of the one before, and so end early in their source.
@@ -524,7 +528,7 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
         nxt = codes[np.minimum(end, len(codes) - 1)]
         ok &= (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
         row, end = row[ok], end[ok]
-        keys = _keyed(h[ok], k, _classes(end - start[row]))
+        keys = _keyed(h[ok], k, class_of[end - start[row]])
         for i in _probe(bitmap, keys).tolist():
             out.append((int(keys[i : i + 1].view(np.int64)[0]), texts[row[i]][: int(end[i] - start[row[i]])]))
     return out
@@ -642,8 +646,11 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
     cols = values.select(*keys, "text")
 
     # Lines of equal texts count once: texts that may be stored again are carried on and made distinct.
-    again = cols.select(F.xxhash64("text").alias("key")).groupBy("key").count().where("count > 1").select("key")
-    repeated = spark.sparkContext.broadcast(_bitmap(again, again.count()))
+    seen_ = Observation()
+    again = cols.select(F.xxhash64("text").alias("key")).groupBy("key").count().observe(seen_, F.sum("count").alias("n"))
+    again, n_again = ws.write_measured(again.where("count > 1").select("key"), "again", F.count(F.lit(1)))
+    share = FIT_ROWS / max(1, seen_.get["n"] or 0)
+    repeated = spark.sparkContext.broadcast(_bitmap(again, n_again))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats: dict = {}
@@ -655,7 +662,7 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
             for tb, i, f, t, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v, r, k, w = judge(t)
                 if th not in dup:
-                    learn(t, th, r, stats)
+                    learn(t, th, r, share, stats)
                 elif dup[th] is None:
                     dup[th] = t
                 if v == "whole" and r == "empty":
@@ -689,7 +696,7 @@ def cut_values(values: DataFrame, ws: Workspace | None = None) -> DataFrame:
         stats: dict = {}
         for b in batches:
             for th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                learn(t, th, judge(t)[1], stats)
+                learn(t, th, judge(t)[1], share, stats)
             if len(stats) > 200_000:
                 yield lines_of(stats)
         if stats:
