@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgrid.functions.text import code_tokens_udf, dot, embed_udf
+from loomgrid.functions.text import code_tokens, code_tokens_udf, dot, embed, embed_udf
 from loomgrid.operators import search as s
+from loomgrid.operators import vectors as v
+from loomgrid.operators.symbol_index import SymbolIndex
 from loomgrid.plans import bindings as b
 from loomgrid.sources.tables import spread, table
+from loomgrid.workspace import kept_folder, mark_complete
 
 P = b.PROJECT
 DOC_QUERY = "queue consumer retryPolicy"
@@ -45,21 +48,62 @@ def knn_label_members(spark, d):
     return s.knn(v, QUERY, 10, members=v.where("label < 3").select("id")).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+def _asked(spark, d):
+    """Every vector whose id is divisible by 50, as a query against all."""
+    return _vectors(spark, d).where("id % 50 = 0")
+
+
+def knn_many(spark, d):
+    """The ten nearest of each query vector, exactly."""
+    return v.nearest_of_many(_vectors(spark, d), _asked(spark, d), 10).select("query", "id", F.round("similarity", 4).alias("similarity"))
+
+
+def _index(spark, d):
+    folder, done = kept_folder(spark, "vectors", f"{d}/embeddings.parquet")
+    if done:
+        return v.VectorIndex.open(spark, folder)
+    ix = v.VectorIndex.build(_vectors(spark, d), folder, len(QUERY))
+    mark_complete(spark, folder)
+    return ix
+
+
+def knn_indexed(spark, d):
+    """The ten nearest in the stored index."""
+    return _index(spark, d).search(QUERY, 10).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+def knn_recall(spark, d):
+    """How many of the ten nearest of each query vector the stored index finds."""
+    return v.recall(_index(spark, d).search_many(_asked(spark, d), 10), v.nearest_of_many(_vectors(spark, d), _asked(spark, d), 10))
+
+
 def rrf_fusion(spark, d):
-    v = _vectors(spark, d)
-    a = s.ranked(s.knn(v, QUERY, 40), "similarity")
-    c = s.ranked(s.knn(v, [-x for x in QUERY[::-1]], 40), "similarity")
+    v_ = _vectors(spark, d)
+    a = s.ranked(s.knn(v_, QUERY, 40), "similarity")
+    c = s.ranked(s.knn(v_, [-x for x in QUERY[::-1]], 40), "similarity")
     return s.fuse({"one": a, "two": c}, 20).select("id", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"))
 
 
-def hybrid_search(spark, d):
-    from loomgrid.functions.text import code_tokens, embed
+def _symbol_index(spark, d):
+    folder, done = kept_folder(spark, "symbols", f"{d}/symbols.parquet")
+    if done:
+        return SymbolIndex(spark, folder)
+    ix = SymbolIndex.build(spread(b.symbols(spark, d)), folder)
+    mark_complete(spark, folder)
+    return ix
 
-    every = spread(b.symbols(spark, d))
-    sym = every.where(F.col("project_id") == P)
-    vec = sym.select("id", embed_udf(F.concat_ws(" ", "name", "signature")).alias("vec"))
+
+def hybrid_search(spark, d):
+    """Over the stored index, which is built by the first search and kept as long as the symbols stay the same."""
     q = embed(code_tokens(CODE_QUERY)).tolist()
-    return s.hybrid(every, b.edges(spark, d), vec, "fn src", q, P, 20).select("id", "name", "kind", "file", "line", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"))
+    h = _symbol_index(spark, d).hybrid(b.edges(spark, d), "fn src", q, P, 20)
+    return h.select("id", "name", "kind", "file", "line", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"))
+
+
+def symbol_search_indexed(spark, d):
+    """As ``symbol_search``, from the stored postings."""
+    hit = _symbol_index(spark, d).search("pub fn src", P)
+    return spark.createDataFrame([(i, n, x) for i, n, x in hit], "id long, name string, score double").select("id", "name", F.round("score", 6).alias("score"))
 
 
 def code_token_counts(spark, d):
@@ -72,7 +116,7 @@ def embedding_norms(spark, d):
     return v.select("id", F.size("vec").alias("dims"), F.round(F.sqrt(dot(F.col("vec"), F.col("vec"))), 4).alias("norm"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_documents, symbol_search, fts_like_fallback, filter_search, knn_top10, knn_label_members, rrf_fusion, hybrid_search, code_token_counts, embedding_norms)}
+QUERIES = {f.__name__: f for f in (bm25_documents, symbol_search, fts_like_fallback, filter_search, knn_top10, knn_label_members, knn_many, knn_indexed, knn_recall, rrf_fusion, hybrid_search, symbol_search_indexed, code_token_counts, embedding_norms)}
 
 _TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
@@ -100,3 +144,7 @@ SQL = {
 u as (select id, r, 'one' as s from a where r <= 40 union all select id, r, 'two' from c where r <= 40)
 select id, round(sum(1.0 / (60 + r)), 9) as score, string_agg(s, ',' order by s) as signals from u group by id order by sum(1.0 / (60 + r)) desc, id limit 20""",
 }
+SQL["symbol_search_indexed"] = SQL["symbol_search"]
+SQL["knn_many"] = """with q as (select vec_id as query, embedding::double[] as a from embeddings where vec_id % 50 = 0),
+s as (select query, vec_id as id, least(1.0, greatest(0.0, list_cosine_similarity(a, embedding::double[]))) as similarity from q, embeddings),
+r as (select *, row_number() over (partition by query order by similarity desc, id) as k from s) select query, id, round(similarity, 4) as similarity from r where k <= 10"""

@@ -36,6 +36,7 @@ def build_session(app: str = "loomgrid", cores: int | str | None = None, shuffle
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

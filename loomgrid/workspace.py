@@ -37,6 +37,34 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def kept_folder(spark: SparkSession, label: str, *inputs: str) -> tuple[str, bool]:
+    """A folder for what is derived once from the files of ``inputs``, and whether it is complete.
+
+    The folder is named after the paths, sizes and times of all input files, so what
+    was derived from other contents is never taken for it.  Whoever fills it marks it
+    by ``mark_complete``; until then it counts as missing.
+    """
+    import hashlib
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for name in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        it = p.getFileSystem(conf).listFiles(p, True)
+        while it.hasNext():
+            f = it.next()
+            seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    key = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+    folder = f"{_checkpoint_root(spark)}/kept-{label}-{key}"
+    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/complete")
+    return folder, p.getFileSystem(conf).exists(p)
+
+
+def mark_complete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/complete")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 class Workspace:
     """Tables written by one operator call, dropped one by one as they are superseded."""
 
