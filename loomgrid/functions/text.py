@@ -30,6 +30,12 @@ def camel_words(s: str) -> list[str]:
     return [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True) if a < b] or [s]
 
 
+def camel_parts(c: Column | str) -> Column:
+    """``camel_words`` of a column; null stays null, an empty name has no words."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.filter(F.split(c, r"(?<=[\p{L}&&[^A-Z]])(?=[A-Z])|(?<=.)(?=[A-Z][\p{L}&&[^A-Z]])"), lambda x: x != "")
+
+
 def fts_query(text: str) -> str:
     """The full-text expression of a search box: each token quoted, with its camel-case words as alternatives."""
     parts = []

@@ -83,6 +83,32 @@ def context_lines(issues: DataFrame, diff_lines: DataFrame) -> DataFrame:
     return j.where(F.col("line").isNull() | F.col("_added").isNull() | F.col("_added") | at_least("severity", "major")).select(*issues.columns)
 
 
+def review_pipeline(issues: DataFrame, files: DataFrame, diff_lines: DataFrame, fenced: DataFrame | None = None, ignore: list[str] | None = None, llm_failed: bool = False) -> DataFrame:
+    """The findings of a review after all filters, from those of all sources.
+
+    Sources are merged by priority, then go findings on unknown files, about
+    credentials that are none, in fences, by ignore rules, and on unchanged lines.
+    Where the model failed, only rule-based findings are merged, and the filters that
+    guard against its inventions (files, credentials, unchanged lines) are left out.
+    """
+    from loomgrid.operators.diff import added_lines
+
+    d = merge_by_priority(issues.where(F.col("source") != SOURCES[0]) if llm_failed else issues)
+    if not llm_failed:
+        d = secret_false_positives(known_files(d, files), added_lines(diff_lines))
+    if fenced is not None:
+        d = outside_fences(d, fenced)
+    d = ignore_rules(d, ignore or [])
+    return d if llm_failed else context_lines(d, diff_lines)
+
+
+def token_usage(reviews: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., reviews, input_tokens, output_tokens, cost_usd) of all reviews; a review stored twice counts once, missing numbers as 0."""
+    one = reviews.groupBy("id").agg(F.max(F.struct(*by, "input_tokens", "output_tokens", "cost_usd")).alias("_r")).select("_r.*")
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
+    return one.groupBy(*by).agg(F.count("*").alias("reviews"), total("input_tokens"), total("output_tokens"), total("cost_usd"))
+
+
 def severity_threshold(issues: DataFrame, least: str) -> DataFrame:
     return issues.where(at_least("severity", least))
 

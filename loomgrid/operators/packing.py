@@ -85,21 +85,25 @@ def pack(files: DataFrame, job: str, strategy: str = "flat", by: str | None = No
 
 def merge_small(packed: DataFrame, job: str, least: int, max_chars: int = MAX_CHARS, max_files: int = MAX_FILES) -> DataFrame:
     """Join neighbouring bundles that both have fewer than ``least`` files, while the limits hold."""
-    g = packed.groupBy(job, "bundle").agg(F.count("*").alias("n"), F.sum("cost").alias("c"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("bundle")
-        to, cur, n, c = [], -1, 0, 0
-        for m, k in zip(p["n"], p["c"], strict=True):
-            if cur >= 0 and n < least and m < least and n + m <= max_files and c + k <= max_chars:
-                n, c = n + m, c + k
-            else:
-                cur, n, c = cur + 1, m, k
-            to.append(cur)
-        return pd.DataFrame({job: p[job], "bundle": p["bundle"], "merged": to})
-
     kind = dict(packed.dtypes)[job]
-    m = g.groupBy(job).applyInPandas(run, f"{job} {kind}, bundle int, merged int")
+    g = packed.groupBy(job, "bundle").agg(F.count("*").alias("n"), F.sum("cost").alias("c")).repartition(job).sortWithinPartitions(job, "bundle")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # As in ``pack``: bundles stream by in order, and only the open one is held.
+        now, cur, n, c = object(), -1, 0, 0
+        for p in batches:
+            to = []
+            for j, m, k in zip(p[job], p["n"], p["c"], strict=True):
+                if j != now:
+                    now, cur, n, c = j, -1, 0, 0
+                if cur >= 0 and n < least and m < least and n + m <= max_files and c + k <= max_chars:
+                    n, c = n + m, c + k
+                else:
+                    cur, n, c = cur + 1, m, k
+                to.append(cur)
+            yield pd.DataFrame({job: p[job], "bundle": p["bundle"], "merged": to})
+
+    m = g.select(job, "bundle", "n", "c").mapInPandas(run, f"{job} {kind}, bundle int, merged int")
     return packed.join(m, [job, "bundle"]).select(job, "path", F.col("merged").alias("bundle"), "cost")
 
 

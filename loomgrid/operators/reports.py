@@ -54,6 +54,19 @@ def issues_json(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(*issues.columns)).alias("json"))
 
 
+def pretty(issues: DataFrame, by: str = "review_id") -> DataFrame:
+    """(by, file, text): the findings of a file as a block, worst first, then by line; a finding without a line comes first of its severity."""
+    line = F.format_string("  %s %s  %s", F.upper("severity"), F.coalesce(F.concat(F.lit("L"), F.col("line").cast("string")), F.lit("-")), F.col("title"))
+    d = issues.select(by, "file", F.struct(rank("severity").alias("r"), F.coalesce("line", F.lit(0)).alias("l"), "id", line.alias("t")).alias("_f"))
+    g = d.groupBy(by, "file").agg(F.array_sort(F.collect_list("_f")).alias("_f"), F.count("*").alias("_n"))
+    return g.select(by, "file", F.concat(F.col("file"), F.lit(" ("), F.col("_n").cast("string"), F.lit(")\n"), F.array_join(F.transform("_f", lambda x: x["t"]), "\n")).alias("text"))
+
+
+def marked(document: DataFrame, tool: str = "loomgrid") -> DataFrame:
+    """JSON lines with the name of the tool and whether the line holds findings."""
+    return document.withColumn("json", F.concat(F.lit(f'{{"generated_by":"{tool}",'), F.expr("substring(json, 2)")))
+
+
 def trend_graph(points: list[tuple[str, float]], height: int = 8) -> str:
     """A text graph of at most 40 points of a score from 0 to 10."""
     rows = []

@@ -86,3 +86,16 @@ def cached(cache: DataFrame, key: str, now, ttl_minutes: int = 1440) -> DataFram
 def cache_key(*parts) -> F.col:
     """sha256 of the parts, in order, nulls as empty."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def put_cached(cache: DataFrame, new: DataFrame, now, ttl_minutes: int = 1440) -> DataFrame:
+    """The cache after answers (key, answer, created_at) came in: the latest of each key, without what has expired."""
+    alive = F.col("created_at") >= now - F.expr(f"interval {ttl_minutes} minutes")
+    u = cache.select("key", "answer", "created_at").unionByName(new.select("key", "answer", "created_at")).where(alive & F.col("key").isNotNull())
+    return u.groupBy("key").agg(F.max(F.struct("created_at", "answer")).alias("_l")).select("key", "_l.answer", "_l.created_at")
+
+
+def unscanned(files: DataFrame, cache: DataFrame, now, ttl_minutes: int = 1440) -> DataFrame:
+    """Files (path, content) that an incremental scan has still to read: no living answer is stored under their content."""
+    alive = cache.where(F.col("created_at") >= now - F.expr(f"interval {ttl_minutes} minutes")).select("key").distinct()
+    return files.withColumn("key", cache_key(F.col("path"), F.col("content"))).join(alive, "key", "left_anti")

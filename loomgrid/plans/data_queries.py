@@ -267,3 +267,39 @@ SQL["diff_definitions"] = f"""with {b.LINES}, named as ({_NAMED}), first_ as (se
 k as (select file, name, line, case when kind in ('function', 'method') then 'function' else 'type' end as kind from first_ where r = 1 and (kind in ('function', 'method') or kind in {_TYPES})
  and name not in ({', '.join(repr(x) for x in extract._NO_DEFINITION)}))
 select file, name, arg_min(kind, struct_pack(l := line, k := kind)) as kind from k group by 1, 2"""
+
+_DIR = r"case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') when contains(path, '\') then regexp_replace(path, '\\[^\\]*$', '') else '.' end"
+_FAM = f"case when contains(path, '.') then {_map(paths.FAMILIES, 'other')} else 'other' end"
+_FAM_RANK = "case fam " + " ".join(f"when '{f}' then {i}" for i, f in enumerate(paths.FAMILY_ORDER)) + " end"
+
+
+def _pack_sql(order: str, kind: str = "null", part: str = "''") -> str:
+    """The fold over a job's files as a recursive query: one file a step."""
+    full = "(w.n >= 20 or w.total + f.cost > 60000 or f.part <> w.part or coalesce(w.n >= 2 and f.kind <> w.kind and w.total + f.cost > 45000, false))"
+    return f"""files_ as (select project_id, path, cast(coalesce(cast(split_part(r.b, ':', 2) as bigint), 0) + octet_length(encode(path)) + 20 as bigint) as cost, {_DIR} as dir, {_FAM} as fam from last_),
+seq as (select *, {kind} as kind, {part} as part, row_number() over (partition by project_id order by {order}) as r from files_),
+walk as (select project_id, path, cost, kind, part, r, 0 as bundle, cost as total, 1 as n from seq where r = 1
+  union all select f.project_id, f.path, f.cost, f.kind, f.part, f.r, w.bundle + case when {full} then 1 else 0 end, case when {full} then f.cost else w.total + f.cost end, case when {full} then 1 else w.n + 1 end
+  from walk w join seq f on f.project_id = w.project_id and f.r = w.r + 1),
+packed as (select project_id, path, cast(bundle as int) as bundle, cost from walk)"""
+
+
+SQL["pack_flat"] = f"with recursive {_LAST}, {_pack_sql('path')} select * from packed"
+SQL["pack_smart"] = f"with recursive {_LAST}, {_pack_sql(f'dir, {_FAM_RANK}, path', 'dir || chr(1) || fam')} select * from packed"
+SQL["pack_by_language"] = f"with recursive {_LAST}, {_pack_sql('fam, path', part='fam')} select * from packed"
+SQL["pack_stats"] = f"""with recursive {_LAST}, {_pack_sql('path')}, bn as (select project_id, bundle, count(*) as n, sum(cost) as c from packed group by 1, 2)
+select project_id, count(*) as bundles, cast(sum(n) as bigint) as files, cast(sum(c) as bigint) as chars, avg(n) as avg_files, avg(c) as avg_chars, count(*) filter (where n = 1) as single_file_bundles from bn group by 1"""
+SQL["pack_merged"] = f"""with recursive {_LAST}, {_pack_sql('dir, path', part='dir')}, bn as (select project_id, bundle, count(*) as n, cast(sum(cost) as bigint) as c from packed group by 1, 2),
+mg as (select project_id, bundle, 0 as merged, n, c from bn where bundle = 0
+  union all select b.project_id, b.bundle, m.merged + case when {{ok}} then 0 else 1 end, case when {{ok}} then m.n + b.n else b.n end, case when {{ok}} then m.c + b.c else b.c end
+  from mg m join bn b on b.project_id = m.project_id and b.bundle = m.bundle + 1)
+select p.project_id, path, cast(merged as int) as bundle, cost from packed p join mg on mg.project_id = p.project_id and mg.bundle = p.bundle""".replace("{ok}", "m.n < 3 and b.n < 3 and m.n + b.n <= 20 and m.c + b.c <= 60000")
+SQL["diff_chunks"] = rf"""with recursive {b.FIXES}, blocks as (select i.review_id as diff_id, i.id, f.file, split_part(f.file, '/', 1) as top,
+  octet_length(encode('--- a/' || f.file || chr(10) || '+++ b/' || f.file || chr(10) || '@@ -' || start || ',' || len(list_filter(parts, lambda x: x[1] = '-')) || ' +' || start || ',' || len(list_filter(parts, lambda x: x[1] = '+')) || ' @@' || chr(10) || array_to_string(parts, chr(10)))) as size
+  from fixes f join review_issues i on i.id = f.diff_id),
+seq as (select *, row_number() over (partition by diff_id order by id) as r from blocks),
+walk as (select diff_id, top, r, size as total, 0 as chunk from seq where r = 1
+  union all select s.diff_id, s.top, s.r, case when w.total + s.size > 400 then s.size else w.total + s.size end, w.chunk + case when w.total + s.size > 400 then 1 else 0 end from walk w join seq s on s.diff_id = w.diff_id and s.r = w.r + 1),
+g as (select diff_id, chunk, count(*) as n_files, list_sort(list(distinct top)) as tops from walk group by 1, 2)
+select diff_id, cast(chunk as int) as index, cast(max(chunk) over (partition by diff_id) + 1 as int) as total,
+  case when len(tops) = 1 then tops[1] || '/*' when len(tops) <= 3 then array_to_string(tops, ', ') else len(tops) || ' dirs' end as label, cast(n_files as int) as n_files from g"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import data_queries, finding_queries, graph_queries, integrity, search_queries
+from loomgrid.plans import data_queries, finding_queries, graph_queries, integrity, pipeline_queries, search_queries
 
-MODULES = (integrity, graph_queries, search_queries, finding_queries, data_queries)
+MODULES = (integrity, graph_queries, search_queries, finding_queries, data_queries, pipeline_queries)
 
 
 def queries() -> dict:

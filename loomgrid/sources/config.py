@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 from copy import deepcopy
 from dataclasses import dataclass, field
 
 from loomgrid.operators.findings import Gate
+from loomgrid.sources import yaml
 
 ACTIONS = ("block", "warn", "ignore")
 BACKENDS = ("auto", "hashing", "pretrained")
@@ -23,6 +26,41 @@ def merge(*layers: dict) -> dict:
     return out
 
 
+def load_config(*sources: str | dict | None) -> dict:
+    """Settings from files and dictionaries, later ones winning: global file, project file, command line.
+
+    A missing file is an empty layer; one that is no mapping is an error.  The gate is
+    validated, and so is the embedding backend.
+    """
+    layers = []
+    for x in sources:
+        if isinstance(x, str):
+            if not os.path.exists(x):
+                continue
+            with open(x, encoding="utf-8") as f:
+                text = f.read()
+            x = json.loads(text) if x.endswith(".json") else yaml.load(text)
+            if x is not None and not isinstance(x, dict):
+                raise ValueError("a configuration is a mapping")
+        layers.append(x or {})
+    out = merge(*layers)
+    if isinstance(out.get("gate"), dict):
+        gate(out["gate"])
+    if "embedding" in out:
+        backend((out["embedding"] or {}).get("backend"), True)
+    return out
+
+
+def load_profiles(text: str) -> dict[str, Profile]:
+    """Profiles of a document: name -> extends, and areas by id with weight and text."""
+    out = {}
+    for name, p in (yaml.load(text) or {}).items():
+        p = p or {}
+        areas = {k: (int((a or {}).get("weight", 5)), str((a or {}).get("text", ""))) for k, a in (p.get("areas") or {}).items()}
+        out[name] = Profile(name, p.get("extends"), areas)
+    return out
+
+
 def gate(config: dict) -> Gate:
     """The quality gate of a configuration; unknown keys and actions are errors, categories are compared in lower case."""
     known = {"enabled", "max_critical", "max_major", "max_minor", "max_security", "categories"}

@@ -9,7 +9,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.paths import language
+from loomgrid.functions.paths import ignored, language
 
 # Files a scan takes by ending, its size bound in bytes, marks of a project root, folders a watch skips.
 SCAN_ENDINGS = "rs py pyi ts tsx js jsx mjs cjs go java kt kts c cpp cc cxx h hpp hxx rb php swift scala r sql sh bash zsh toml yaml yml json html css scss dart svelte lua".split()
@@ -73,6 +73,30 @@ def walk_scan(spark: SparkSession, root: str, include: list[str] | None = None,
     return t.withColumn("lines", F.size(F.split(F.regexp_replace("content", r"\n$", ""), "\n")))
 
 
+# Endings of files in which callers are looked for, and how many files at most.
+CALLER_ENDINGS, CALLER_FILES = "rs py ts tsx js jsx go java kt dart c cpp svelte".split(), 400
+
+
+def walk_callers(spark: SparkSession, root: str, names: list[str], ignore: list[str] | None = None, most: int | None = CALLER_FILES) -> DataFrame:
+    """(path, line, name, content): lines of a tree that call one of the names, for when there is no index to ask.
+
+    A call is the name before an opening bracket, with no letter before it and no word
+    that defines it.  The first ``most`` files by path are read; None reads all.
+    """
+    d = _tree(spark, root).where((F.col("length") <= MAX_BYTES) & ~F.col("path").rlike(r"(?:^|/)\.[^/]"))
+    d = d.where(F.lower(F.substring_index("path", ".", -1)).isin(CALLER_ENDINGS))
+    if ignore:
+        d = d.where(~ignored("path", ignore))
+    if most is not None:
+        d = d.orderBy("path").limit(most)
+    names = sorted({n for n in names if n})
+    word = "|".join(re.escape(n) for n in names) or "(?!)"
+    lines = d.select("path", F.posexplode(F.split(F.expr("try_validate_utf8(cast(content as string))"), "\n")).alias("_p", "content"))
+    called = F.regexp_extract("content", rf"(?<![\w$])({word})\s*\(", 1)
+    defines = F.col("content").rlike(rf"\b(?:fn|func|function|def|class)\s+(?:\([^)]*\)\s*)?(?:{word})\s*\(")
+    return lines.select("path", (F.col("_p") + 1).alias("line"), called.alias("name"), "content").where((F.col("name") != "") & ~defines)
+
+
 def project_root(start: str) -> str | None:
     """The nearest folder upward that holds a mark of a project root."""
     p = os.path.abspath(start)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrid.operators.references import KEYS, fold_deltas
+from loomgrid.sources.files import WATCH_SKIPS
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -15,6 +16,18 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return d.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
+def watched(stream: DataFrame, tracked: DataFrame | None = None, pause: str = "2 seconds", late: str = "1 minute") -> DataFrame:
+    """(path, start, changes): bursts of changes of a file, each as one event once no change followed for the pause.
+
+    Folders that tools fill are left out; with ``tracked`` (path) only those files count.
+    """
+    d = stream.where(~F.col("path").rlike("(?:^|/)(?:" + "|".join(WATCH_SKIPS) + ")/"))
+    if tracked is not None:
+        d = d.join(tracked.select("path").distinct(), "path", "left_semi")
+    w = d.withWatermark("modified", late).groupBy("path", F.session_window("modified", pause).alias("_w"))
+    return w.agg(F.count("*").alias("changes")).select("path", F.col("_w.start").alias("start"), "changes")
+
+
 #: Buckets of a table kept by a stream, by the hash of its key; one bucket should fit a task.
 BUCKETS = 64
 
