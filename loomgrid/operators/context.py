@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -54,19 +55,27 @@ def callers(definitions: DataFrame, calls: DataFrame, per_name: int = 20) -> Dat
 def drop_overlaps(entries: DataFrame, review: str = "ref_file") -> DataFrame:
     """Keep an entry unless its lines overlap an earlier kept one of the same review and file.
 
-    Within sorted lines an entry overlaps an earlier kept one exactly when it
-    starts at or before the furthest kept end, so the fold runs per review and file.
+    In order of lines, then of all other columns, an entry overlaps an earlier kept
+    one exactly when it starts at or before the furthest kept end; entries stream by
+    in that order, and only the end is held.  An entry without a first line is kept.
     """
+    key = [review, "file"]
+    rest = [c for c in entries.columns if c not in (*key, "line_from", "line_to")]
+    d = entries.repartition(*key).sortWithinPartitions(*key, "line_from", "line_to", *rest)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["line_from", "line_to"], kind="stable")
-        end, keep = -1, []
-        for a, b in zip(g["line_from"], g["line_to"], strict=True):
-            keep.append(a > end)
-            end = b if a > end else end
-        return g[keep]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, end = object(), -1
+        for g in batches:
+            keep = []
+            for r, f, a, b in zip(g[review], g["file"], g["line_from"], g["line_to"], strict=True):
+                if (r, f) != now:
+                    now, end = (r, f), -1
+                fresh = not a <= end
+                keep.append(fresh)
+                end = b if fresh and a == a and a is not None else end
+            yield g[keep]
 
-    return entries.groupBy(review, "file").applyInPandas(run, entries.schema)
+    return d.mapInPandas(run, entries.schema)
 
 
 def signature_only(content: str) -> str:
@@ -85,25 +94,35 @@ def assemble(entries: DataFrame, budget: int = BUDGET, review: str = "review") -
     By priority, then in order: an entry is taken whole, or by its signature, or
     skipped; smaller ones after it may still fit, so no running sum says it.
     """
-    schema = f"{review} {dict(entries.dtypes)[review]}, seq int, kind string, taken string, used int, budget_hit boolean"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_p=g["kind"].map(PRIORITY).fillna(9)).sort_values(["_p", "seq"], kind="stable")
-        used, hit, rows = 0, False, []
-        for r, s, k, p, c in zip(g[review], g["seq"], g["kind"], g["_p"], g["content"], strict=True):
-            lines = (c or "").split("\n")
-            cap = LINE_CAPS[int(p)] if p < 4 else 4
-            text = "\n".join(lines[:cap]) + ("\n..." if len(lines) > cap else "")
-            for t in (text, signature_only(c or "")):
-                if (n := tokens(t)) and used + n <= budget:
-                    used += n
-                    rows.append([r, s, k, t, n])
-                    break
-            else:
-                hit = hit or bool(c)
-        return pd.DataFrame([[*x, hit] for x in rows], columns=[review, "seq", "kind", "taken", "used", "budget_hit"])
-
-    return entries.groupBy(review).applyInPandas(run, schema)
+    kind_of = dict(entries.dtypes)[review]
+    schema = f"{review} {kind_of}, seq int, kind string, taken string, used int, budget_hit boolean"
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("kind")), F.lit(9))
+    d = entries.select(review, "seq", "kind", "content", rank.alias("_p")).repartition(review).sortWithinPartitions(review, "_p", "seq", "kind", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A review's taken entries wait for its end, which tells whether the budget was hit; they fit the budget.
+        now, used, hit, rows = object(), 0, False, []
+        columns = [review, "seq", "kind", "taken", "used", "budget_hit"]
+        for g in batches:
+            out = []
+            for r, s, k, p, c in zip(g[review], g["seq"], g["kind"], g["_p"], g["content"], strict=True):
+                if r != now:
+                    out += [[*x, hit] for x in rows]
+                    now, used, hit, rows = r, 0, False, []
+                lines = (c or "").split("\n")
+                cap = LINE_CAPS[int(p)] if p < 4 else 4
+                text = "\n".join(lines[:cap]) + ("\n..." if len(lines) > cap else "")
+                for t in (text, signature_only(c or "")):
+                    if (n := tokens(t)) and used + n <= budget:
+                        used += n
+                        rows.append([r, s, k, t, n])
+                        break
+                else:
+                    hit = hit or bool(c)
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([[*x, hit] for x in rows], columns=columns)
+
+    return d.mapInPandas(run, schema)
 
 
 def impact_summary(impact: DataFrame, top: int = 5) -> DataFrame:

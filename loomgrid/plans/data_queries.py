@@ -303,3 +303,20 @@ walk as (select diff_id, top, r, size as total, 0 as chunk from seq where r = 1
 g as (select diff_id, chunk, count(*) as n_files, list_sort(list(distinct top)) as tops from walk group by 1, 2)
 select diff_id, cast(chunk as int) as index, cast(max(chunk) over (partition by diff_id) + 1 as int) as total,
   case when len(tops) = 1 then tops[1] || '/*' when len(tops) <= 3 then array_to_string(tops, ', ') else len(tops) || ' dirs' end as label, cast(n_files as int) as n_files from g"""
+
+SQL["context_entries"] = f"""with recursive {SQL['context_resolved'].removeprefix('with ').replace('select ref_file, name, file, line as line_from, line + 50 as line_to from k where n <= 5', '')},
+res as (select distinct ref_file, name, file, line as line_from, line + 50 as line_to from k where n <= 5),
+seq as (select *, row_number() over (partition by ref_file, file order by line_from, line_to, name) as q from res),
+walk as (select *, true as kept, line_to as upto from seq where q = 1
+  union all select s.*, s.line_from > w.upto, case when s.line_from > w.upto then s.line_to else w.upto end from walk w join seq s on s.ref_file = w.ref_file and s.file = w.file and s.q = w.q + 1)
+select ref_file, name, file, line_from, line_to from walk where kept""".replace("),\n,", "),\n").replace(")\n,", "),\n")
+SQL["context_budget"] = r"""with recursive e as (select review_id as review, cast(id as int) as seq, id % 2 = 0 as fn, suggested_fix as c, string_split(suggested_fix, chr(10)) as ls from review_issues where suggested_fix is not null),
+m as (select *, case when fn then 50 else 4 end as cap, list_position(list_transform(ls[1:4], lambda x: contains(x, '{')), true) as brace from e),
+t as (select *, array_to_string(ls[1:cap], chr(10)) || case when len(ls) > cap then chr(10) || '...' else '' end as whole, array_to_string(ls[1:coalesce(nullif(brace, 0), 4)], chr(10)) as sig from m),
+n as (select *, case when octet_length(encode(whole)) = 0 then 0 else greatest(1, octet_length(encode(whole)) // 4) end as n1, case when octet_length(encode(sig)) = 0 then 0 else greatest(1, octet_length(encode(sig)) // 4) end as n2,
+  row_number() over (partition by review order by case when fn then 0 else 3 end, seq) as q from t),
+p as (select review, q, c <> '' as filled, n1, n2 from n),
+walk as (select review, q, case when n1 between 1 and 200 then n1 when n2 between 1 and 200 then n2 else 0 end as take, case when n1 between 1 and 200 then n1 when n2 between 1 and 200 then n2 else 0 end as used, filled and not (n1 between 1 and 200 or n2 between 1 and 200) as hit from p where q = 1
+  union all select p.review, p.q, case when n1 > 0 and used + n1 <= 200 then n1 when n2 > 0 and used + n2 <= 200 then n2 else 0 end, used + case when n1 > 0 and used + n1 <= 200 then n1 when n2 > 0 and used + n2 <= 200 then n2 else 0 end,
+  hit or filled and not (n1 > 0 and used + n1 <= 200 or n2 > 0 and used + n2 <= 200) from walk w join p on p.review = w.review and p.q = w.q + 1)
+select review, count(*) filter (where take > 0) as n, cast(sum(take) as bigint) as used, bool_or(hit) as budget_hit from walk group by 1 having sum(take) > 0"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgrid.functions.text import code_tokens, code_tokens_udf, dot, embed, embed_udf
+from loomgrid.functions.text import STOP_PUNCTUATION, code_tokens, code_tokens_udf, dot, embed, embed_udf
 from loomgrid.operators import search as s
 from loomgrid.operators import vectors as v
 from loomgrid.operators.symbol_index import SymbolIndex
@@ -149,3 +149,11 @@ SQL["knn_many"] = """with q as (select vec_id as query, embedding::double[] as a
 s as (select query, vec_id as id, least(1.0, greatest(0.0, list_cosine_similarity(a, embedding::double[]))) as similarity from q, embeddings),
 r as (select *, row_number() over (partition by query order by similarity desc, id) as k from s) select query, id, round(similarity, 4) as similarity from r where k <= 10"""
 SQL["embedding_norms"] = "select id, cast(256 as int) as dims, cast(1.0 as double) as norm from symbols"
+
+_STOPS = ", ".join("'" + c.replace("'", "''") + "'" for c in sorted(STOP_PUNCTUATION))
+SQL["code_token_counts"] = rf"""with t as (select id, unnest(regexp_extract_all(suggested_fix, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]*)?|[^A-Za-z0-9\s]+')) as tok from review_issues where suggested_fix is not null),
+u as (select id, unnest(string_split_regex(regexp_replace(regexp_replace(tok, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[ _]')) as p from t where regexp_matches(tok, '^[A-Za-z_]')),
+every as (select id, lower(p) as token from u where length(p) > 1
+  union all select id, case when contains(tok, '.') then '<FLOAT>' when length(tok) > 4 then '<NUM>' else tok end from t where regexp_matches(tok, '^[0-9]')
+  union all select id, tok from t where not regexp_matches(tok, '^[A-Za-z0-9_]') and tok not in ({_STOPS}))
+select token, count(*) as n, count(distinct id) as n_texts from every group by 1"""
