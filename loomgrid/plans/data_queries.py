@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions import paths
-from loomgrid.operators import context, diff, extract, packing, replies, store
+from loomgrid.operators import context, diff, extract, packing, replies, store, structure
 from loomgrid.plans import bindings as b
 from loomgrid.sources.tables import table
 from loomgrid.streaming import incremental as inc
@@ -138,6 +138,16 @@ def extracted_edges(spark, d):
     return extract.edges(_code(spark, d))
 
 
+def structure_symbols(spark, d):
+    """Definitions by the structure of the text, in all code documents."""
+    return structure.symbols(_code(spark, d))
+
+
+def structure_edges(spark, d):
+    """Calls, imports and base types by the structure of the text."""
+    return structure.edges(_code(spark, d))
+
+
 def diff_references(spark, d):
     return extract.diff_references(diff.added_lines(diff.parse_diffs(b.fixes(spark, d))))
 
@@ -208,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         index_stats, kind_histogram, language_histogram, path_languages, latest_files, changed_files, replace_by_file, pruned_symbols, deleted_project, rebuild_needed, stale_embeddings, diff_lines, diff_stats,
-        diff_files, line_numbers, diff_chunks, pack_flat, pack_smart, pack_by_language, pack_merged, pack_stats, extracted_symbols, extracted_edges, diff_references, diff_definitions, reply_findings,
+        diff_files, line_numbers, diff_chunks, pack_flat, pack_smart, pack_by_language, pack_merged, pack_stats, extracted_symbols, extracted_edges, structure_symbols, structure_edges, diff_references, diff_definitions, reply_findings,
         context_resolved, context_entries, context_callers, context_budget, events_tumbling, events_sliding, events_sessions, event_ranks, order_cube,
     )
 }
