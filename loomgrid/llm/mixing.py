@@ -18,6 +18,7 @@ asked for; a source that cannot reach its part gives all copies it may.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of one rounding bucket, on average.
 BUCKET = 4000
-STEPS = 60
+#: Steps after which a dual that still does not converge is an error; bisection alone needs about 100.
+STEPS = 250
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -103,7 +105,7 @@ def solve(counts: DataFrame, targets: DataFrame, ws: Workspace, total_tokens: fl
         if goal[s] >= cap[s] * have[s][0] * (1 - 1e-9):
             lam[s] = None
         else:
-            work[s] = [0.0, -60.0, 60.0]  # multiplier, bracket
+            work[s] = [0.0, -math.inf, math.inf]  # multiplier, bracket: the sum of rates rises with the multiplier from 0 to all caps
     for _ in range(STEPS):
         if not work:
             break
@@ -116,14 +118,23 @@ def solve(counts: DataFrame, targets: DataFrame, ws: Workspace, total_tokens: fl
         for s, g, h in sums.collect():
             v = work[s]
             off = g - goal[s]
-            if abs(off) <= tol * goal[s] or v[2] - v[1] < 1e-12:
+            if abs(off) <= tol * goal[s] or v[2] - v[1] <= 1e-13 * max(1.0, abs(v[0])):
                 lam[s] = v[0]
                 del work[s]
                 continue
             v[1 if off < 0 else 2] = v[0]
             step = v[0] - off / h if h > 0 else float("nan")
-            v[0] = step if v[1] < step < v[2] else (v[1] + v[2]) / 2
-    lam |= {s: v[0] for s, v in work.items()}
+            # Beyond a bound that is not known yet the multiplier doubles; between two bounds it halves.
+            if math.isinf(v[1]):
+                inner = 2 * v[0] - 1 if v[0] < 0 else v[0] - 1
+                v[0] = step if inner <= step < v[2] else inner
+            elif math.isinf(v[2]):
+                inner = 2 * v[0] + 1 if v[0] > 0 else v[0] + 1
+                v[0] = step if v[1] < step <= inner else inner
+            else:
+                v[0] = step if v[1] < step < v[2] else (v[1] + v[2]) / 2
+    if work:
+        raise RuntimeError(f"the balance does not converge for {sorted(work)}")
     return Balance(total, goal, lam, mean, cap, share, {s: int(v[1]) for s, v in have.items()})
 
 

@@ -61,3 +61,22 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Code-File", "hello world", "z"), (2, None, None, "z"), (3, " ", "", "z"), (4, "x", "a" * 200_000, "z")], "doc_id long, source string, text string, tokens string")
     got = {r.doc_id: (r.source, r.tokens) for r in m.token_counts(df).collect()}
     assert got[1] == ("code_file", 2) and got[2] == (None, 0) and got[3] == (None, 0) and got[4][1] > 1000
+
+
+@pytest.mark.parametrize("total", [1e-9, 1e-3, 50.0, 1e5])
+def test_far_multipliers_converge(spark, total):
+    """Totals so small that every rate is next to nothing."""
+    counts, targets = tables(spark, n=400)
+    bal = m.solve(counts, targets, m.Workspace(spark, "test"), total)
+    rows = counts.where("tokens > 0").collect()
+    for s, lam in bal.lam.items():
+        if lam is not None:
+            reached = sum(min(math.exp(lam * r.tokens / bal.mean[s]), bal.cap[s]) * r.tokens for r in rows if r.source == s)
+            assert abs(reached / bal.goal[s] - 1) < 1e-6
+
+
+def test_no_convergence_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(m, "STEPS", 1)
+    counts, targets = tables(spark, n=200)
+    with pytest.raises(RuntimeError):
+        m.solve(counts, targets, m.Workspace(spark, "test"), 1e4)
