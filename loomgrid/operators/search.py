@@ -7,8 +7,6 @@ after scoring, so a filter changes which documents come out but not their scores
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +33,6 @@ def _count(words: Column, term: str) -> Column:
     return F.size(words) - F.size(F.array_remove(words, term))
 
 
-def idf(n: int, df: int) -> float:
-    """Weight of a term that df of n documents hold."""
-    return max(math.log((n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
-
-
 def bm25(docs: DataFrame, query: str, id_col: str, text_cols: list[str]) -> DataFrame:
     """(doc, score) of all documents that satisfy the query, a disjunction of conjunctions of terms.
 

@@ -13,12 +13,15 @@ from loomgrid.functions.text import embed_udf, query_groups
 from loomgrid.operators import search as s
 from loomgrid.operators.graph import proximity
 from loomgrid.operators.store import stale_embeddings
+from loomgrid.operators.vectors import nearest
 
+#: Counts up with every change of the stored tables.
+LAYOUT = 2
 COLS = ["id", "project_id", "name", "kind", "file", "line", "signature", "language"]
 
 
 class SymbolIndex:
-    """Tables ``symbols``, ``postings``, ``stats`` and ``vectors`` in a folder."""
+    """Tables ``symbols``, ``postings`` and ``vectors`` in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -36,11 +39,14 @@ class SymbolIndex:
         ix = cls(symbols.sparkSession, folder)
         d = symbols.where("id is not null").select(*[F.col(c) for c in COLS])
         ix._put(d, "symbols", "project_id")
-        p = s.postings(d, "id", ["name", "signature", "file"]).withColumnRenamed("doc", "id")
-        p = p.join(d.select("id", "project_id"), "id")
-        ix._put(p, "postings", "term")
         words = s.terms(F.concat_ws(" ", "name", "signature", "file"))
-        d.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("avg_dl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        n, avg_dl = d.agg(F.count("*"), F.avg(F.size(words))).first()
+        p = s.postings(d, "id", ["name", "signature", "file"]).withColumnRenamed("doc", "id")
+        # What a term adds to a document's score depends on nothing that a query brings, so it is stored.
+        df = p.groupBy("term").agg(F.count("*").alias("df"))
+        rare = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(s.IDF_FLOOR))
+        part = rare * F.col("tf") * (s.K1 + 1) / (F.col("tf") + s.K1 * (1 - s.B + s.B * F.col("dl") / (avg_dl or 1.0)))
+        ix._put(p.join(df, "term").select("term", "id", part.alias("part")).join(d.select("id", "project_id"), "id"), "postings", "term")
         todo = stale_embeddings(d, ix.spark.createDataFrame([], "id long, text_hash long"))
         ix._put(cls._embedded(todo).join(d.select("id", "project_id"), "id"), "vectors", "project_id")
         return ix
@@ -71,32 +77,25 @@ class SymbolIndex:
         groups = query_groups(text)
         asked = list(dict.fromkeys(t for g in groups for t in g))
         p = self._table("postings").where(F.col("term").isin(asked or [""]))
-        tf = {t: F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"_tf{i}") for i, t in enumerate(asked)}
+        has = {t: F.max((F.col("term") == t).cast("int")).alias(f"_t{i}") for i, t in enumerate(asked)}
         if not asked:
             return p.select("id", "project_id", F.lit(0.0).alias("score")).where(F.lit(False))
-        w = p.groupBy("id", "project_id", "dl").agg(*tf.values())
-        stats = self._table("stats").first()
-        df = w.agg(*[F.count_if(F.col(f"_tf{i}") > 0) for i in range(len(asked))]).first()
-        score, match = F.lit(0.0), F.lit(False)
-        for i in range(len(asked)):
-            c = F.col(f"_tf{i}")
-            score = score + F.when(c > 0, s.idf(stats.n, df[i]) * c * (s.K1 + 1) / (c + s.K1 * (1 - s.B + s.B * F.col("dl") / (stats.avg_dl or 1.0)))).otherwise(0.0)
+        match = F.lit(False)
         for g in groups:
-            match = match | F.expr(" and ".join(f"_tf{asked.index(t)} > 0" for t in g))
-        return w.where(match).select("id", "project_id", score.alias("score"))
+            match = match | F.expr(" and ".join(f"_t{asked.index(t)} > 0" for t in g))
+        return p.groupBy("id", "project_id").agg(F.sum("part").alias("score"), *has.values()).where(match).select("id", "project_id", "score")
 
     def search(self, text: str, project: int | None = None, limit: int = s.LIMIT) -> list[tuple]:
-        """(id, name, score) of the best symbols by full text, at most ``limit``; where there is none, of names that contain the text."""
+        """(id, score) of the best symbols by full text, at most ``limit``; where there is none, of names that contain the text."""
         hit = self.text_hits(text)
         if project is not None:
             hit = hit.where(F.col("project_id") == project)
-        top = hit.orderBy(F.desc("score"), "id").limit(limit).collect()
-        sym = self._table("symbols")
+        top = [(r.id, r.score) for r in hit.orderBy(F.desc("score"), "id").limit(limit).collect()]
         if top:
-            names = {r.id: r.name for r in sym.where(F.col("id").isin([r.id for r in top])).select("id", "name").collect()}
-            return [(r.id, names[r.id], r.score) for r in top]
-        d = sym if project is None else sym.where(F.col("project_id") == project)
-        return [(r.id, r.name, 1.0) for r in d.where(s.contains_like("name", text)).orderBy("file", "line", "id").limit(limit).select("id", "name").collect()]
+            return top
+        d = self._table("symbols")
+        d = d if project is None else d.where(F.col("project_id") == project)
+        return [(r.id, 1.0) for r in d.where(s.contains_like("name", text)).orderBy("file", "line", "id").limit(limit).select("id").collect()]
 
     def hybrid(self, edges: DataFrame, text: str, query_vector: list[float], project: int | None = None, limit: int = 20) -> DataFrame:
         """Full text, vectors and graph proximity fused, as ``search.hybrid`` gives it.  Lists are cut by their limits before they are ranked."""
@@ -105,11 +104,12 @@ class SymbolIndex:
         sym, vec = self._table("symbols"), self._table("vectors")
         if project is not None:
             vec = vec.where(F.col("project_id") == project)
-        near = s.knn(vec, query_vector, fetch).collect()
+        near = nearest(vec, query_vector, fetch).collect()
         fts = self.search(text, project, min(fetch, s.LIMIT))
-        ranks = [("fts", i, k + 1) for k, (i, _, _) in enumerate(fts)] + [("vector", r.id, k + 1) for k, r in enumerate(near)]
+        ranks = [("fts", i, k + 1) for k, (i, _) in enumerate(fts)] + [("vector", r.id, k + 1) for k, r in enumerate(near)]
         if fts:
-            ranks += [("graph", r.id, r["rank"]) for r in proximity(sym, edges, fts[0][1], project, fetch).collect()]
+            seed = sym.where(F.col("id") == fts[0][0]).select("name").first()[0]
+            ranks += [("graph", r.id, r["rank"]) for r in proximity(sym, edges, seed or "", project, fetch).collect()]
         fused: dict[int, tuple[float, set]] = {}
         for signal, i, rank in ranks:
             a, b = fused.get(i, (0.0, set()))

@@ -27,6 +27,8 @@ FIT_ROWS = 20_000
 MOST_LISTS = 1024
 #: Queries of a block that is broadcast.
 QUERIES = 1000
+#: Counts up with every change of the stored tables.
+LAYOUT = 1
 SCHEMA = "id long, vec array<float>"
 
 
@@ -173,6 +175,24 @@ class VectorIndex:
         return nearest_of_many(self.vectors(), queries, k, self.lists)
 
 
+def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
+    """(id, similarity) of the k nearest of one query, exact, as ``search.knn``; batches are multiplied as matrices and keep their k best, ties included."""
+    x = _unit(np.array([query], np.float32))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = _matrix(b.column(1)).astype(np.float64)
+            sim = np.clip((m * x).sum(axis=1) / np.sqrt((m * m).sum(axis=1)), 0.0, 1.0)
+            ok = np.flatnonzero(sim >= np.partition(sim, max(0, len(sim) - k))[max(0, len(sim) - k)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(sim[ok])], names=["id", "similarity"])
+
+    if k <= 0 or not any(query):
+        return vectors.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("similarity")).where(F.lit(False))
+    return usable(vectors, len(query)).mapInArrow(run, "id long, similarity double").orderBy(F.desc("similarity"), "id").limit(k)
+
+
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, lists: Lists | None = None) -> DataFrame:
     """(query, id, similarity) of the k nearest of each query (id, vec); exact, or within the lists near the query where vectors carry a list.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.text import STOP_PUNCTUATION, code_tokens, code_tokens_udf, dot, embed, embed_udf
 from loomgrid.operators import search as s
 from loomgrid.operators import vectors as v
-from loomgrid.operators.symbol_index import SymbolIndex
+from loomgrid.operators.symbol_index import LAYOUT, SymbolIndex
 from loomgrid.plans import bindings as b
 from loomgrid.sources.tables import spread, table
 from loomgrid.workspace import kept_folder, mark_complete
@@ -59,7 +59,7 @@ def knn_many(spark, d):
 
 
 def _index(spark, d):
-    folder, done = kept_folder(spark, "vectors", f"{d}/embeddings.parquet")
+    folder, done = kept_folder(spark, f"vectors{v.LAYOUT}", f"{d}/embeddings.parquet")
     if done:
         return v.VectorIndex.open(spark, folder)
     ix = v.VectorIndex.build(_vectors(spark, d), folder, len(QUERY))
@@ -85,7 +85,7 @@ def rrf_fusion(spark, d):
 
 
 def _symbol_index(spark, d):
-    folder, done = kept_folder(spark, "symbols", f"{d}/symbols.parquet")
+    folder, done = kept_folder(spark, f"symbols{LAYOUT}", f"{d}/symbols.parquet")
     if done:
         return SymbolIndex(spark, folder)
     ix = SymbolIndex.build(spread(b.symbols(spark, d)), folder)
@@ -103,7 +103,8 @@ def hybrid_search(spark, d):
 def symbol_search_indexed(spark, d):
     """As ``symbol_search``, from the stored postings."""
     hit = _symbol_index(spark, d).search("pub fn src", P)
-    return spark.createDataFrame([(i, n, x) for i, n, x in hit], "id long, name string, score double").select("id", "name", F.round("score", 6).alias("score"))
+    f = spark.createDataFrame(hit, "id long, score double")
+    return b.symbols(spark, d).select("id", "name").join(F.broadcast(f), "id").select("id", "name", F.round("score", 6).alias("score"))
 
 
 def code_token_counts(spark, d):

@@ -67,7 +67,7 @@ def test_symbol_index_gives_what_scans_give(spark, symbols, tmp_path):
     ix = SymbolIndex.build(symbols, str(tmp_path / "ix"))
     for text, project in (("pub fn src", 1), ("parseQuery", None), ("alkTre", None), ("nothing_at_all", 2), ("!!", 1)):
         want = [(r.id, round(r.score, 9)) for r in search.search(symbols, text, project).collect()]
-        assert [(i, round(x, 9)) for i, _, x in ix.search(text, project)] == want
+        assert [(i, round(x, 9)) for i, x in ix.search(text, project)] == want
     vec = symbols.selectExpr("id", "project_id", "case when coalesce(signature, '') = '' then name else concat_ws(' ', name, signature) end as t").where("project_id = 1").select("id", embed_udf("t").alias("vec"))
     q = embed(code_tokens("parse tree")).tolist()
     a = search.hybrid(symbols, edges, vec, "pub fn", q, 1, 10).collect()
@@ -75,3 +75,12 @@ def test_symbol_index_gives_what_scans_give(spark, symbols, tmp_path):
     assert [(r.id, round(r.score, 9), r.signals) for r in a] == [(r.id, round(r.score, 9), r.signals) for r in b] and a
     changed = symbols.where("id != 3").selectExpr("id", "project_id", "name", "kind", "file", "line", "case when id = 5 then 'fn other()' else signature end as signature", "language")
     assert ix.refresh_vectors(changed) == 1 and ix.refresh_vectors(changed) == 0 and ix._table("vectors").count() == 79
+
+
+def test_nearest_is_knn(spark):
+    df = spark.createDataFrame(cloud(300) + [(900, None), (901, [0.0] * 16), (902, [1.0])], V)
+    q = cloud(1, seed=5)[0][1]
+    for k in (0, 1, 7, 1000):
+        a, b = v.nearest(df, q, k).collect(), search.knn(df, q, k).collect()
+        assert [r.id for r in a] == [r.id for r in b] and all(abs(x.similarity - y.similarity) < 1e-5 for x, y in zip(a, b, strict=True))
+    assert v.nearest(df, [0.0] * 16, 3).count() == 0 and v.nearest(df.where("false"), q, 3).count() == 0
