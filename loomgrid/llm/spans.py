@@ -34,6 +34,8 @@ MIN_CHARS = 400
 #: Characters of a token. The longer, the fewer chance partners, and the more windows: 2n / (MIN_CHARS - GRAM + 1).
 GRAM = 240
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Different surroundings in a group up to which all are compared with all.
+FEW = 64
 #: Rows of a hash that one task pairs; larger groups are cut into blocks of this size, paired block by block.
 BLOCK = 2000
 
@@ -182,7 +184,12 @@ class _Group:
         return res
 
     def extents(self) -> list[tuple]:
-        """(doc, start, end) of the furthest agreement of each window with one of another document."""
+        """(doc, start, end) of the furthest agreement of each window with one of another document.
+
+        Few surroundings are compared with each other, many by sorting: both give the same pieces.
+        """
+        if len(self.left) > FEW:
+            return self.extents_by_sorting()
         res = []
         n = len(self.left)
         first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
@@ -205,6 +212,43 @@ class _Group:
         return res
 
 
+    def extents_by_sorting(self) -> list[tuple]:
+        """The same in time linear in the windows: x characters to the left and the rest to the right make a stretch of the asked length, and windows that agree in it lie next to each other when sorted by its hash."""
+        side = self.least - self.k
+        u = self.cid
+        ends = [(a != 0).sum(axis=1) for a in (self.left, self.right)]
+        hashes = []
+        with np.errstate(over="ignore"):
+            for a in (self.left, self.right):
+                h = np.zeros((len(a), side + 1), np.uint64)
+                for j in range(side):
+                    h[:, j + 1] = (h[:, j] + a[:, j].astype(np.uint64) + np.uint64(1)) * _BASE
+                    h[:, j + 1] ^= h[:, j + 1] >> np.uint64(29)
+                hashes.append(h)
+            best_l, best_r = np.full(len(u), -1), np.full(len(u), -1)
+            for x in range(side + 1):
+                rows = np.flatnonzero((ends[0][u] >= x) & (ends[1][u] >= side - x))
+                if len(rows) < 2:
+                    continue
+                key = (hashes[0][u[rows], x] * np.uint64(0xBF58476D1CE4E5B9)) ^ hashes[1][u[rows], side - x]
+                o = np.argsort(key, kind="stable")
+                rows, key = rows[o], key[o]
+                same = (key[1:] == key[:-1]) & (self.left[u[rows[1:]], :x] == self.left[u[rows[:-1]], :x]).all(axis=1) & (self.right[u[rows[1:]], : side - x] == self.right[u[rows[:-1]], : side - x]).all(axis=1)
+                start = np.flatnonzero(np.concatenate([[True], ~same]))
+                size = np.diff(np.concatenate([start, [len(rows)]]))
+                # A window has a partner where its run holds another document, and across two cells one of the other cell.
+                lo, hi = (np.repeat(f.reduceat(self.doc[rows], start), size) for f in (np.minimum, np.maximum))
+                hit = lo != hi
+                if self.across:
+                    lo, hi = (np.repeat(f.reduceat(self.cell[rows], start), size) for f in (np.minimum, np.maximum))
+                    hit &= lo != hi
+                best_l[rows[hit]] = x
+                first = rows[hit & (best_r[rows] < 0)]
+                best_r[first] = side - x
+        got = np.flatnonzero(best_l >= 0)
+        return [(self.doc[got], self.pos[got] - best_l[got], self.pos[got] + self.k + best_r[got])] if len(got) else []
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, min_chars: int, k: int, ws: Workspace | None, what: str, schema: str) -> DataFrame:
     """Compare the windows of each hash and give what ``_Group.<what>`` says."""
     spark = docs.sparkSession

@@ -114,10 +114,11 @@ def _covered(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 2000])
-def test_extents_cover_what_the_pairs_cover(spark, monkeypatch, block):
-    """In cells and whole groups: headers shared by many, copies within one document, and stretches next to each other."""
+@pytest.mark.parametrize(("block", "few"), [(3, 64), (2000, 64), (3, 0), (2000, 0)])
+def test_extents_cover_what_the_pairs_cover(spark, monkeypatch, block, few):
+    """In cells and whole groups, by comparing and by sorting: headers shared by many, copies within one document, and stretches next to each other."""
     monkeypatch.setattr(sp, "BLOCK", block)
+    monkeypatch.setattr(sp, "FEW", few)
     rnd = random.Random(12)
     word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     head, other = word(90), word(70)
@@ -130,3 +131,25 @@ def test_extents_cover_what_the_pairs_cover(spark, monkeypatch, block):
     text = dict(docs)
     brute = {(i, j) for i, a in docs for j, b in docs if i < j and a and b and any(a[x : x + 60] in b for x in range(len(a) - 59))}
     assert {(r.doc_a, r.doc_b) for r in pairs} == brute and all(text[r.doc_a][r.start_a : r.start_a + r.length] == text[r.doc_b][r.start_b : r.start_b + r.length] for r in pairs)
+
+
+def test_many_surroundings_take_no_long():
+    import time
+
+    rnd = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rnd.integers(97, 101, n)))
+    left, right = word(160), word(160)
+    rows = [("k", 0, 0, 0, i, 5000, word(160 - (i % 160)) + left[160 - (i % 160) :], right[: 160 - (i * 7) % 160] + word((i * 7) % 160)) for i in range(2000)]
+    t = time.process_time()
+    by_sorting = sp._Group(list(rows), 400, 240).extents()
+    assert time.process_time() - t < 10
+    sp_few = sp.FEW
+    try:
+        sp.FEW = 10**9
+        compared = sp._Group(list(rows[:300]), 400, 240).extents()
+        sp.FEW = 0
+        sorted_ = sp._Group(list(rows[:300]), 400, 240).extents()
+    finally:
+        sp.FEW = sp_few
+    flat = lambda res: sorted((int(d), int(a), int(b)) for x in res for d, a, b in zip(*x, strict=True))
+    assert by_sorting and flat(compared) == flat(sorted_) and len(flat(sorted_)) > 100
