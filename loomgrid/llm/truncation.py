@@ -601,12 +601,17 @@ def near_copies(asks: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     a = ws.write(asks.select("th", "tails", "text").mapInArrow(keyed_asks, "th long, keys array<long>").select("th", F.explode("keys").alias("key")).distinct(), "value_keys")
     b = ws.write(found.select("th", F.explode("keys").alias("key")).distinct(), "beginning_keys")
     both = ws.write(a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key"), "met")
-    # A group larger than CELL is cut into cells on both sides, and every pair of cells meets in one task.
+    # A group larger than CELL is cut into cells on both sides. First every cell of values meets one cell of
+    # beginnings; in a large group nearly all find their copy there. Only what found none meets the other cells.
     ca, cb = F.ceil(F.col("na") / CELL).cast("int"), F.ceil(F.col("nb") / CELL).cast("int")
-    a, b = a.join(both, "key"), b.join(both, "key")
+    a = a.join(both, "key").select("key", "th", cb.alias("cb"), F.pmod("th", ca).cast("int").alias("p"))
+    b = b.join(both, "key").select("key", "th", ca.alias("ca"), cb.alias("cb"), F.pmod("th", cb).cast("int").alias("q"))
     only = lambda texts_, keys: texts_.select("th", "text").join(keys.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    left = a.join(only(asks, a), "th").select("key", F.pmod("th", ca).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("q"), F.lit(1).alias("side"), "th", "text")
-    right = b.join(only(found, b), "th").select("key", F.explode(F.sequence(F.lit(0), ca - 1)).alias("p"), F.pmod("th", cb).cast("int").alias("q"), F.lit(0).alias("side"), "th", "text")
+    left = a.join(only(asks, a), "th")
+    right = b.join(only(found, b), "th")
+    one = F.when(F.col("q") < F.col("ca"), F.sequence(F.col("q"), F.col("ca") - 1, F.col("cb"))).otherwise(F.array().cast("array<int>"))
+    first_a = left.select("key", "p", F.lit(0).alias("q"), F.lit(1).alias("side"), "th", "text")
+    first_b = right.select("key", F.explode(one).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "th", "text")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, Group()
@@ -622,8 +627,17 @@ def near_copies(asks: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
                     hit.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["th"])
 
-    met = left.unionByName(right).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
-    return met.mapInArrow(align, "th long").distinct()
+    def aligned(x: DataFrame, y: DataFrame) -> DataFrame:
+        met = x.unionByName(y).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+        return met.mapInArrow(align, "th long").distinct()
+
+    hit = ws.write(aligned(first_a, first_b), "hits")
+    rest = left.where("cb > 1").join(hit, "th", "left_anti")
+    cells = F.filter(F.sequence(F.lit(0), F.col("cb") - 1), lambda q: q != F.pmod("p", "cb"))
+    rest = ws.write(rest.select("key", "p", F.explode(cells).alias("q"), F.lit(1).alias("side"), "th", "text"), "unmet")
+    asked = rest.select("key", "p", "q").distinct()
+    other = right.where("cb > 1").join(asked, ["key", "q"]).select("key", "p", "q", F.lit(0).alias("side"), "th", "text")
+    return hit.unionByName(aligned(rest, other)).distinct()
 
 
 def text_values(df: DataFrame, table: str, id_col: str, fields: list[str], source: str | None = None) -> DataFrame:
