@@ -36,3 +36,8 @@ SQL["p9_portions"] = f"""with {_SPANS}, kp as (select doc_id, p, sha256(substr(t
 many as (select k from k group by k having count(distinct doc_id) > 1), hit as (select distinct doc_id, p from kp where k in (select k from many)),
 iv as (select doc_id, least(400, coalesce(lead(p) over (partition by doc_id order by p) - p, 400)) as n from hit), cov as (select doc_id, sum(n) as shared_chars from iv group by 1)
 select doc_id, cast(shared_chars as bigint) as shared_chars, cast(length(text) as bigint) as n_chars, shared_chars / length(text) as portion from cov join documents using (doc_id)"""
+# Runs of equal windows on one alignment are whole stretches.
+SQL["p9_spans"] = f"""with {_SPANS}, kp as (select doc_id, p, sha256(substr(text, cast(p as int) + 1, 400)) as k from g), many as (select k from k group by k having count(distinct doc_id) > 1),
+m as (select a.doc_id as doc_a, b.doc_id as doc_b, a.p as pa, b.p as pb from kp a join kp b on a.k = b.k and a.doc_id < b.doc_id where a.k in (select k from many)),
+r as (select *, pa - row_number() over (partition by doc_a, doc_b, pa - pb order by pa) as run from m)
+select doc_a, doc_b, cast(min(pa) as int) as start_a, cast(min(pb) as int) as start_b, cast(count(*) + 399 as int) as length from r group by doc_a, doc_b, pa - pb, run"""

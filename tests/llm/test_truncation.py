@@ -131,3 +131,15 @@ def test_fragment_met_often_and_delivered_again_stays_cut(spark):
     for texts in (known + cut, known + cut[:1] * 12, (known + cut) * 3):
         got = {r.row_id for r in t.cut_values(values(spark, texts)).collect()}
         assert got == {i for i, x in enumerate(texts) if x in cut}
+
+
+def test_a_template_of_many_copies_is_met_in_cells(spark, monkeypatch):
+    """Many values of one template, cut at one place, and as many sources: each value finds its own or a near source."""
+    monkeypatch.setattr(t, "CELL", 4)
+    body = _noise(3, 40)
+    full = [f"{body} and item {i} goes on with the very same words as all the others do here" for i in range(40)]
+    cut = [x[:-9] for x in full]
+    other = [_noise(200 + i, 40) for i in range(10)]
+    asks = spark.createDataFrame([(i, t.tail_keys(x), x) for i, x in enumerate(cut + [x[:-1] + "q" for x in other])], "th long, tails array<long>, text string")
+    got = {r.th for r in t.near_copies(asks, spark.createDataFrame([(x,) for x in full + other], "text string"), t.Workspace(spark, "test")).collect()}
+    assert got == set(range(40))
