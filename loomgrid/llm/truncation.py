@@ -462,14 +462,14 @@ def _keyed(h: np.ndarray, k: int, cls: np.ndarray) -> np.ndarray:
 
 
 def tail_keys(text: str) -> list[int]:
-    """Signed keys of a text's last characters, one for each length class that the end in its source may have."""
+    """Signed keys of a text's last characters: one for the characters alone, then one for each length class that the end in its source may have."""
     a = text.rstrip()
     k = next((k for k, least in TAILS if len(a) >= least), 0)
     if not k:
         return []
     lo, hi = _classes(np.array(_range(len(a)))).tolist()
     h = gram_hashes(_codes(a[-k:]), k)
-    return _keyed(np.repeat(h, hi - lo + 1), k, np.arange(lo, hi + 1).astype(np.uint64)).view(np.int64).tolist()
+    return _keyed(np.repeat(h, hi - lo + 2), k, np.array([0, *range(lo, hi + 1)], np.uint64)).view(np.int64).tolist()
 
 
 def _bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -520,15 +520,17 @@ def beginnings(texts: list[str], bitmap: np.ndarray) -> list[tuple[int, str]]:
         h = gram_hashes(codes, k)
         if not len(h):
             continue
-        row = np.repeat(np.arange(len(parts)), size)[: len(h)]
-        end = np.arange(k, len(h) + k)
+        # By the characters alone first; what is left is so little that the rest costs nothing.
+        at = _probe(bitmap, _keyed(h, k, np.uint64(0)))
+        row, end = np.searchsorted(stop, at, "right"), at + k
         ok = end < stop[row]
+        row, end, at = row[ok], end[ok], at[ok]
+        nxt = codes[end]
+        ok = (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
         if far:
             ok &= end - start[row] <= far
-        nxt = codes[np.minimum(end, len(codes) - 1)]
-        ok &= (nxt != 10) & (nxt != 13) & ~((end + 1 == stop[row]) & np.isin(nxt, np.frombuffer(".!?;,)`'\"".encode("utf-32-le"), np.uint32)))
-        row, end = row[ok], end[ok]
-        keys = _keyed(h[ok], k, class_of[end - start[row]])
+        row, end, at = row[ok], end[ok], at[ok]
+        keys = _keyed(h[at], k, class_of[end - start[row]])
         for i in _probe(bitmap, keys).tolist():
             out.append((int(keys[i : i + 1].view(np.int64)[0]), texts[row[i]][: int(end[i] - start[row[i]])]))
     return out
@@ -594,7 +596,7 @@ def near_copies(asks: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
         for b in batches:
             th, tails, text = (c.to_pylist() for c in b.columns)
             at, m = _band_matrix([x.rstrip() for x in text]) if text else ((), None)
-            keys = [np.concatenate([band_keys(np.array([k], np.int64), m[j : j + 1]).ravel() for k in tails[i]] or [np.empty(0, np.int64)]) for j, i in enumerate(at)]
+            keys = [np.concatenate([band_keys(np.array([k], np.int64), m[j : j + 1]).ravel() for k in tails[i][1:]] or [np.empty(0, np.int64)]) for j, i in enumerate(at)]
             yield rows(keys, [pa.array([th[i] for i in at], pa.int64())], ["th", "keys"])
 
     found = ws.write(texts.select("text").mapInArrow(find, "text string, keys array<long>").select(F.xxhash64("text").alias("th"), "text", "keys"), "beginnings")
