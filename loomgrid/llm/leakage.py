@@ -38,7 +38,7 @@ ITEM_CHARS = 1_000_000
 #: Corpus windows that walk at once, at most.
 WALK = 50_000
 #: Characters of texts that are matched together; a longer text is matched alone.
-PART_CHARS = 4_000_000
+PART_CHARS = 16_000_000
 MIN_WORDS = 12
 _WORD = re.compile(r"\w+")
 
@@ -102,6 +102,9 @@ class Index:
 
     vocab: dict[str, int]
     by_len: dict[int, dict]
+    #: Words of a run, and the hashes of the runs of all windows.
+    gram: int
+    grams: np.ndarray
 
 
 def _reps_for(x: np.ndarray, edits: int, sample: int, recall: float, most: int) -> tuple[int, int]:
@@ -150,10 +153,12 @@ def build_index(items: list[tuple[int, str]], window: int | None, edit_rate: flo
             continue
         for p in range(len(ids) - n + 1):
             rows[n].append((item, p, ids[p : p + n]))
+    edits_of = {n: int(n * edit_rate) for n in rows}
+    # One length of untouched runs serves all windows: the shortest that any of them must keep.
+    gram = min((-(-(n - e) // (e + 1)) for n, e in edits_of.items()), default=1)
     by_len = {}
     for n, r in rows.items():
-        x = np.array([v for *_, v in r], np.int64)
-        edits = int(n * edit_rate)
+        x, edits = np.array([v for *_, v in r], np.int64), edits_of[n]
         sample = 3 * n if edits == 0 else max(6, (3 * n) // (2 * edits + 2))
         reps, sample = _reps_for(x, edits, sample, recall, most_reps)
         keys = []
@@ -161,10 +166,15 @@ def build_index(items: list[tuple[int, str]], window: int | None, edit_rate: flo
             k = window_keys(x, rep, sample)
             o = np.argsort(k, kind="stable")
             keys.append((k[o], o))
-        gram = -(-(n - edits) // (edits + 1))
         grams = np.unique(_run_hashes(x.ravel(), gram)[(np.arange(len(x))[:, None] * n + np.arange(n - gram + 1)).ravel()])
-        by_len[n] = {"x": x, "item": np.array([v[0] for v in r]), "pos": np.array([v[1] for v in r]), "edits": edits, "sample": sample, "keys": keys, "gram": gram, "grams": grams}
-    return Index(vocab, by_len)
+        by_len[n] = {"x": x, "item": np.array([v[0] for v in r]), "pos": np.array([v[1] for v in r]), "edits": edits, "sample": sample, "keys": keys, "grams": grams}
+    every = np.unique(np.concatenate([np.empty(0, np.uint64), *(q["grams"] for q in by_len.values())]))
+    return Index(vocab, by_len, gram, every)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
 def _run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -194,16 +204,16 @@ def match_all(ix: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
     owner = np.repeat(np.arange(len(texts)), size + pad)
     first, last = start[owner], (start + size)[owner]
     unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+    h = _run_hashes(ids, ix.gram)
+    runs = np.flatnonzero(_among(h, ix.grams))
     for n, q in ix.by_len.items():
-        e, g = q["edits"], q["gram"]
-        at = np.flatnonzero(np.arange(len(ids)) + n <= last + e)
-        if not len(at) or len(ids) < g:
-            continue
-        h = _run_hashes(ids, g)
-        i = np.searchsorted(q["grams"], h)
-        known = np.concatenate([[0], np.cumsum(q["grams"][np.minimum(i, len(q["grams"]) - 1)] == h)])
-        lo, hi = np.maximum(at - e, first[at]), np.minimum(np.minimum(at + n + e, last[at]) - g + 1, len(h))
-        at = at[(hi > lo) & (known[np.maximum(hi, lo)] > known[lo]) & (unknown[np.minimum(at + n, last[at])] - unknown[at] + np.maximum(at + n - last[at], 0) <= e)]
+        e = q["edits"]
+        own = runs[_among(h[runs], q["grams"])]
+        # Windows that may hold such a run, up to the edits before and after it, in the run's text.
+        at = own[:, None] + np.arange(-(n - ix.gram) - e, e + 1)
+        keep = (at >= first[own][:, None]) & (at + n <= last[own][:, None] + e) & (own[:, None] + ix.gram <= last[own][:, None])
+        at = np.unique(at[keep])
+        at = at[unknown[np.minimum(at + n, last[at])] - unknown[at] + np.maximum(at + n - last[at], 0) <= e] if len(at) else at
         for part in range(0, len(at), WALK):
             _walk(q, ids, at[part : part + WALK], owner, start, start + size, out)
     return out
